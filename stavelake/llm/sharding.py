@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from stavelake.llm.common import table, values_table, written
 
-BINS = 2048
+BINS = 65_536
 #: A cut may miss its quantile by this part of a shard's target.
 TOLERANCE = 0.004
 TIE_BITS = 31
