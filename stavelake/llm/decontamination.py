@@ -55,17 +55,21 @@ def benchmark_windows(benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
 def window_hits(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
     """(doc_id, _th, start, span, items): the verified occurrences of windows in the documents."""
     windows = benchmark_windows(benchmark, ngram)
-    if windows.count() <= MAX_BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
     words = with_text_key(docs).select("doc_id", "_th", words_of(F.col("text")).alias("words"))
-    placed = words.select("doc_id", "_th", "words", F.posexplode("words").alias("pos", "w"))
-    found = placed.withColumn("anchor", F.lower("w")).join(windows, "anchor")
-    start = F.col("pos") - F.col("offset")
-    span = F.size("win")
-    text_window = F.transform(F.expr("slice(words, pos - offset + 1, size(win))"), ascii_lower)
+    start, span = F.col("pos") - F.col("offset"), F.size("win")
+    if windows.count() <= MAX_BROADCAST_WINDOWS:
+        # Explode, join and verification are one generated loop: the words of a document are never copied per word.
+        placed = words.select("doc_id", "_th", "words", F.posexplode("words").alias("pos", "w"))
+        found = placed.withColumn("anchor", F.lower("w")).join(F.broadcast(windows), "anchor")
+    else:
+        placed = words.select("doc_id", "_th", F.posexplode("words").alias("pos", "w"))
+        candidates = placed.withColumn("anchor", F.lower("w")).join(windows, "anchor").drop("w", "anchor")
+        keyed = words.withColumnsRenamed({"doc_id": "_d", "_th": "_t"}).dropDuplicates(["_d", "_t"])
+        found = candidates.join(keyed, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_t")))
+    text_window = ascii_lower(F.array_join(F.expr("slice(words, pos - offset + 1, size(win))"), " "))
     return (
         found.filter((start >= 0) & (start + span <= F.size("words")))
-        .filter(text_window == F.col("win"))
+        .filter(text_window == F.array_join("win", " "))
         .select("doc_id", "_th", start.alias("start"), span.alias("span"), "items")
     )
 
