@@ -1,14 +1,20 @@
 """The queries of this subpackage and their SQL."""
 
-from stavelake.llm import chat, decontamination, sharding, url_filter
+from stavelake.llm import bpe, chat, decontamination, line_dedup, near_dedup, quality_rules, sharding, url_filter
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_chat": chat.op3_chat,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLE_SQL = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
     "op3_chat": chat.OP3_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
 }
