@@ -58,3 +58,14 @@ def values_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     fields = [x.split() for x in schema.split(",")]
     cells = ", ".join("(" + ", ".join(f"CAST({value!r} AS {kind})" for value, (_, kind) in zip(row, fields)) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {cells} AS t({', '.join(name for name, _ in fields)})")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _th and ``_row``: the other columns as one struct, so no name of the input can clash."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("_th"), F.struct(*rest).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], changed: dict[str, Column]) -> DataFrame:
+    """The input's columns again, with those in ``changed`` replaced."""
+    return df.select(*[changed.get(c, F.col("text") if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in columns])

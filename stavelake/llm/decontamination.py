@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stavelake.llm.common import ascii_lower, table, with_text_key
+from stavelake.llm.common import ascii_lower, packed, table, unpacked, with_text_key
 
 NGRAM = 10
 #: Windows up to which the anchor table is broadcast (about 200 bytes each); beyond it, Spark shuffles.
@@ -117,10 +117,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     ``remove='documents'`` drops every document with a hit; ``'spans'`` cuts the hit words with what
     separates them from the next word and keeps the rest.
     """
-    keyed = with_text_key(docs)
+    keyed = packed(docs)
     hits = hits_by_document(docs, benchmark, ngram)
     if remove == "documents":
-        return _with_hits(keyed, hits, "left_anti").select(*docs.columns)
+        return unpacked(_with_hits(keyed, hits, "left_anti"), docs.columns, {})
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     joined = _with_hits(keyed, hits, "left")
@@ -128,7 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     left = F.filter(pieces, lambda piece, i: ~F.array_contains("hit_positions", i))
     head = F.regexp_extract("text", f"^{SEPARATORS}", 0)
     cut = F.when(F.col("hit_positions").isNull(), F.col("text")).otherwise(F.concat(head, F.array_join(left, "")))
-    return joined.withColumn("text", cut).select(*docs.columns)
+    return unpacked(joined, docs.columns, {"text": cut})
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stavelake.llm import tokens
-from stavelake.llm.common import table, with_text_key, written
+from stavelake.llm.common import packed, table, unpacked, with_text_key, written
 from stavelake.llm.tokens import U, mix
 
 MIN_NEAR_WORDS = 10
@@ -159,10 +159,10 @@ def kept_lines(docs: DataFrame, min_near_words: int = MIN_NEAR_WORDS) -> DataFra
 
 
 def deduplicated(docs: DataFrame, min_near_words: int = MIN_NEAR_WORDS) -> DataFrame:
-    """The documents with ``_clean`` (their text without repeated lines), ``_lines`` and ``_kept`` (lines with words)."""
+    """doc_id, text and ``_row`` (the other columns) with ``_clean`` (their text without repeated lines), ``_lines`` and ``_kept`` (lines with words)."""
     once = Window.partitionBy("doc_id", "_th").orderBy("doc_id")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_t"))
-    joined = with_text_key(docs).join(kept_lines(docs, min_near_words), same, "left").withColumn("_copy", F.row_number().over(once))
+    joined = packed(docs).join(kept_lines(docs, min_near_words), same, "left").withColumn("_copy", F.row_number().over(once))
     keep = F.when(F.col("_copy") == 1, F.coalesce("keep", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
     joined = joined.withColumn("_keep", keep)
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
@@ -175,10 +175,10 @@ def deduplicated(docs: DataFrame, min_near_words: int = MIN_NEAR_WORDS) -> DataF
 
 def without_repeated_lines(docs: DataFrame, min_near_words: int = MIN_NEAR_WORDS) -> DataFrame:
     """The documents with their own columns; those whose every line was a copy are gone."""
-    out = deduplicated(docs, min_near_words).filter("_lines = 0 or _kept > 0").withColumn("text", F.col("_clean"))
+    changed = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_lines") == F.col("_kept"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_lines") == F.col("_kept"), F.col("_row.n_chars")).otherwise(F.length("_clean").cast("long"))
+    return unpacked(deduplicated(docs, min_near_words).filter("_lines = 0 or _kept > 0"), docs.columns, changed)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavelake.llm import tokens
-from stavelake.llm.common import table, with_text_key, written
+from stavelake.llm.common import packed, table, unpacked, with_text_key, written
 
 MIN_TEXTS = 100
 SHARE = 0.01
@@ -121,14 +121,12 @@ def verdicts(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE)
 def clean(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
     """The kept documents with their own columns, without the boilerplate lines; n_chars follows the text."""
     found = verdicts(docs, min_texts, share).filter("kept").select(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("_th").alias("_t"), "removed_lines").dropDuplicates(["_d", "_h", "_t"])
-    keyed = with_text_key(docs)
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_h")) & F.col("_th").eqNullSafe(F.col("_t"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_row.source").eqNullSafe(F.col("_h")) & F.col("_th").eqNullSafe(F.col("_t"))
     left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed_lines", i))
-    text = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = keyed.join(found, same).withColumn("text", text)
+    changed = {"text": F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("removed_lines").isNull(), F.col("_row.n_chars")).otherwise(F.length(changed["text"]).cast("long"))
+    return unpacked(packed(docs).join(found, same), docs.columns, changed)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def measured(docs: DataFrame, dims: dict[str, Column]) -> DataFrame:
     """doc_id, size, text_crc32, tie and one long per dimension: (value, tie) as one number."""
     tie = F.shiftright(F.xxhash64("text"), 64 - TIE_BITS) + F.lit(1 << (TIE_BITS - 1))
     keys = [(F.least(v.cast("long"), F.lit((1 << 31) - 1)) * F.lit(1 << TIE_BITS) + F.col("tie")).alias(n) for n, v in dims.items()]
-    return docs.withColumn("tie", tie).select(
+    return docs.select("doc_id", "text").withColumn("tie", tie).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
