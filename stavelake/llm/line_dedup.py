@@ -6,7 +6,7 @@ stays only if no earlier line (by doc_id, then line number) is within the bound.
 
 Variants of a line are itself with one word deleted (hole at place i), hashed from running sums in constant time
 each. Equal variants with the hole at the same place differ in that word only; a variant that equals a whole line is one word longer.
-Either equality of 128 bits, with lengths and places, is the verified edit distance. A bucket of equal variants gives
+Either equality, of 96 bits with lengths and places, is the verified edit distance. A bucket of equal variants gives
 its earliest member, never its pairs. Only lines that share half of their words with another line (pigeonhole: one
 edit leaves one half whole) emit variants, so unique lines stay out of the large join.
 
@@ -34,7 +34,7 @@ SECOND = U(0xA0761D6478BD642F)
 PREFIX, SUFFIX, HOLE, WHOLE = (U(x << 40) for x in (1, 2, 3, 4))
 
 LINES = "doc_id long, _th long, line_no int, h1 long, h2 long, k0 long, k1 long, k2 long"
-VARIANTS = "doc_id long, _th long, line_no int, h1 long, h2 long, v long, u long, role int"
+VARIANTS = "rank long, v long, u int, role int"
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -89,36 +89,35 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row_first = np.searchsorted(row, np.arange(len(column)))
         wanted = part.column(part.schema.get_field_index("live")).to_pylist()
         second = mix(t.folded ^ SECOND)
-        out = {x: [] for x in ("row", "line_no", "h1", "h2", "v", "u", "role")}
+        out = {x: [] for x in ("rank", "v", "u", "role")}
         for r, lines in enumerate(wanted):
             for x in lines:
-                at = row_first[r] + x["line_no"]
-                a, b = first[at], last[at]
+                line = row_first[r] + x["line_no"]
+                a, b = first[line], last[line]
                 n = int(b - a)
+                # A shared first half leaves the edit to the second, and the other way round.
+                prefix = 0 in x["halves"] or (2 in x["halves"] and n % 2 == 0)
+                suffix = 1 in x["halves"] or (2 in x["halves"] and n % 2 == 1)
+                at = np.arange(0 if suffix else (n - 1) // 2, n if prefix else n // 2 + 1)
+                m = len(at)
                 v, u = [], []
                 for words, into in ((t.folded[a:b], v), (second[a:b], u)):
                     blank, taken = _holes(words)
                     whole = tokens.running(words)[n:]
                     into += [
-                        _tagged(blank, HOLE + U(n << 20) + np.arange(n, dtype=U)),
-                        _tagged(taken, WHOLE + U(n - 1)),
+                        _tagged(blank[at], HOLE + U(n << 20) + at.astype(U)),
+                        _tagged(taken[at], WHOLE + U(n - 1)),
                         _tagged(whole, WHOLE + U(n)),
                     ]
-                m = 2 * n + 1
                 out["v"] += v
                 out["u"] += u
-                out["role"].append(np.repeat(np.array([0, 1, 2], np.int32), [n, n, 1]))
-                for name, value in (("row", r), ("line_no", x["line_no"]), ("h1", x["h1"]), ("h2", x["h2"])):
-                    out[name].append(np.full(m, value, np.int64))
+                out["role"].append(np.repeat(np.array([0, 1, 2], np.int32), [m, m, 1]))
+                out["rank"].append(np.full(2 * m + 1, x["rank"], np.int64))
         if not out["v"]:
             continue
         x = {k: np.concatenate(a) for k, a in out.items()}
-        rows = pa.array(x["row"])
-        ids = [part.column(part.schema.get_field_index(c)).take(rows) for c in ("doc_id", "_th")]
-        yield pa.RecordBatch.from_arrays(
-            [*ids, pa.array(x["line_no"].astype(np.int32)), pa.array(x["h1"]), pa.array(x["h2"]), _long(x["v"]), _long(x["u"]), pa.array(x["role"])],
-            names=["doc_id", "_th", "line_no", "h1", "h2", "v", "u", "role"],
-        )
+        half = (x["u"] >> U(32)).astype(np.uint32).view(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x["rank"]), _long(x["v"]), pa.array(half), pa.array(x["role"])], names=["rank", "v", "u", "role"])
 
 
 def distinct_lines(docs: DataFrame, min_near_words: int = MIN_NEAR_WORDS) -> DataFrame:
@@ -131,24 +130,24 @@ def distinct_lines(docs: DataFrame, min_near_words: int = MIN_NEAR_WORDS) -> Dat
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within the edit bound."""
-    keys = distinct.filter("k0 is not null").select("h1", "h2", F.explode(F.array("k0", "k1", "k2")).alias("k"))
+    keys = distinct.filter("k0 is not null").select("h1", "h2", F.posexplode(F.array("k0", "k1", "k2")).alias("half", "k"))
     shared = keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    live_ids = keys.join(shared, "k", "left_semi").select("h1", "h2").distinct()
-    live = (
-        distinct.join(live_ids, ["h1", "h2"], "left_semi")
-        .groupBy(F.col("first.doc_id").alias("_d"), F.col("first._th").alias("_t"))
-        .agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "h1", "h2")).alias("live"))
+    halves = keys.join(shared, "k", "left_semi").groupBy("h1", "h2").agg(F.collect_set("half").alias("halves"))
+    # Sorted by first occurrence, so the number of a line tells which is earlier.
+    found = distinct.select("h1", "h2", "first").join(halves, ["h1", "h2"]).orderBy("first")
+    ranked = written(found.withColumn("rank", F.monotonically_increasing_id()), "live-lines")
+    live = ranked.groupBy(F.col("first.doc_id").alias("_d"), F.col("first._th").alias("_t")).agg(
+        F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "rank", "halves")).alias("live")
     )
     keyed = with_text_key(docs).select("doc_id", "_th", "text")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_t"))
-    texts = keyed.join(live, same).select("doc_id", "_th", "text", "live")
+    texts = keyed.join(live, same).select("text", "live")
     variants = written(texts.mapInArrow(_variants, VARIANTS), "variants")
-    place = F.struct("doc_id", "_th", "line_no")
-    by_role = [F.min(F.when(F.col("role") == r, place)).alias(name) for r, name in ((0, "hole"), (1, "taken"), (2, "whole"))]
+    by_role = [F.min(F.when(F.col("role") == r, F.col("rank"))).alias(name) for r, name in ((0, "hole"), (1, "taken"), (2, "whole"))]
     buckets = variants.groupBy("v", "u").agg(F.count("*").alias("n"), *by_role).filter("n > 1").drop("n")
     met = variants.join(buckets, ["v", "u"])
     earliest = F.when(F.col("role") == 0, F.col("hole")).when(F.col("role") == 1, F.col("whole")).otherwise(F.col("taken"))
-    return met.filter(earliest < place).select("h1", "h2").distinct()
+    return ranked.join(met.filter(earliest < F.col("rank")).select("rank").distinct(), "rank", "left_semi").select("h1", "h2")
 
 
 def kept_lines(docs: DataFrame, min_near_words: int = MIN_NEAR_WORDS) -> DataFrame:
