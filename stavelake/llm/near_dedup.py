@@ -7,9 +7,10 @@ two numbers. Two registers agree with the probability Jaccard similarity. Rows o
 
 Equal shingle sets are collapsed first, so a group of copies is one node. Within a band's bucket each node is paired
 with the bucket's centre only (another centre in each band); pairs are verified by the exact Jaccard similarity
-of their shingle sets, and verified links give components. What that leaves apart is exact again: nodes of one
-bucket that still lie in different components are compared with the centres of the other components and then with each other,
-so no link between different texts is lost to the centres, and no pairs within a component are ever emitted.
+of their shingle sets, and verified links give components. What that leaves apart is looked at again: nodes that share
+a bucket but not a component get a longer sketch, whose buckets hold few pairs below the similarity (a pair of
+similarity 0.8 shares one with probability 0.999, one of 0.5 with 0.02). There they are compared with the buckets' centres, the centres
+of the other components, and then with all that is still apart; pairs within a component are never emitted.
 
 Defined cases: texts of one to four words are one shingle; texts without words are classes of their own; repeated rows
 fall into one class; an empty table gives no rows; other columns are kept by the filter and ignored by the report.
@@ -44,6 +45,8 @@ class NearConfig:
 
 
 CONFIG = NearConfig()
+#: For what the first bands leave in one bucket but apart: far fewer pairs below the similarity share a bucket.
+FINE = NearConfig(bands=96, rows=12)
 
 
 def shingles(t: tokens.Text, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,9 +127,12 @@ def _sets(config: NearConfig):
     return run
 
 
+SKETCH = "doc_id long, _th long, n long, f1 long, f2 long, bands array<long>"
+
+
 def sketches(docs: DataFrame, config: NearConfig = CONFIG) -> DataFrame:
     keyed = with_text_key(docs).select("doc_id", "_th", "text")
-    return written(keyed.mapInArrow(_sketches(config), "doc_id long, _th long, n long, f1 long, f2 long, bands array<long>"), "sketches")
+    return written(keyed.mapInArrow(_sketches(config), SKETCH), "sketches")
 
 
 def nodes_of(sketch: DataFrame) -> DataFrame:
@@ -159,12 +165,27 @@ def rest_pairs(buckets: DataFrame, labels: DataFrame, least: float, centres: boo
     return met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes."""
+    involved = wanted.join(nodes.select("node", "d", "t"), "node")
+    keyed = with_text_key(docs).select("doc_id", "_th", "text")
+    return keyed.join(involved, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("_th").eqNullSafe(F.col("t"))).select("node", "text")
+
+
+def fine_buckets(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, labels: DataFrame, fine: NearConfig = FINE) -> DataFrame:
+    """Finer buckets of the nodes that share a bucket with another component."""
+    placed = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    wanted = placed.join(split, "key", "left_semi").select("node").distinct()
+    texts = texts_of(docs, nodes, wanted).select(F.col("node").alias("doc_id"), F.lit(0).cast("long").alias("_th"), "text")
+    sketch = texts.mapInArrow(_sketches(fine), SKETCH).select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("key"))
+    return written(sketch.dropDuplicates(["node", "key"]), "fine-buckets")
+
+
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, config: NearConfig = CONFIG) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least the similarity."""
     pairs = written(pairs, "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "d", "t"), "node")
-    keyed = with_text_key(docs).select("doc_id", "_th", "text")
-    texts = keyed.join(involved, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("_th").eqNullSafe(F.col("t"))).select("node", "text")
+    texts = texts_of(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sets = written(texts.mapInArrow(_sets(config), "node long, elements array<long>"), "sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("elements").alias(f"{x}_set")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
@@ -200,8 +221,10 @@ def classes(docs: DataFrame, config: NearConfig = CONFIG) -> DataFrame:
     buckets = nodes.select("node", "n", F.explode("bands").alias("key"))
     links = written(verified(docs, nodes, centre_pairs(buckets, config.similarity), config), "links")
     labels = written(components(links), "labels")
-    for centres in (True, False):
-        more = verified(docs, nodes, rest_pairs(buckets, labels, config.similarity, centres), config)
+    fine = fine_buckets(docs, nodes, buckets, labels)
+    for step in ("centres", "components", "rest"):
+        pairs = centre_pairs(fine, config.similarity) if step == "centres" else rest_pairs(fine, labels, config.similarity, step == "components")
+        more = verified(docs, nodes, pairs.join(links, ["a", "b"], "left_anti"), config)
         more = written(more, "links")
         if not more.isEmpty():
             links = links.union(more)
