@@ -1,4 +1,4 @@
 """All queries of the score-corpus engine with their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from stavelake.plans import text_queries  # noqa: F401
+from stavelake.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
