@@ -1,4 +1,11 @@
 """All queries of the score-corpus engine with their SQL."""
 
-from stavelake.plans import text_queries  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+
+from stavelake.plans import text_queries, timeline_queries  # noqa: F401
 from stavelake.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole lint of a corpus."""
+    return QUERIES["lint_issues"](spark, sf_dir)
