@@ -60,6 +60,11 @@ def values_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     return spark.sql(f"SELECT * FROM VALUES {cells} AS t({', '.join(name for name, _ in fields)})")
 
 
+def id_of(doc_id: Column) -> Column:
+    """doc_id as a join key that null is part of, so a join and a window on it share one shuffle."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, text, _th and ``_row``: the other columns as one struct, so no name of the input can clash."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stavelake.llm import tokens
-from stavelake.llm.common import packed, table, unpacked, with_text_key, written
+from stavelake.llm.common import id_of, packed, table, unpacked, with_text_key, written
 from stavelake.llm.tokens import U, mix
 
 MIN_NEAR_WORDS = 10
@@ -159,9 +159,9 @@ def kept_lines(docs: DataFrame, min_near_words: int = MIN_NEAR_WORDS) -> DataFra
 
 def deduplicated(docs: DataFrame, min_near_words: int = MIN_NEAR_WORDS) -> DataFrame:
     """doc_id, text and ``_row`` (the other columns) with ``_clean`` (their text without repeated lines), ``_lines`` and ``_kept`` (lines with words)."""
-    once = Window.partitionBy("doc_id", "_th").orderBy("doc_id")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_t"))
-    joined = packed(docs).join(kept_lines(docs, min_near_words), same, "left").withColumn("_copy", F.row_number().over(once))
+    once = Window.partitionBy("_id", "_th").orderBy("_id")
+    kept = kept_lines(docs, min_near_words).select(id_of(F.col("_d")).alias("_id"), F.col("_t").alias("_th"), "keep")
+    joined = packed(docs).withColumn("_id", id_of(F.col("doc_id"))).join(kept, ["_id", "_th"], "left").withColumn("_copy", F.row_number().over(once))
     keep = F.when(F.col("_copy") == 1, F.coalesce("keep", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
     joined = joined.withColumn("_keep", keep)
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
