@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stavelake.llm import tokens
-from stavelake.llm.common import packed, table, unpacked, with_text_key, written
+from stavelake.llm.common import id_of, packed, table, unpacked, with_text_key, written
 from stavelake.llm.tokens import U, mix
 
 
@@ -246,11 +246,10 @@ def classes(docs: DataFrame, config: NearConfig = CONFIG) -> DataFrame:
 
 def one_of_each(docs: DataFrame, config: NearConfig = CONFIG) -> DataFrame:
     """The first document of each class, with its own columns; documents without words all stay."""
-    gone = classes(docs, config).filter("not keep").select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_t"))
-    left = packed(docs).join(gone, same, "left_anti")
+    gone = classes(docs, config).filter("not keep").select(id_of(F.col("doc_id")).alias("_id"), "_th").distinct()
+    left = packed(docs).withColumn("_id", id_of(F.col("doc_id"))).join(gone, ["_id", "_th"], "left_anti")
     has_word = F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    copy = F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy("doc_id"))
+    copy = F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))
     return unpacked(left.withColumn("_copy", copy).filter((F.col("_copy") == 1) | ~has_word), docs.columns, {})
 
 
