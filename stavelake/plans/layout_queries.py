@@ -53,7 +53,7 @@ def merge_ranges(b):
     return Y.merged_ranges(sizes, ("doc_id",), "l", "h").select("doc_id", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
-@query("cluster_lines_gap", "SELECT doc_id, page, line_no, count(*) AS n, min(x0) AS x0, max(x0 + 6) AS x1, round(avg(size_pt), 6) AS mean_size FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, glyph_no) AS line_no FROM (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, glyph_no) <= 4 THEN 0 ELSE 1 END AS new FROM gl WHERE size_pt BETWEEN 7 AND 17)) GROUP BY doc_id, page, line_no")
+@query("cluster_lines_gap", "SELECT doc_id, page, CAST(line_no AS BIGINT) AS line_no, count(*) AS n, min(x0) AS x0, max(x0 + 6) AS x1, round(avg(size_pt), 6) AS mean_size FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, glyph_no) AS line_no FROM (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, glyph_no) <= 4 THEN 0 ELSE 1 END AS new FROM gl WHERE size_pt BETWEEN 7 AND 17)) GROUP BY doc_id, page, line_no")
 def cluster_lines_gap(b):
     lines = Y.line_clusters_by_gap(b.gl.filter(F.col("size_pt").between(7, 17)))
     return lines.groupBy("doc_id", "page", "line_no").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max(F.col("x0") + 6).alias("x1"), F.round(F.avg("size_pt"), 6).alias("mean_size"))
@@ -64,7 +64,7 @@ def cluster_lines(b):
     return Y.line_clusters(b.gl.filter(F.col("size_pt").between(7, 17) & (F.trim("ch") != "")))
 
 
-@query("line_text", "WITH l AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, glyph_no) AS line_no FROM (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, glyph_no) <= 4 THEN 0 ELSE 1 END AS new FROM gl)), g AS (SELECT *, CASE WHEN x0 - lag(x0 + 6) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, glyph_no) > 3 THEN ' ' ELSE '' END AS sep FROM l) SELECT doc_id, page, line_no, string_agg(concat(sep, ch), '' ORDER BY x0, glyph_no) AS text FROM g GROUP BY doc_id, page, line_no")
+@query("line_text", "WITH l AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, glyph_no) AS line_no FROM (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, glyph_no) <= 4 THEN 0 ELSE 1 END AS new FROM gl)), g AS (SELECT *, CASE WHEN x0 - lag(x0 + 6) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, glyph_no) > 3 THEN ' ' ELSE '' END AS sep FROM l) SELECT doc_id, page, CAST(line_no AS BIGINT) AS line_no, string_agg(concat(sep, ch), '' ORDER BY x0, glyph_no) AS text FROM g GROUP BY doc_id, page, line_no")
 def line_text(b):
     w = Window.partitionBy("doc_id", "page", "line_no").orderBy("x0", "glyph_no")
     sep = F.when(F.col("x0") - F.lag(F.col("x0") + 6).over(w) > 3, " ").otherwise("")
@@ -158,7 +158,7 @@ def sweep_argmax(b):
     return v.groupBy("page").agg(F.round(-F.max_by("angle", F.struct("v", -F.col("angle"))), 2).alias("angle"))
 
 
-@query("bands", "WITH r AS (SELECT l_suppkey AS page, l_partkey % 800 AS y, sum(l_quantity) AS ink FROM lineitem GROUP BY ALL), k AS (SELECT page, y FROM (SELECT *, max(ink) OVER (PARTITION BY page) AS top FROM r) WHERE ink >= 0.3 * top), i AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY y) AS band FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y) <= 12 THEN 0 ELSE 1 END AS new FROM k)) SELECT page, band, min(y) AS y0, max(y) AS y1 FROM i GROUP BY page, band")
+@query("bands", "WITH r AS (SELECT l_suppkey AS page, l_partkey % 800 AS y, sum(l_quantity) AS ink FROM lineitem GROUP BY ALL), k AS (SELECT page, y FROM (SELECT *, max(ink) OVER (PARTITION BY page) AS top FROM r) WHERE ink >= 0.3 * top), i AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY y) AS band FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y) <= 12 THEN 0 ELSE 1 END AS new FROM k)) SELECT page, CAST(band AS BIGINT) AS band, min(y) AS y0, max(y) AS y1 FROM i GROUP BY page, band")
 def bands(b):
     """Rows with enough ink, joined over gaps of up to 12."""
     ink = b.table("lineitem").groupBy(F.col("l_suppkey").alias("page"), (F.col("l_partkey") % 800).alias("y")).agg(F.sum("l_quantity").alias("ink"))

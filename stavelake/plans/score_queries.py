@@ -37,7 +37,7 @@ def pitch_id(b):
     return notes(b).select(*L.MEASURE, "seq", F.when(F.col("is_rest") == 1, F.concat(F.lit("rest:"), "type")).otherwise(sounding).alias("pitch"))
 
 
-@query("note_units", f"SELECT {M}, seq, CAST({CAP} AS BIGINT) AS capacity, round(CASE type WHEN 'whole' THEN 16 WHEN 'half' THEN 8 WHEN 'quarter' THEN 4 WHEN 'eighth' THEN 2 ELSE 1 END * [1.0, 1.5, 1.75][x % 3 + 1], 4) AS units FROM se WHERE kind = 'note'")
+@query("note_units", f"SELECT {M}, seq, CAST({CAP} AS BIGINT) AS capacity, round(CAST(CASE type WHEN 'whole' THEN 16 WHEN 'half' THEN 8 WHEN 'quarter' THEN 4 WHEN 'eighth' THEN 2 ELSE 1 END * [1.0, 1.5, 1.75][x % 3 + 1] AS DOUBLE), 4) AS units FROM se WHERE kind = 'note'")
 def note_units(b):
     dots = F.element_at(F.array(*map(F.lit, N.DOTS)), (F.col("x") % 3 + 1).cast("int"))
     return notes(b).select(*L.MEASURE, "seq", L.measure_length(F.col("beats")).alias("capacity"), F.round(N.type_units(F.col("type")) * dots, 4).alias("units"))
@@ -58,7 +58,7 @@ def infer_type(b):
     return notes(b).select(*L.MEASURE, "seq", F.coalesce(given, N.closest_type(F.col("duration"))["type"]).alias("type_now"))
 
 
-@query("undot", f"SELECT {M}, seq, CASE duration WHEN 3 THEN 2.0 WHEN 6 THEN 4.0 WHEN 7 THEN 4.0 END AS base FROM se WHERE kind = 'note'")
+@query("undot", f"SELECT {M}, seq, CAST(CASE duration WHEN 3 THEN 2.0 WHEN 6 THEN 4.0 WHEN 7 THEN 4.0 END AS DOUBLE) AS base FROM se WHERE kind = 'note'")
 def undot(b):
     return notes(b).select(*L.MEASURE, "seq", N.undot(F.col("duration")).alias("base"))
 
@@ -114,7 +114,7 @@ def labels_fallback(b):
     return usable.groupBy("score_id", "part_no").agg(F.min_by("label", "rank").alias("label"))
 
 
-@query("staff_map", "SELECT score_id, staff_no, CASE WHEN staff_no <= 4 THEN staff_no ELSE 5 END AS part_no, CASE WHEN staff_no <= 4 THEN 1 ELSE staff_no - 4 END AS staff_in_part, CASE WHEN staff_no = 6 THEN 5 ELSE 1 END AS voice FROM (SELECT DISTINCT score_id FROM me), (SELECT unnest(range(1, 7)) AS staff_no)")
+@query("staff_map", "SELECT score_id, staff_no, CASE WHEN staff_no <= 4 THEN staff_no ELSE 5 END AS part_no, CASE WHEN staff_no <= 4 THEN 1 ELSE staff_no - 4 END AS staff_in_part, CAST(CASE WHEN staff_no = 6 THEN 5 ELSE 1 END AS BIGINT) AS voice FROM (SELECT DISTINCT score_id FROM me), (SELECT unnest(range(1, 7)) AS staff_no)")
 def staff_map(b):
     """Global staff numbers to parts by running staff counts (four of one staff, a piano of two)."""
     scores = b.me.select("score_id").distinct()
@@ -342,7 +342,7 @@ def neighbour_fill(b):
     return notes(b).withColumn("known", known).select(*L.MEASURE, "seq", F.coalesce("known", F.last("known", True).over(L.preceding(L.in_measure("staff"))), F.lit(4)).alias("filled"))
 
 
-@query("pad_underfull", f"SELECT {M}, voice, {CAP} - sum(duration) AS gap FROM se WHERE kind = 'note' AND is_chord = 0 AND is_grace = 0 AND (score_id, part_no, measure_no) NOT IN (SELECT (score_id, part_no, measure_no) FROM se WHERE kind = 'backup') GROUP BY {M}, voice, beats HAVING sum(duration) < {CAP}")
+@query("pad_underfull", f"SELECT {M}, voice, CAST({CAP} - sum(duration) AS BIGINT) AS gap FROM se WHERE kind = 'note' AND is_chord = 0 AND is_grace = 0 AND (score_id, part_no, measure_no) NOT IN (SELECT (score_id, part_no, measure_no) FROM se WHERE kind = 'backup') GROUP BY {M}, voice, beats HAVING sum(duration) < {CAP}")
 def pad_underfull(b):
     """A forward for what each voice lacks; measures with a backup are left alone."""
     has_backup = b.se.filter("kind = 'backup'").select(*L.MEASURE).distinct()
@@ -386,7 +386,7 @@ def timeline_rebuild(b):
     return rows.withColumn("_end", end).select(*L.MEASURE, "seq", F.row_number().over(w).cast("long").alias("new_seq"), (F.col("onset") - F.coalesce(F.lag("_end").over(w), F.lit(0))).alias("shift_before"))
 
 
-@query("backup_repair", f"WITH l AS (SELECT {M}, sum(CASE WHEN staff = 1 AND kind = 'note' AND is_chord = 0 AND is_grace = 0 THEN duration ELSE 0 END) AS first_staff FROM se GROUP BY {M}) SELECT {M}, seq, least(first_staff, {CAP}) AS repaired FROM se JOIN l USING ({M}) WHERE kind = 'backup'")
+@query("backup_repair", f"WITH l AS (SELECT {M}, sum(CASE WHEN staff = 1 AND kind = 'note' AND is_chord = 0 AND is_grace = 0 THEN duration ELSE 0 END) AS first_staff FROM se GROUP BY {M}) SELECT {M}, seq, CAST(least(first_staff, {CAP}) AS BIGINT) AS repaired FROM se JOIN l USING ({M}) WHERE kind = 'backup'")
 def backup_repair(b):
     one = F.sum(F.when((F.col("staff") == 1) & L.leader(), F.col("duration")).otherwise(0)).over(Window.partitionBy(*L.MEASURE))
     rows = b.se.withColumn("first_staff", one).filter("kind = 'backup'")

@@ -126,7 +126,7 @@ def asof_tempo(b):
     return b.me.select(*L.MEASURE, L.carried("bpm", *L.PART, strict=True).alias("bpm_before"))
 
 
-@query("page_first_measure", "SELECT score_id, part_no, page, min(measure_no) AS first_measure, count(*) AS measures FROM (SELECT *, 1 + sum(new_page) OVER (PARTITION BY score_id, part_no ORDER BY measure_no) AS page FROM me) GROUP BY ALL")
+@query("page_first_measure", "SELECT score_id, part_no, page, min(measure_no) AS first_measure, count(*) AS measures FROM (SELECT *, CAST(1 + sum(new_page) OVER (PARTITION BY score_id, part_no ORDER BY measure_no) AS BIGINT) AS page FROM me) GROUP BY ALL")
 def page_first_measure(b):
     page = 1 + F.sum("new_page").over(Window.partitionBy(*L.PART).orderBy("measure_no"))
     return b.me.withColumn("page", page).groupBy(*L.PART, "page").agg(F.min("measure_no").alias("first_measure"), F.count("*").alias("measures"))
