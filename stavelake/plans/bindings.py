@@ -88,7 +88,10 @@ def with_bindings(sql: str) -> str:
     own = [f"{n} AS ({VIEWS[n].replace('AS STRING', 'AS VARCHAR')})" for n in names]
     if not own:
         return body
-    return "WITH " + ", ".join(own) + (", " + body[5:] if body[:5].upper() == "WITH " else " " + body)
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return start + ", ".join(own) + ", " + body[len(start) :]
+    return "WITH " + ", ".join(own) + " " + body
 
 
 class Bindings:
