@@ -9,8 +9,8 @@ Equal shingle sets are collapsed first, so a group of copies is one node. Within
 with the bucket's centre only (another centre in each band); pairs are verified by the exact Jaccard similarity
 of their shingle sets, and verified links give components. What that leaves apart is looked at again: nodes that share
 a bucket but not a component get a longer sketch, whose buckets hold few pairs below the similarity (a pair of
-similarity 0.8 shares one with probability 0.999, one of 0.5 with 0.02). There they are compared with the buckets' centres, the centres
-of the other components, and then with all that is still apart; pairs within a component are never emitted.
+similarity 0.8 shares one with probability 0.998, one of 0.5 with 0.01). There they are compared with the buckets' centres and then
+with all that is still apart and whose sketches agree in enough single bits; pairs within a component are never emitted.
 
 Defined cases: texts of one to four words are one shingle; texts without words are classes of their own; repeated rows
 fall into one class; an empty table gives no rows; other columns are kept by the filter and ignored by the report.
@@ -46,7 +46,7 @@ class NearConfig:
 
 CONFIG = NearConfig()
 #: For what the first bands leave in one bucket but apart: far fewer pairs below the similarity share a bucket.
-FINE = NearConfig(bands=96, rows=12)
+FINE = NearConfig(bands=140, rows=14)
 
 
 def shingles(t: tokens.Text, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def probminhash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows:
     return kept.reshape(rows, registers)
 
 
-def _sketches(config: NearConfig):
+def _sketches(config: NearConfig, with_bits: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, column in tokens.slices(batches, limit=1 << 21):
             t = tokens.text_of(column)
@@ -109,9 +109,16 @@ def _sketches(config: NearConfig):
             per = np.where(counts > 0, config.bands, 0)
             ids = [part.column(part.schema.get_field_index(x)) for x in ("doc_id", "_th")]
             longs = [pa.array(x.view(np.int64), pa.int64()) for x in (f1, f2)]
+            # One bit of each register (of whole longs of them): they differ in (1 - similarity) / 2 of all places.
+            places = config.registers // 64 * 64 if with_bits else 0
+            bits = np.packbits((mix(kept[:, :places]) & U(1)).astype(np.uint8), axis=1).reshape(-1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*ids, pa.array(counts, pa.int64()), *longs, tokens.lists(per, bands[counts > 0].reshape(-1).view(np.int64), pa.int64())], names=["doc_id", "_th", "n", "f1", "f2", "bands"]
-            )
+                [
+                    *ids, pa.array(counts, pa.int64()), *longs, tokens.lists(per, bands[counts > 0].reshape(-1).view(np.int64), pa.int64()),
+                    tokens.lists(np.full(rows, places // 64), bits, pa.int64()),
+                ],
+                names=["doc_id", "_th", "n", "f1", "f2", "bands", "bits"],
+            )
 
     return run
 
@@ -127,12 +134,12 @@ def _sets(config: NearConfig):
     return run
 
 
-SKETCH = "doc_id long, _th long, n long, f1 long, f2 long, bands array<long>"
+SKETCH = "doc_id long, _th long, n long, f1 long, f2 long, bands array<long>, bits array<long>"
 
 
 def sketches(docs: DataFrame, config: NearConfig = CONFIG) -> DataFrame:
     keyed = with_text_key(docs).select("doc_id", "_th", "text")
-    return written(keyed.mapInArrow(_sketches(config), SKETCH), "sketches")
+    return written(keyed.mapInArrow(_sketches(config), SKETCH).drop("bits"), "sketches")
 
 
 def nodes_of(sketch: DataFrame) -> DataFrame:
@@ -145,6 +152,18 @@ def _alike(n1: Column, n2: Column, least: float) -> Column:
     return F.least(n1, n2) >= least * F.greatest(n1, n2)
 
 
+#: Standard deviations below the similarity at which the bits of a pair let it pass to the exact verification.
+SLACK = 4.5
+
+
+def _bits_allow(a: Column, b: Column, registers: int, least: float) -> Column:
+    """Whether the bits of two sketches are near enough for the similarity: one such pair in 300,000 is not."""
+    places = registers // 64 * 64
+    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(places // 64)), F.lit(0))
+    p = (1 - least) / 2
+    return differ <= places * p + SLACK * (places * p * (1 - p)) ** 0.5
+
+
 def centre_pairs(buckets: DataFrame, least: float) -> DataFrame:
     """(a, b): each node with the centre of each of its buckets, where their sizes allow the similarity."""
     centre = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key"), "node", "n")).alias("c"), F.count("*").alias("members")).filter("members > 1")
@@ -152,17 +171,15 @@ def centre_pairs(buckets: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
 
-def rest_pairs(buckets: DataFrame, labels: DataFrame, least: float, centres: bool) -> DataFrame:
-    """(a, b) of one bucket and different components: with the other components' centres there, or all of them."""
+def rest_pairs(buckets: DataFrame, labels: DataFrame, bits: DataFrame, config: NearConfig, fine: NearConfig) -> DataFrame:
+    """(a, b) of one bucket and different components, where sizes and bits allow the similarity."""
     placed = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    placed = written(placed.join(split, "key", "left_semi"), "split-buckets")
-    if centres:
-        other = placed.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("node", "key"), "node", "n")).alias("c")).select("key", F.col("label").alias("cl"), F.col("c.node").alias("c"), F.col("c.n").alias("cn"))
-    else:
-        other = placed.select("key", F.col("label").alias("cl"), F.col("node").alias("c"), F.col("n").alias("cn"))
-    met = placed.join(other, "key").filter((F.col("label") != F.col("cl")) & _alike(F.col("n"), F.col("cn"), least))
-    return met.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    placed = written(placed.join(split, "key", "left_semi").join(bits, "node"), "split-buckets")
+    other = placed.select("key", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "label", "bits")])
+    near = _alike(F.col("n"), F.col("_n"), config.similarity) & _bits_allow(F.col("bits"), F.col("_bits"), fine.registers, config.similarity)
+    met = placed.join(other, "key").filter((F.col("node") < F.col("_node")) & (F.col("label") != F.col("_label")) & near)
+    return met.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -172,14 +189,14 @@ def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return keyed.join(involved, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("_th").eqNullSafe(F.col("t"))).select("node", "text")
 
 
-def fine_buckets(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, labels: DataFrame, fine: NearConfig = FINE) -> DataFrame:
-    """Finer buckets of the nodes that share a bucket with another component."""
+def fine_sketches(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, labels: DataFrame, fine: NearConfig = FINE) -> DataFrame:
+    """node, n, bands and bits of the nodes that share a bucket with another component."""
     placed = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     wanted = placed.join(split, "key", "left_semi").select("node").distinct()
     texts = texts_of(docs, nodes, wanted).select(F.col("node").alias("doc_id"), F.lit(0).cast("long").alias("_th"), "text")
-    sketch = texts.mapInArrow(_sketches(fine), SKETCH).select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("key"))
-    return written(sketch.dropDuplicates(["node", "key"]), "fine-buckets")
+    sketch = texts.mapInArrow(_sketches(fine, with_bits=True), SKETCH).select(F.col("doc_id").alias("node"), "n", "bands", "bits")
+    return written(sketch.dropDuplicates(["node"]), "fine-sketches")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, config: NearConfig = CONFIG) -> DataFrame:
@@ -221,11 +238,10 @@ def classes(docs: DataFrame, config: NearConfig = CONFIG) -> DataFrame:
     buckets = nodes.select("node", "n", F.explode("bands").alias("key"))
     links = written(verified(docs, nodes, centre_pairs(buckets, config.similarity), config), "links")
     labels = written(components(links), "labels")
-    fine = fine_buckets(docs, nodes, buckets, labels)
-    for step in ("centres", "components", "rest"):
-        pairs = centre_pairs(fine, config.similarity) if step == "centres" else rest_pairs(fine, labels, config.similarity, step == "components")
-        more = verified(docs, nodes, pairs.join(links, ["a", "b"], "left_anti"), config)
-        more = written(more, "links")
+    fine = fine_sketches(docs, nodes, buckets, labels)
+    fine_buckets = fine.select("node", "n", F.explode("bands").alias("key"))
+    for pairs_of in (lambda: centre_pairs(fine_buckets, config.similarity), lambda: rest_pairs(fine_buckets, labels, fine.select("node", "bits"), config, FINE)):
+        more = written(verified(docs, nodes, pairs_of().join(links, ["a", "b"], "left_anti"), config), "links")
         if not more.isEmpty():
             links = links.union(more)
             labels = written(components(links), "labels")
