@@ -36,5 +36,5 @@ def latest_progress_stream(events: DataFrame):
 
 def finished_per_window(events: DataFrame, late: str = "24 hours", window: str = "15 minutes") -> DataFrame:
     """Finished jobs per window; the watermark bounds the state and drops later events."""
-    rows = events.withWatermark("ts", late).filter(F.col("status").isin(*FINISHED))
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).filter(F.col("status").isin(*FINISHED))
     return rows.groupBy(F.window("ts", window).alias("w"), "status").agg(F.count("*").alias("n")).select("w.start", "w.end", "status", "n")
