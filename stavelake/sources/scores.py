@@ -21,7 +21,7 @@ ELEMENT = (
     "path string, part_id string, measure_pos int, number string, seq int, kind string, voice string, staff string, duration int, type string, dots int, "
     "is_rest boolean, is_chord boolean, is_grace boolean, step string, alter int, octave int, lyric string, error string"
 )
-#: Order in which the members of a work bundle are preferred.
+# Names of the members of a work bundle, in order of preference.
 BUNDLE_RANK = ("audiveris_raw", "review", "baseline")
 
 
