@@ -1,16 +1,16 @@
 """Operator 8: Katz backoff scoring.
 
-Words that make at least one in ``VOCABULARY_SHARE`` training tokens are the vocabulary: so there are at most that
-many, whatever the corpus. Every other word belongs to the class of rare words. Bigrams of classes are
-counted over the whole training corpus and Good-Turing discounted; what a context's discounts free goes to the
-classes never seen after it, by their unigram probability, with a backoff weight that makes each context's probabilities add up to
-one exactly. A rare word's probability is that of its class times its own Good-Turing share of the class; all
-words unseen in training share one symbol, as in the base score.
-
-Tables: words (word hash, count), bigrams (class pair, count) and gains, partitioned by key. A token is first taken
-as unseen at both levels, from arrays of vocabulary size, and its gain over that is looked up: the bigrams of at least
-one in ``BIGRAM_SHARE`` tokens in a broadcast array (again that many at most), the others by a join with the
-table. So no key of the join holds more than a bounded share of the rows, and the result is exact.
+Bigrams of words are counted over the whole training corpus, combined before the shuffle, and Good-Turing
+discounted; what a context's discounts free goes to the words never seen after it, by their unigram probability,
+with a backoff weight that makes each context's probabilities add up to one exactly. No word is left out as a context or as
+a successor, however rare; all words unseen in training share one symbol, as in the base score.
+
+Tables: words (word hash, count), bigrams (context, word, count), contexts (context, log weights of its seen and unseen
+successors) and gains, partitioned by key. A token is first taken as an unseen word after an unseen context, and
+its gains over that are looked up. Words that make at least one in ``VOCABULARY_SHARE`` training tokens and bigrams of at
+least one in ``BIGRAM_SHARE`` (at most that many of each) are looked up in broadcast arrays, all others by a join, once per
+document. That is only the faster way to the same numbers, and no key of a join holds more than a bounded share of
+the rows.
 
 Defined cases: a null text is empty and is scored as its end alone; without training documents every word is unseen and the
 score falls back to that; repeated rows of a doc_id repeat its text (their common sums are shared out), and a
@@ -35,31 +35,43 @@ VOCABULARY_SHARE = 1 << 16
 BIGRAM_SHARE = 1 << 20
 #: Counts up to this are discounted.
 K = 5
-END = U(0x452821E638D01377)
+#: Set in every word hash: as a signed number it is negative, so it is never the place of a frequent word.
+TOP = U(1 << 63)
+END = U(0x452821E638D01377) | TOP
 TOKENS_A_BLOCK = 2_000_000
 
 
 @dataclass(frozen=True)
-class Classes:
-    """Sorted hashes of the vocabulary; ids are their places, then the rare class, then the start (context only)."""
+class Frequent:
+    """Sorted hashes and counts of the frequent words; the code of one is its place, that of any other word its hash."""
 
     hashes: np.ndarray
-    counts: np.ndarray  # of the vocabulary and the rare class
-    total: int
+    counts: np.ndarray
 
     @property
-    def rare(self) -> int:
+    def start(self) -> int:
+        """The code of the context of a first word, and the place of a word that is not frequent."""
         return len(self.hashes)
 
-    @property
-    def size(self) -> int:
-        return len(self.hashes) + 2
-
-    def ids(self, words: np.ndarray) -> np.ndarray:
+    def places(self, words: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at, self.rare)
+        return np.where(self.hashes[at] == words, at, self.start)
+
+    def pairs(self, row: np.ndarray, words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(context, word) of every token, as codes."""
+        x = np.where(places < self.start, places, words.view(np.int64))
+        h = np.empty(len(x), np.int64)
+        h[1:] = x[:-1]
+        first = np.ones(len(x), bool)
+        first[1:] = row[1:] != row[:-1]
+        h[first] = self.start
+        return h, x
+
+    def counts_of(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The counts of the words of these codes; n: of those that are not frequent."""
+        return np.where(x >= 0, np.append(self.counts, 0)[np.maximum(x, 0)], n)
 
 
 def with_ends(t: tokens.Text) -> tuple[np.ndarray, np.ndarray]:
@@ -70,39 +82,55 @@ def with_ends(t: tokens.Text) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty(n.sum(), U)
     is_word = np.ones(len(out), bool)
     is_word[at_end] = False
-    out[is_word], out[at_end] = t.folded, END
+    out[is_word], out[at_end] = t.folded | TOP, END
     return np.repeat(np.arange(rows), n), out
 
 
-def bigram_keys(row: np.ndarray, ids: np.ndarray, classes: Classes) -> np.ndarray:
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    first = np.ones(len(ids), bool)
-    first[1:] = row[1:] != row[:-1]
-    before[first] = classes.size - 1
-    return before * classes.size + ids
+def pair_keys(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return mix(mix(h.astype(U) ^ BIGRAM_TAG) + x.astype(U) * U(0xD1342543DE82EF95))
 
 
-def _counted(docs: DataFrame, key_of) -> DataFrame:
-    """key, n: counted in blocks before the shuffle."""
+def _blocks(docs: DataFrame, columns: tuple[str, ...], columns_of) -> DataFrame:
+    """The columns and n: counted in blocks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def block() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+            found = [np.concatenate(x) for x in zip(*held)]
+            _, at, n = np.unique(found[0] if len(found) == 1 else pair_keys(*found), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64), pa.int64()) for x in found], pa.array(n, pa.int64())], names=[*columns, "n"])
 
         for _, column in tokens.slices(batches):
-            held.append(key_of(*with_ends(tokens.text_of(column))))
-            size += len(held[-1])
+            held.append(columns_of(*with_ends(tokens.text_of(column))))
+            size += len(held[-1][0])
             if size >= TOKENS_A_BLOCK:
                 yield block()
                 held, size = [], 0
         if held:
             yield block()
 
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in (*columns, "n")))
+
+
+def counted_words(docs: DataFrame) -> DataFrame:
+    """key, n of every word."""
+    return _blocks(docs, ("key",), lambda row, words: (words,)).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def counted_bigrams(docs: DataFrame, frequent, words: DataFrame) -> DataFrame:
+    """h, x, n of every pair of words, and the count of x where it is not frequent (frequent: a broadcast).
+
+    Pairs are dealt by x where it is not frequent, so one shuffle serves the counts and the join.
+    """
+
+    def codes(row: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f = frequent.value
+        return f.pairs(row, w, f.places(w))
+
+    dealt = F.when(F.col("x") < 0, F.col("x")).otherwise(F.shiftrightunsigned(F.xxhash64("h", "x"), 1))
+    pairs = _blocks(docs, ("h", "x"), codes).withColumn("part", dealt).repartition("part").groupBy("part", "h", "x").agg(F.sum("n").alias("n"))
+    return pairs.join(words.select(F.col("key").alias("part"), F.col("n").alias("x_n")), "part", "left").select("h", "x", "n", F.coalesce("x_n", F.lit(0)).alias("x_n"))
 
 
 def discounts(counts_of_counts: dict[int, int]) -> np.ndarray:
@@ -133,6 +161,13 @@ class Unigrams:
         d = F.when(count > K, F.lit(1.0)).otherwise(F.element_at(F.array(*[F.lit(float(x)) for x in self.discount]), (F.least(count, F.lit(K)) + 1).cast("int")))
         return d * count / self.total * self.seen_scale
 
+    def probabilities(self, count: np.ndarray) -> np.ndarray:
+        return discounted(count, self.discount) / max(self.total, 1) * self.seen_scale
+
+
+def discounted(n: np.ndarray, discount: np.ndarray) -> np.ndarray:
+    return n * np.where(n > K, 1.0, discount[np.minimum(n, K)])
+
 
 def count_histogram(counts: DataFrame) -> dict[int, tuple[int, int]]:
     """count (K + 1 for K + 1 itself, K + 2 for more) -> (keys, their sum)."""
@@ -152,72 +187,60 @@ def unigrams(words: DataFrame) -> Unigrams:
     return Unigrams(total, distinct, d, unseen, 1.0)
 
 
-@dataclass(frozen=True)
-class Backoff:
-    """log10 of what each context gives: seen[h] to d*c, unseen[h] to the unigram probability uni[x]."""
+def contexts_of(bigrams: DataFrame, frequent, d: np.ndarray, uni: Unigrams) -> DataFrame:
+    """h, seen and unseen: log10 of what each context gives to d * c of a seen successor and to the unigram probability of any other."""
 
-    seen: np.ndarray
-    unseen: np.ndarray
-    uni: np.ndarray
-    discount: np.ndarray
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, x, n, x_n = (c.to_numpy() for c in b.columns)
+            p = uni.probabilities(frequent.value.counts_of(x, x_n))
+            at, where = np.unique(h, return_inverse=True)
+            sums = [np.bincount(where, weights=w, minlength=len(at)) for w in (n, discounted(n, d), p)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, sums)], names=["h", "total", "kept", "mass"])
 
+    sums = bigrams.select("h", "x", "n", "x_n").mapInArrow(run, "h long, total double, kept double, mass double")
+    sums = sums.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("total", "kept", "mass")])
+    total, free = F.col("total"), 1 - F.col("kept") / F.col("total")
+    none = free <= 1e-12
+    # The unseen word follows no context, so at least its probability is left to back off to.
+    rest = F.greatest(1 - F.col("mass"), F.lit(uni.unseen))
+    return sums.select("h", F.log10(F.when(none, 1 / (total + 1)).otherwise(1 / total)).alias("seen"), F.log10(F.when(none, 1 / (total + 1)).otherwise(free) / rest).alias("unseen"))
 
-def backoff(bigrams: DataFrame, classes: Classes, uni: Unigrams) -> Backoff:
-    """Normalises every context: the driver gets one row per context of the vocabulary, which is bounded."""
-    size = classes.size
-    seen = count_histogram(bigrams)
-    d = discounts({r: k for r, (k, _) in seen.items() if r <= K + 1})
-    vocabulary = classes.counts[: classes.rare] / max(uni.total, 1) * uni.seen_scale
-    p = np.append(vocabulary, max(1 - vocabulary.sum(), 0.0))
-    if p[-1] <= 0:
-        p = np.append(vocabulary * (1 - 1e-9), 1e-9)
-    by_context = backoff_sums(bigrams, size, d, p)
-    out_seen, out_unseen = np.zeros(size), np.zeros(size)
-    if by_context:
-        h, total, kept, mass, kinds = (np.array(x) for x in zip(*by_context))
-        free, rest = 1 - kept / total, 1 - mass
-        all_seen = kinds >= len(p)
-        scale = np.where(all_seen, total / kept, np.where(free <= 1e-12, total / (total + 1.0), 1.0))
-        free = np.where(free <= 1e-12, 1 / (total + 1.0), free)
-        out_seen[h] = np.log10(scale / total)
-        out_unseen[h] = np.where(all_seen, 0.0, np.log10(free / np.maximum(rest, 1e-15)))
-    return Backoff(out_seen, out_unseen, np.log10(p), d)
-
-
-def backoff_sums(bigrams: DataFrame, size: int, d: np.ndarray, p: np.ndarray) -> list[tuple]:
-    """(context, total, discounted total, unigram mass of the classes seen after it, their number)."""
+
+def bigram_gains(pairs: DataFrame, contexts: DataFrame, broadcast, d: np.ndarray, uni: Unigrams) -> DataFrame:
+    """key and score_gain: the gain of each seen pair over the same pair taken as unseen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, seen, unseen = broadcast.value
         for b in batches:
-            key, n = (b.column(i).to_numpy() for i in (0, 1))
-            h, x = key // size, key % size
-            kept = n * np.where(n > K, 1.0, d[np.minimum(n, K)])
-            at, where = np.unique(h, return_inverse=True)
-            sums = [np.bincount(where, weights=w, minlength=len(at)) for w in (n, kept, p[x], np.ones(len(n)))]
-            yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, sums)], names=["h", "total", "kept", "mass", "kinds"])
+            h, x, n, x_n = (b.column(i).to_numpy() for i in range(4))
+            weight = [np.where(h >= 0, of[np.maximum(h, 0)], b.column(i).to_numpy(zero_copy_only=False)) for i, of in ((4, seen), (5, unseen))]
+            gain = np.log10(discounted(n, d)) + weight[0] - weight[1] - np.log10(uni.probabilities(frequent.counts_of(x, x_n)))
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(h, x).view(np.int64)), pa.array(gain)], names=["key", "score_gain"])
 
-    sums = bigrams.select("key", "n").mapInArrow(run, "h long, total double, kept double, mass double, kinds double")
-    sums = sums.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("total", "kept", "mass", "kinds")])
-    return [tuple(r) for r in sums.collect()]
+    names = ["h", "x", "n", "x_n"]
+    nothing = F.lit(0.0).alias("seen"), F.lit(0.0).alias("unseen")
+    joined = pairs.filter("h < 0").join(contexts.filter("h < 0"), "h").select(*names, "seen", "unseen")
+    return pairs.filter("h >= 0").select(*names, *nothing).union(joined).mapInArrow(run, "key long, score_gain double")
 
 
 BIGRAM_TAG, OWN_TAG = U(0x9216D5D98979FB1B), U(0xC0AC29B7C97C50DD)
 
 
-def _scan(docs: DataFrame, classes: Classes, model: Backoff, broadcast, unseen_base: float, unseen_score: float) -> DataFrame:
-    """doc, key, tf and, in one row of each document, base, score, n_tokens, n_known with all taken as unseen."""
+def _scan(docs: DataFrame, broadcast) -> DataFrame:
+    """doc, key, tf and, in one row of each document, base, score, n_tokens, n_known with all that is not broadcast taken as unseen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, m, bigram_key, bigram_gain, vocabulary_base = broadcast.value
-        size = c.size
+        c, unseen_after, word_score, word_base, bigram_key, bigram_gain = broadcast.value
         for part, column in tokens.slices(batches, limit=1 << 20):
             rows = len(column)
             row, words = with_ends(tokens.text_of(column))
-            ids = c.ids(words)
-            keys = bigram_keys(row, ids, c)
-            rare = ids == c.rare
-            base = np.where(rare, unseen_base, vocabulary_base[ids])
-            score = m.unseen[keys // size] + m.uni[ids] + np.where(rare, unseen_score, 0.0)
+            places = c.places(words)
+            h, x = c.pairs(row, words, places)
+            keys = pair_keys(h, x)
+            rare = places == c.start
+            base = word_base[places]
+            score = np.where(h >= 0, unseen_after[np.maximum(h, 0)], 0.0) + word_score[places]
             if len(bigram_key):
                 at = np.minimum(np.searchsorted(bigram_key, keys), len(bigram_key) - 1)
                 hit = bigram_key[at] == keys
@@ -228,7 +251,7 @@ def _scan(docs: DataFrame, classes: Classes, model: Backoff, broadcast, unseen_b
             doc = part.column(part.schema.get_field_index("doc")).to_numpy()
             n_tokens, n_known = np.bincount(row, minlength=rows), per_row(~rare)
             asked_row = np.concatenate([row[rare], row[~hit]])
-            asked = np.concatenate([words[rare], mix(keys[~hit].astype(U) ^ BIGRAM_TAG)])
+            asked = np.concatenate([words[rare], keys[~hit]])
             order = np.lexsort((asked, asked_row))
             asked, asked_row = asked[order], asked_row[order]
             new = np.ones(len(asked), bool)
@@ -255,63 +278,49 @@ def _scan(docs: DataFrame, classes: Classes, model: Backoff, broadcast, unseen_b
     return docs.select("doc", "text").mapInArrow(run, "doc long, key long, tf int, base double, score double, n_tokens long, n_known long")
 
 
-def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The keys with a count of at least ``least``, sorted; the caller's threshold bounds their number."""
-    found = counts.filter(F.col("n") >= F.lit(least)).toArrow()
-    key, n = found.column("key").to_numpy(), found.column("n").to_numpy()
-    order = np.argsort(key.view(U) if len(key) else key)
-    return key[order], n[order]
-
-
 def scored(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document; learns where ``train`` holds."""
     spark = docs.sparkSession
     keyed = with_text_key(docs.select("doc_id", "text")).withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned("_th", 1)))
     training = keyed.filter(train)
 
-    words = written(_counted(training, lambda row, w: w), "words")
+    words = written(counted_words(training), "words")
     uni = unigrams(words)
-    key, n = _frequent(words, max(uni.total / VOCABULARY_SHARE, K + 1))
-    classes = Classes(key.view(U), np.append(n, uni.total - n.sum()), uni.total)
-    shared_classes = spark.sparkContext.broadcast(classes)
-
-    bigrams = written(_counted(training, lambda row, w: bigram_keys(row, shared_classes.value.ids(w), shared_classes.value).view(U)), "bigrams")
-    model = backoff(bigrams, classes, uni)
-
-    # The gain of a seen bigram over the same pair taken as unseen.
-    size = classes.size
-
-    def gain(key: np.ndarray, n: np.ndarray, m: Backoff) -> np.ndarray:
-        h, x = key // size, key % size
-        return np.log10(n * np.where(n > K, 1.0, m.discount[np.minimum(n, K)])) + m.seen[h] - m.unseen[h] - m.uni[x]
+    least = max(uni.total / VOCABULARY_SHARE, K + 1)
+    found = words.filter(F.col("n") >= F.lit(least)).toArrow()
+    key, n = (found.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(key.view(U))
+    frequent = Frequent(key.view(U)[order], n[order])
+    shared = spark.sparkContext.broadcast(frequent)
+
+    bigrams = written(counted_bigrams(training, shared, words), "bigrams")
+    d = discounts({r: k for r, (k, _) in count_histogram(bigrams).items() if r <= K + 1})
+    contexts = written(contexts_of(bigrams, shared, d, uni), "contexts")
+    seen_after, unseen_after = np.zeros(frequent.start + 1), np.zeros(frequent.start + 1)
+    found = contexts.filter("h >= 0").toArrow()
+    at = found.column("h").to_numpy()
+    seen_after[at], unseen_after[at] = (found.column(c).to_numpy() for c in ("seen", "unseen"))
+    weights = spark.sparkContext.broadcast((frequent, seen_after, unseen_after))
 
     often = max(uni.total / BIGRAM_SHARE, K + 1)
-    bigram_key, bigram_n = _frequent(bigrams, often)
-    bigram_gain = gain(bigram_key, bigram_n, model) if len(bigram_key) else np.zeros(0)
+    gains_of = lambda pairs: bigram_gains(pairs, contexts, weights, d, uni)
+    found = gains_of(bigrams.filter(F.col("n") >= F.lit(often))).toArrow()
+    bigram_key, bigram_gain = found.column("key").to_numpy().view(U), found.column("score_gain").to_numpy()
+    order = np.argsort(bigram_key)
     floor = uni.total + 0.1 * (uni.distinct + 1)
-    base_log = lambda c: np.log10((c + 0.1) / floor)
-    vocabulary_base = np.append(base_log(classes.counts[: classes.rare]), 0.0)
-    rare_mass = max(10.0 ** model.uni[-1], 1e-300)
-    unseen_score = float(np.log10(uni.unseen / rare_mass)) if uni.total else 0.0
-    unseen_base = float(np.log10(0.1 / floor))
-    broadcast = spark.sparkContext.broadcast((classes, model, bigram_key, bigram_gain, vocabulary_base))
-
-    def bigram_gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = broadcast.value[1]
-        for b in batches:
-            k, n = (b.column(i).to_numpy() for i in (0, 1))
-            keys = mix(k.astype(U) ^ BIGRAM_TAG).view(np.int64)
-            zero = np.zeros(len(k))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(zero), pa.array(gain(k, n, m)), pa.array(zero.astype(np.int64))], names=["key", "base_gain", "score_gain", "known"])
-
-    gain_schema = "key long, base_gain double, score_gain double, known long"
-    of_bigrams = bigrams.filter(F.col("n") < often).select("key", "n").mapInArrow(bigram_gains, gain_schema)
-    count = F.col("n")
-    share = F.log10(uni.probability(count) / rare_mass) - unseen_score
-    of_words = words.filter(count < max(uni.total / VOCABULARY_SHARE, K + 1)).select("key", (F.log10((count + 0.1) / 0.1)).alias("base_gain"), share.alias("score_gain"), F.lit(1).cast("long").alias("known"))
+    word_base = np.log10((np.append(frequent.counts, 0) + 0.1) / floor)
+    word_score = np.log10(np.append(uni.probabilities(frequent.counts), uni.unseen))
+    broadcast = spark.sparkContext.broadcast((frequent, unseen_after, word_score, word_base, bigram_key[order], bigram_gain[order]))
+
+    none, one = F.lit(0).cast("long").alias("known"), F.lit(1).cast("long").alias("known")
+    of_bigrams = gains_of(bigrams.filter(F.col("n") < F.lit(often))).select("key", F.lit(0.0).alias("base_gain"), "score_gain", none)
+    # A word stands as often before a token as it is one; only the end, which is no context, has no weight of its own.
+    count, rare = F.col("n"), words.filter(F.col("n") < F.lit(least)).join(contexts.filter("h < 0"), F.col("key") == F.col("h"), "left")
+    word_gain = F.log10(uni.probability(count) / uni.unseen) + F.coalesce("unseen", F.lit(0.0)) if uni.total else F.lit(0.0)
+    of_words = rare.select("key", F.log10((count + 0.1) / 0.1).alias("base_gain"), word_gain.alias("score_gain"), one)
     gains = of_words.unionByName(of_bigrams)
 
-    met = _scan(keyed, classes, model, broadcast, unseen_base, unseen_score).join(gains, "key", "left")
+    met = _scan(keyed, broadcast).join(gains, "key", "left")
     both = lambda own, gain_of: ((F.sum(own) + F.coalesce(F.sum(F.col("tf") * F.col(gain_of)), F.lit(0))) / F.count("n_tokens"))
     # Repeated rows of a document ask for the same keys: the sums are shared out.
     sums = met.groupBy("doc").agg(

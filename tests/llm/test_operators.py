@@ -255,6 +255,48 @@ def test_language_model(docs, empty, small, spark):
     assert language_model.scored(empty, language_model.training_split(language_model.F.col("doc_id"))).count() == 0
 
 
+def katz(trained, text):
+    """Plain Katz over all words: the score of a text (its end as None) after the trained texts."""
+    c, pairs, after = Counter(w for t in trained for w in t), Counter(), defaultdict(dict)
+    for t in trained:
+        pairs.update(zip(["<s>", *t], t))
+    for (h, w), n in pairs.items():
+        after[h][w] = n
+    of = lambda counts: language_model.discounts({r: k for r, k in Counter(counts.values()).items() if r <= language_model.K + 1})
+    kept = lambda n, d: n * (1.0 if n > language_model.K else d[n])
+    total, d1, d2 = sum(c.values()), of(c), of(pairs)
+    p = {w: kept(n, d1) / total for w, n in c.items()}
+    unseen = 1 - sum(p.values())
+    assert unseen > 0
+    score = 0.0
+    for h, w in zip(["<s>", *text], text):
+        seen = after.get(h, {})
+        if not seen:
+            score += math.log10(p.get(w, unseen))
+            continue
+        n = sum(seen.values())
+        free = 1 - sum(kept(x, d2) for x in seen.values()) / n
+        scale = 1.0
+        if free <= 1e-12:
+            scale, free = n / (n + 1), 1 / (n + 1)
+        score += math.log10(scale * kept(seen[w], d2) / n if w in seen else free / (1 - sum(p[x] for x in seen)) * p.get(w, unseen))
+    return score
+
+
+def test_language_model_equals_plain_katz_over_all_words(spark):
+    train = language_model.F.col("doc_id") < 80
+    texts = [prose(700 + i, 50) for i in range(100)]
+    for i in range(0, 80, 20):
+        texts[i] += " seldom together"  # four times: under every threshold, yet a pair of its own
+    texts[90], texts[91] = "seldom together", "together seldom"
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in language_model.scored(table, train).collect()}
+    trained = [[*words(t), None] for t in texts[:80]]
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i], katz(trained, [*words(t), None]), rel_tol=1e-9), i
+    assert got[90] - got[91] > 2
+
+
 def test_good_turing_discounts():
     d = language_model.discounts({1: 1000, 2: 400, 3: 200, 4: 120, 5: 80, 6: 55})
     assert all(0 < x < 1 for x in d[1:])
