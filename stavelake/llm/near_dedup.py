@@ -1,9 +1,10 @@
 """Operator 9: near-duplicate documents by ProbMinHash, banding and verification.
 
-A document is the weighted set of its five-word shingles. Every shingle runs a Poisson process seeded by its hash, with
-a rate that grows with its weight; each arrival falls on one of the registers and a register keeps the earliest.
-A document's processes stop once their next arrival is later than every register, so most shingles draw one or
-two numbers. Two registers agree with the probability Jaccard similarity. Rows of registers form bands.
+A document is the set of its distinct five-word shingles, each of weight one: the sketch and the verification judge
+the same similarity, however often a text repeats a passage. Every shingle runs a Poisson process seeded by its hash;
+each arrival falls on one of the registers and a register keeps the earliest. A document's processes stop once their
+next arrival is later than every register, so most shingles draw one or two numbers. With equal weights two
+registers agree with the Jaccard similarity. Rows of registers form bands.
 
 Equal shingle sets are collapsed first, so a group of copies is one node. Within a band's bucket each node is paired
 with the bucket's centre only (another centre in each band); pairs are verified by the exact Jaccard similarity
@@ -58,14 +59,13 @@ def shingles(t: tokens.Text, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([t.row[at], short]), np.concatenate([found, whole])
 
 
-def weighted(row: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle, times) of each distinct shingle of a row, by row and shingle."""
+def distinct(row: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of each distinct shingle of a row, by row and shingle."""
     order = np.lexsort((found, row))
     row, found = row[order], found[order]
     first = np.ones(len(row), bool)
     first[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
-    at = np.flatnonzero(first)
-    return row[at], found[at], np.diff(np.append(at, len(row)))
+    return row[first], found[first]
 
 
 def probminhash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int, registers: int) -> np.ndarray:
@@ -95,10 +95,10 @@ def _sketches(config: NearConfig, with_bits: bool = False):
         for part, column in tokens.slices(batches, limit=1 << 21):
             t = tokens.text_of(column)
             rows = len(column)
-            row, element, times = weighted(*shingles(t, config.shingle))
+            row, element = distinct(*shingles(t, config.shingle))
             counts = np.bincount(row, minlength=rows)
             first = np.concatenate([[0], np.cumsum(counts)])
-            kept = probminhash(row, element, 1.0 + np.log(times), rows, config.registers)
+            kept = probminhash(row, element, np.ones(len(row)), rows, config.registers)
             bands = np.zeros((rows, config.bands), U)
             grouped = kept.reshape(rows, config.bands, config.rows)
             for i in range(config.rows):
@@ -126,7 +126,7 @@ def _sketches(config: NearConfig, with_bits: bool = False):
 def _sets(config: NearConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, column in tokens.slices(batches):
-            row, element, _ = weighted(*shingles(tokens.text_of(column), config.shingle))
+            row, element = distinct(*shingles(tokens.text_of(column), config.shingle))
             counts = np.bincount(row, minlength=len(column))
             node = part.column(part.schema.get_field_index("node"))
             yield pa.RecordBatch.from_arrays([node, tokens.lists(counts, element.view(np.int64), pa.int64())], names=["node", "elements"])

@@ -342,6 +342,20 @@ def test_near_dedup_equals_all_pairs(spark, docs, empty):
     assert near_dedup.classes(empty).count() == 0
 
 
+def test_near_dedup_links_texts_with_repeated_passages(spark):
+    rows = []
+    for g, times in enumerate([5, 10, 50] * 8):
+        base = prose(900 + g, 400)
+        # Each text repeats a passage of its own, so nearly all of the differing shingles are frequent in their text.
+        rows += [(2 * g + k, base + (" " + prose(1000 + 2 * g + k, 40)) * times) for k in (0, 1)]
+    sets = {d: shingle_set(t) for d, t in rows}
+    for g in range(24):
+        a, b = sets[2 * g], sets[2 * g + 1]
+        assert len(a & b) >= 0.8 * len(a | b)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d // 2 * 2 for d in sets}
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
