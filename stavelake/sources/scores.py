@@ -137,16 +137,23 @@ def scan_layout(spark: SparkSession, folder: str) -> DataFrame:
 def scan_fixes(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of correction logs, ``{"fixes": [...]}`` or a bare list; a log that cannot be read gives none."""
     fix = "array<struct<id:string,kind:string,partId:string,measureMxl:string,noteIndex:int,args:map<string,string>>>"
-    text = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("json"))
-    listed = F.when(F.startswith("json", F.lit("[")), F.from_json("json", fix)).otherwise(F.from_json("json", f"fixes {fix}")["fixes"])
-    return text.select("path", F.posexplode(listed).alias("ord", "f")).select("path", "ord", "f.*")
+    text = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("json"))
+    log = F.from_json("json", f"path string, fixes {fix}")
+    bare = F.startswith("json", F.lit("["))
+    listed = F.when(bare, F.from_json("json", fix)).otherwise(log["fixes"])
+    # A log of write_fixes names the file its fixes came from.
+    named = F.coalesce(F.when(~bare, log["path"]), F.col("file")).alias("path")
+    return text.select(named, F.posexplode(listed).alias("ord", "f")).select("path", "ord", "f.*")
 
 
 def write_fixes(fixes: DataFrame, folder: str, saved_at: str) -> None:
-    """One JSON object per score with version, time and its fixes in order."""
-    row = F.struct("ord", "id", "kind", "partId", "measureMxl", "noteIndex")
-    logs = fixes.groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("fixes"))
-    logs.select(F.lit(1).alias("version"), F.lit(saved_at).alias("savedAt"), "path", "fixes").write.mode("overwrite").json(folder)
+    """One log per score: a JSON object with version, time and its fixes in order, with their values; scan_fixes reads them back."""
+    row = F.struct("ord", F.struct("id", "kind", "partId", "measureMxl", "noteIndex", "args").alias("f"))
+    # A map has no order, so the rows are sorted by their number alone.
+    placed = F.array_sort(F.collect_list(row), lambda a, b: a["ord"] - b["ord"])
+    logs = fixes.groupBy("path").agg(F.transform(placed, lambda x: x["f"].withField("ord", x["ord"])).alias("fixes"))
+    logs = logs.select(F.lit(1).alias("version"), F.lit(saved_at).alias("savedAt"), "path", "fixes")
+    logs.write.mode("overwrite").option("maxRecordsPerFile", 1).json(folder)
 
 
 def scan_symbols(spark: SparkSession, folder: str) -> DataFrame:

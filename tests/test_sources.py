@@ -76,6 +76,18 @@ def test_layout_fixes_symbols(spark, tmp_path):
     assert scores.scan_symbols(spark, str(tmp_path / "symbols")).select("measure", "pitch").collect() == [(1, "C4")]
 
 
+def test_fixes_read_back_equal(spark, tmp_path):
+    (tmp_path / "fixes").mkdir()
+    pitch = {"id": "1", "kind": "setPitch", "partId": "P1", "measureMxl": "3", "noteIndex": 0, "args": {"step": "C", "octave": 5}}
+    bare = {"id": "2", "kind": "removeNote", "partId": "P1", "measureMxl": "3", "noteIndex": 1}
+    for name, listed in (("a", [pitch, bare]), ("b", [bare]), ("c", [pitch | {"args": {"type": "half"}}])):
+        (tmp_path / "fixes" / f"{name}.json").write_text(json.dumps({"version": 1, "fixes": listed}))
+    read = lambda folder: [tuple(r) for r in scores.scan_fixes(spark, str(folder)).orderBy("path", "ord").collect()]
+    scores.write_fixes(scores.scan_fixes(spark, str(tmp_path / "fixes")).coalesce(1), str(tmp_path / "out"), "2024-01-01T00:00:00Z")
+    want = read(tmp_path / "fixes")
+    assert read(tmp_path / "out") == want and [r[-1] for r in want] == [{"step": "C", "octave": "5"}, None, None, {"type": "half"}]
+
+
 def test_report(spark, tmp_path):
     issues = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "x")], "score_id long, measure_no long, code string")
     scores.write_report(issues, str(tmp_path / "r"))
