@@ -74,6 +74,14 @@ def test_quality_rules_remove_frequent_lines(spark):
     assert all(shared not in r["text"] for r in quality_rules.clean(docs, 3, 0.0).filter("doc_id < 5").collect())
 
 
+def test_quality_rules_remove_lines_with_the_production_limit(spark):
+    shared = prose(50, 12)
+    rows = [(1000 * h + i, prose(5000 + 1000 * h + i, 40) + "\n" + shared, f"h{h}") for h, n in ((0, 101), (1, 100)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = {r["doc_id"]: r["removed_words"] for r in quality_rules.verdicts(docs).collect()}
+    assert gone == {d: 12 if h == "h0" else 0 for d, _, h in rows}
+
+
 def test_classifier(spark, docs, empty):
     rng = np.random.default_rng(5)
     good = [(i, prose(1000 + i, 50), 1) for i in range(150)]
