@@ -19,8 +19,16 @@ from pyspark.sql import functions as F
 
 ELEMENT = (
     "path string, part_id string, measure_pos int, number string, seq int, kind string, voice string, staff string, duration int, type string, dots int, "
-    "is_rest boolean, is_chord boolean, is_grace boolean, step string, alter int, octave int, lyric string, error string"
+    "is_rest boolean, is_chord boolean, is_grace boolean, step string, alter int, octave int, lyric string, error string, "
+    "stem string, default_x double, play_order int, beams array<struct<number:int,value:string>>, slurs array<struct<type:string,number:string,placement:string>>, ties array<string>, "
+    "tuplet struct<actual:int,normal:int,type:string>, artic array<struct<tag:string,placement:string>>, lyrics array<struct<verse:int,syllabic:string,text:string>>"
 )
+#: One row per measure; null where the measure does not declare it.
+MEASURES = (
+    "path string, part_id string, measure_pos int, number string, implicit boolean, divisions int, beats int, beat_type int, fifths int, cancel boolean, "
+    "clefs array<struct<staff:int,sign:string,line:int>>, new_page boolean, new_system boolean, error string"
+)
+PLAY_ORDER = "data-hitl-play-order"
 # Names of the members of a work bundle, in order of preference.
 BUNDLE_RANK = ("audiveris_raw", "review", "baseline")
 
@@ -34,12 +42,67 @@ def _whole(value: str | None, default: int = 0) -> int:
     return int(value) if value and value.isdigit() else default
 
 
-def _elements(path: str, xml: bytes) -> Iterator[dict]:
-    xml = re.sub(rb"<!DOCTYPE[^>]*>", b"", xml)
-    root = ElementTree.fromstring(xml)
+def _number(value: str | None, kind: type = int):
+    try:
+        return kind(value) if value is not None else None
+    except ValueError:
+        return None
+
+
+def _marks(node) -> dict:
+    """What a note carries besides its pitch and length."""
+    change, tuplet = node.find("time-modification"), node.find("notations/tuplet")
+    modified = change is not None or tuplet is not None
+    counts = [_number(_text(node, f"time-modification/{x}-notes")) for x in ("actual", "normal")]
+    return {
+        "stem": _text(node, "stem"),
+        "default_x": _number(node.get("default-x"), float),
+        "play_order": _number(node.get(PLAY_ORDER)),
+        "beams": [{"number": _number(b.get("number", "1")), "value": (b.text or "").strip()} for b in node.findall("beam")],
+        "slurs": [{x: b.get(x) for x in ("type", "number", "placement")} for b in node.findall("notations/slur")],
+        "ties": [b.get("type") for b in node.findall("tie")],
+        "tuplet": {"actual": counts[0], "normal": counts[1], "type": tuplet.get("type") if tuplet is not None else None} if modified else None,
+        "artic": [{"tag": b.tag, "placement": b.get("placement")} for b in node.findall("notations/articulations/*")],
+        "lyrics": [{"verse": _number(b.get("number", "1")), "syllabic": _text(b, "syllabic"), "text": _text(b, "text")} for b in node.findall("lyric")],
+    }
+
+
+def _root(xml: bytes):
+    root = ElementTree.fromstring(re.sub(rb"<!DOCTYPE[^>]*>", b"", xml))
     for node in root.iter():
         node.tag = node.tag.rpartition("}")[2]
-    for part in root.findall("part"):
+    return root
+
+
+def _flag(node, name: str) -> bool | None:
+    return None if node is None or node.get(name) is None else node.get(name) == "yes"
+
+
+def _measures(path: str, xml: bytes) -> Iterator[dict]:
+    for part in _root(xml).findall("part"):
+        for pos, measure in enumerate(part.findall("measure"), 1):
+            first = lambda tag: _number(_text(measure, f"attributes/{tag}"))
+            printed, key = measure.find("print"), measure.find("attributes/key")
+            clefs = [{"staff": _number(c.get("number", "1")), "sign": _text(c, "sign"), "line": _number(_text(c, "line"))} for c in measure.findall("attributes/clef")]
+            yield {
+                "path": path,
+                "part_id": part.get("id"),
+                "measure_pos": pos,
+                "number": measure.get("number"),
+                "implicit": _flag(measure, "implicit"),
+                "divisions": first("divisions"),
+                "beats": first("time/beats"),
+                "beat_type": first("time/beat-type"),
+                "fifths": first("key/fifths"),
+                "cancel": key.find("cancel") is not None if key is not None else None,
+                "clefs": clefs or None,
+                "new_page": _flag(printed, "new-page"),
+                "new_system": _flag(printed, "new-system"),
+            }
+
+
+def _elements(path: str, xml: bytes) -> Iterator[dict]:
+    for part in _root(xml).findall("part"):
         for pos, measure in enumerate(part.findall("measure"), 1):
             for seq, node in enumerate((n for n in measure if n.tag in ("note", "backup", "forward")), 1):
                 yield {
@@ -62,6 +125,7 @@ def _elements(path: str, xml: bytes) -> Iterator[dict]:
                     "octave": _whole(_text(node, "pitch/octave"), -1) if node.find("pitch") is not None else None,
                     "lyric": _text(node, "lyric/text"),
                     "error": None,
+                    **_marks(node),
                 }
 
 
@@ -74,20 +138,31 @@ def archive_root(content: bytes) -> bytes:
         return archive.read(found.group(1))
 
 
-_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
-ELEMENT_ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in ELEMENT.split(", "))])
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _arrow(kind: str) -> pa.DataType:
+    if kind.startswith("array<"):
+        return pa.list_(_arrow(kind[6:-1]))
+    if kind.startswith("struct<"):
+        return pa.struct([(name, _ARROW[x]) for name, x in (f.split(":") for f in kind[7:-1].split(","))])
+    return _ARROW[kind]
 
 
-def _parsed(open_: Callable[[bytes], bytes]):
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _arrow(kind)) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+def _parsed(open_: Callable[[bytes], bytes], rows_of: Callable[[str, bytes], Iterator[dict]] = _elements, ddl: str = ELEMENT):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.to_pylist():
                 path = file["path"]
                 try:
-                    rows = list(_elements(path, open_(file["content"])))
+                    rows = list(rows_of(path, open_(file["content"])))
                 except Exception as error:  # the file's own fault; reported in its row
                     rows = [{"path": path, "error": f"{type(error).__name__}: {error}"[:300]}]
-                yield pa.RecordBatch.from_pylist(rows, schema=ELEMENT_ARROW)
+                yield pa.RecordBatch.from_pylist(rows, schema=_schema(ddl))
 
     return run
 
@@ -111,6 +186,11 @@ def scan_xml(spark: SparkSession, folder: str) -> DataFrame:
     return found.mapInArrow(_parsed(bytes), ELEMENT)
 
 
+def scan_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """The measures of every archive with what they declare; those without notes too."""
+    return files(spark, folder, "*.mxl").select("path", "content").mapInArrow(_parsed(archive_root, _measures, MEASURES), MEASURES)
+
+
 def scan_bundles(spark: SparkSession, folder: str) -> DataFrame:
     """Elements of the preferred score archive within each work bundle (an archive of archives)."""
 
@@ -167,20 +247,58 @@ def write_elements(elements: DataFrame, folder: str, buckets: int = 64) -> None:
     elements.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets))).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(folder)
 
 
-def _xml_of(rows: list[dict]) -> bytes:
+def _child(to, tag: str, value=None, **attributes):
+    node = ElementTree.SubElement(to, tag, {k.replace("_", "-"): str(v) for k, v in attributes.items() if v is not None})
+    node.text = None if value is None else str(value)
+    return node
+
+
+def _xml_of(rows: list[dict], measures: list[dict]) -> bytes:
     root = ElementTree.Element("score-partwise")
-    order = sorted(rows, key=lambda r: (r["part_id"] or "", r["measure_pos"], r["seq"]))
-    for part_id, part_rows in itertools.groupby(order, key=lambda r: r["part_id"]):
-        part = ElementTree.SubElement(root, "part", id=part_id or "")
-        for (_, number), measure_rows in itertools.groupby(part_rows, key=lambda r: (r["measure_pos"], r["number"])):
-            measure = ElementTree.SubElement(part, "measure", number=number or "")
-            for r in measure_rows:
+    found: dict[tuple, tuple[dict, list[dict]]] = {}
+    for r in sorted(measures, key=lambda r: (r["part_id"] or "", r["measure_pos"])) + sorted(rows, key=lambda r: (r["part_id"] or "", r["measure_pos"], r["seq"])):
+        found.setdefault((r["part_id"] or "", r["measure_pos"]), (r, []))[1].extend([r] if "seq" in r else [])
+    for part_id, part_rows in itertools.groupby(sorted(found.items(), key=lambda x: x[0]), key=lambda x: x[0][0]):
+        part = _child(root, "part", id=part_id)
+        for _, (head, elements) in part_rows:
+            yes = lambda x: None if head.get(x) is None else "yes" if head[x] else "no"
+            measure = _child(part, "measure", number=head["number"] or "", implicit=yes("implicit"))
+            if "seq" not in head:
+                _write_declared(measure, head, yes)
+            for r in elements:
                 _write_element(measure, r)
     return ElementTree.tostring(root, encoding="utf-8")
 
 
+def _write_declared(measure, m: dict, yes: Callable[[str], str | None]) -> None:
+    if m["new_page"] is not None or m["new_system"] is not None:
+        _child(measure, "print", new_page=yes("new_page"), new_system=yes("new_system"))
+    names = ("divisions", "beats", "beat_type", "fifths", "cancel", "clefs")
+    if all(m[x] is None for x in names):
+        return
+    node = _child(measure, "attributes")
+    if m["divisions"] is not None:
+        _child(node, "divisions", m["divisions"])
+    if m["fifths"] is not None or m["cancel"] is not None:
+        key = _child(node, "key")
+        if m["cancel"]:
+            _child(key, "cancel")
+        if m["fifths"] is not None:
+            _child(key, "fifths", m["fifths"])
+    if m["beats"] is not None or m["beat_type"] is not None:
+        time = _child(node, "time")
+        for tag in ("beats", "beat_type"):
+            if m[tag] is not None:
+                _child(time, tag.replace("_", "-"), m[tag])
+    for c in m["clefs"] or []:
+        clef = _child(node, "clef", number=c["staff"])
+        for tag in ("sign", "line"):
+            if c[tag] is not None:
+                _child(clef, tag, c[tag])
+
+
 def _write_element(measure, r: dict) -> None:
-    node = ElementTree.SubElement(measure, r["kind"])
+    node = _child(measure, r["kind"], **{"default-x": r.get("default_x"), PLAY_ORDER: r.get("play_order")})
 
     def add(tag: str, value: str | None = None, to=node):
         child = ElementTree.SubElement(to, tag)
@@ -196,27 +314,56 @@ def _write_element(measure, r: dict) -> None:
             add(tag, str(r[tag]), pitch)
     add("duration", str(r["duration"]))
     if r["kind"] == "note":
+        for kind in r.get("ties") or []:
+            _child(node, "tie", type=kind)
         add("voice", r["voice"])
         if r["type"] is not None:
             add("type", r["type"])
         for _ in range(r["dots"]):
             add("dot")
+        tuplet, slurs, artic = r.get("tuplet"), r.get("slurs"), r.get("artic")
+        if tuplet and (tuplet["actual"] is not None or tuplet["normal"] is not None):
+            change = add("time-modification")
+            for x in ("actual", "normal"):
+                if tuplet[x] is not None:
+                    add(f"{x}-notes", str(tuplet[x]), change)
+        if r.get("stem") is not None:
+            add("stem", r["stem"])
         add("staff", r["staff"])
-        if r["lyric"] is not None:
-            add("text", r["lyric"], add("lyric"))
-
-
-def archives_of(elements: DataFrame) -> DataFrame:
-    """path, content: one archive per score, for tools that want files. A score bounds the group."""
-
-    def pack(rows: pa.Table) -> pa.Table:
+        for b in r.get("beams") or []:
+            _child(node, "beam", b["value"], number=b["number"])
+        if slurs or artic or (tuplet and tuplet["type"]):
+            notations = add("notations")
+            for x in slurs or []:
+                _child(notations, "slur", **x)
+            if tuplet and tuplet["type"]:
+                _child(notations, "tuplet", type=tuplet["type"])
+            if artic:
+                group = _child(notations, "articulations")
+                for x in artic:
+                    _child(group, x["tag"], placement=x["placement"])
+        for x in r.get("lyrics") or ([{"verse": None, "syllabic": None, "text": r["lyric"]}] if r["lyric"] is not None else []):
+            lyric = _child(node, "lyric", number=x["verse"])
+            for tag in ("syllabic", "text"):
+                if x[tag] is not None:
+                    add(tag, x[tag], lyric)
+
+
+def archives_of(elements: DataFrame, measures: DataFrame | None = None) -> DataFrame:
+    """path, content: one archive per score, for tools that want files; measures: what scan_measures gives. A score bounds the group."""
+
+    def pack(rows: pa.Table, declared: pa.Table) -> pa.Table:
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
             archive.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="score.xml"/></rootfiles></container>')
-            archive.writestr("score.xml", _xml_of(rows.to_pylist()))
-        return pa.table({"path": rows.column("path")[:1], "content": pa.array([buffer.getvalue()], pa.binary())})
-
-    return elements.filter("error is null").groupBy("path").applyInArrow(pack, "path string, content binary")
+            archive.writestr("score.xml", _xml_of(rows.to_pylist(), declared.to_pylist()))
+        path = (rows if rows.num_rows else declared).column("path")[:1]
+        return pa.table({"path": path, "content": pa.array([buffer.getvalue()], pa.binary())})
+
+    if measures is None:
+        measures = elements.sparkSession.createDataFrame([], MEASURES)
+    sound = lambda df: df.filter("error is null").groupBy("path")
+    return sound(elements).cogroup(sound(measures)).applyInArrow(pack, "path string, content binary")
 
 
 def write_report(issues: DataFrame, folder: str) -> None:

@@ -51,6 +51,32 @@ def test_archives_and_bad_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "table")).count() == 4
 
 
+RICH = """<score-partwise><part id="P1"><measure number="0" implicit="yes"><print new-page="yes" new-system="no"/><attributes><divisions>8</divisions>
+<key><cancel>2</cancel><fifths>-3</fifths></key><time><beats>3</beats><beat-type>4</beat-type></time><clef number="1"><sign>G</sign><line>2</line></clef><clef number="2"><sign>F</sign><line>4</line></clef></attributes>
+<note default-x="12.5" data-hitl-play-order="2"><pitch><step>C</step><octave>4</octave></pitch><duration>4</duration><tie type="stop"/><tie type="start"/><voice>1</voice><type>eighth</type>
+<time-modification><actual-notes>3</actual-notes><normal-notes>2</normal-notes></time-modification><stem>up</stem><staff>1</staff><beam number="1">begin</beam><beam number="2">begin</beam>
+<notations><slur type="start" number="1" placement="above"/><tuplet type="start"/><articulations><staccato placement="below"/><accent/></articulations></notations>
+<lyric number="1"><syllabic>begin</syllabic><text>la</text></lyric><lyric number="2"><text>lo</text></lyric></note></measure><measure number="1"/></part></score-partwise>"""
+
+
+def test_archives_keep_marks_and_measure_attributes(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "one" / "a.mxl").write_bytes(archive(RICH))
+    read = lambda x: [[r.asDict(True) | {"path": ""} for r in f(spark, str(tmp_path / x)).orderBy("measure_pos").collect()] for f in (scores.scan_archives, scores.scan_measures)]
+    (note,), (first, second) = want = read("one")
+    assert (note["stem"], note["default_x"], note["play_order"], note["ties"], note["tuplet"]) == ("up", 12.5, 2, ["stop", "start"], {"actual": 3, "normal": 2, "type": "start"})
+    assert note["beams"] == [{"number": 1, "value": "begin"}, {"number": 2, "value": "begin"}] and note["slurs"] == [{"type": "start", "number": "1", "placement": "above"}]
+    assert note["artic"] == [{"tag": "staccato", "placement": "below"}, {"tag": "accent", "placement": None}]
+    assert [(x["verse"], x["syllabic"], x["text"]) for x in note["lyrics"]] == [(1, "begin", "la"), (2, None, "lo")]
+    assert [first[x] for x in ("implicit", "divisions", "beats", "beat_type", "fifths", "cancel", "new_page", "new_system")] == [True, 8, 3, 4, -3, True, True, False]
+    assert [(c["staff"], c["sign"], c["line"]) for c in first["clefs"]] == [(1, "G", 2), (2, "F", 4)] and second["divisions"] is None and second["number"] == "1"
+    folder = str(tmp_path / "one")
+    packed = scores.archives_of(scores.scan_archives(spark, folder), scores.scan_measures(spark, folder)).collect()
+    (tmp_path / "two" / "a.mxl").write_bytes(packed[0]["content"])
+    assert read("two") == want
+
+
 def test_bundle_prefers_raw(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "w.zip", "w") as z:
         z.writestr("baseline.mxl", archive(SCORE.replace(">la<", ">baseline<")))
