@@ -36,14 +36,62 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
+#: Spark's setting for removing the shuffle files of a query as soon as it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Writes ``df`` and reads it again. Its shuffle files go once it is written, so a job needs the disk of its largest step, not of all steps."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stavelake/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage, and a lost executor costs no recomputation.
+
+    For what an operator returns; what it needs on the way goes into a ``Scratch``.
+    """
+    return _write(df, f"{shared_folder(df.sparkSession)}/stavelake/{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Tables in the shared folder that last as long as the ``with`` block; what leaves the block must be ``written`` inside it."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/stavelake/scratch-{uuid.uuid4().hex}"
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.folder)
+
+    def written(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+        path = f"{self.folder}/{name}-{len(self._paths)}"
+        out = _write(df, path, by)
+        self._paths.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables of this block that nothing reads any more."""
+        for df, path in self._paths:
+            if any(df is t for t in tables):
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased; every other character stays."""
     return F.translate(text, UPPER, LOWER)

@@ -4,10 +4,11 @@ A line is the words between two \n, A-Z lower-cased. Lines with equal words are
 more are also copies when one word is changed, added or left out (edit bound 1 in words). Of each occurrence of a line, one
 stays only if no earlier line (by doc_id, then line number) is within the bound.
 
-Variants of a line are itself with one word deleted (hole at place i), hashed from running sums in constant time
-each. Equal variants with the hole at the same place differ in that word only; a variant that equals a whole line is one word longer.
-Either equality, of 96 bits with lengths and places, is the verified edit distance. A bucket of equal variants gives
-its earliest member, never its pairs. Only lines that share half of their words with another line (pigeonhole: one
+Variants of a line are itself with one word deleted (hole at place i), hashed in constant time each from running sums of
+a number for each word at its place. Equal variants with the hole at the same place point to lines that differ in that word
+only; a variant that equals a whole line, to one that is one word longer. A bucket of equal variants gives its earliest member, never
+its pairs, and the words of each line and of the earlier lines that its buckets name are then compared: only a true
+edit distance of one word takes a line away. Only lines that share half of their words with another line (pigeonhole: one
 edit leaves one half whole) emit variants, so unique lines stay out of the large join.
 
 Defined cases: a null text has no lines; lines without words stay, unless nothing else does; a document that loses its
@@ -17,6 +18,7 @@ lines; empty texts stay as they are; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stavelake.llm import tokens
-from stavelake.llm.common import id_of, packed, table, unpacked, with_text_key, written
+from stavelake.llm.common import Scratch, id_of, packed, table, unpacked, with_text_key, written
 from stavelake.llm.tokens import U, mix
 
 MIN_NEAR_WORDS = 10
@@ -34,6 +36,7 @@ SECOND = U(0xA0761D6478BD642F)
 PREFIX, SUFFIX, HOLE, WHOLE = (U(x << 40) for x in (1, 2, 3, 4))
 
 LINES = "doc_id long, _th long, line_no int, h1 long, h2 long, k0 long, k1 long, k2 long"
+WORD_BREAK = re.compile(rb"[\x20\x09-\x0D]+")
 VARIANTS = "rank long, v long, u int, role int"
 
 
@@ -56,10 +59,9 @@ def _lines(min_near: int):
             n = last - first
             h1 = tokens.hashes_of(t.folded, first, last)
             h2 = tokens.hashes_of(mix(t.folded ^ SECOND), first, last)
-            sums = tokens.running(t.folded)
             half, other = n // 2, (n - 1) // 2
-            prefix = lambda k: _tagged(tokens.stretch(sums, first, first + k), PREFIX + k.astype(U))
-            suffix = lambda k: _tagged(tokens.stretch(sums, last - k, last), SUFFIX + k.astype(U))
+            prefix = lambda k: _tagged(tokens.hashes_of(t.folded, first, first + k), PREFIX + k.astype(U))
+            suffix = lambda k: _tagged(tokens.hashes_of(t.folded, last - k, last), SUFFIX + k.astype(U))
             even = n % 2 == 0
             third = np.where(even, prefix(other), suffix(n - 1 - other))
             short = n < min_near
@@ -71,90 +73,94 @@ def _lines(min_near: int):
     return run
 
 
-def _holes(words: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Raw polynomials of a line with each word blanked, and with each word taken out."""
-    sums = tokens.running(words)
-    power, inverse = tokens.powers(len(words))
-    n = len(words)
-    blank = sums[n] - words * power[:n]
-    taken = sums[:n] + (sums[n] - sums[1:]) * inverse[1]
-    return blank, taken
-
-
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, column in tokens.slices(batches, limit=1 << 17):
+    """Of lines (rank, line, halves): each with a hole at every place, each without the word there, and each whole."""
+    for part, column in tokens.slices(batches, "line", limit=1 << 18):
         t = tokens.text_of(column)
-        row, number, begin, end = t.lines()
-        first, last = np.searchsorted(t.starts, begin), np.searchsorted(t.starts, end)
-        row_first = np.searchsorted(row, np.arange(len(column)))
-        wanted = part.column(part.schema.get_field_index("live")).to_pylist()
-        second = mix(t.folded ^ SECOND)
-        out = {x: [] for x in ("rank", "v", "u", "role")}
-        for r, lines in enumerate(wanted):
-            for x in lines:
-                line = row_first[r] + x["line_no"]
-                a, b = first[line], last[line]
-                n = int(b - a)
-                # A shared first half leaves the edit to the second, and the other way round.
-                prefix = 0 in x["halves"] or (2 in x["halves"] and n % 2 == 0)
-                suffix = 1 in x["halves"] or (2 in x["halves"] and n % 2 == 1)
-                at = np.arange(0 if suffix else (n - 1) // 2, n if prefix else n // 2 + 1)
-                m = len(at)
-                v, u = [], []
-                for words, into in ((t.folded[a:b], v), (second[a:b], u)):
-                    blank, taken = _holes(words)
-                    whole = tokens.running(words)[n:]
-                    into += [
-                        _tagged(blank[at], HOLE + U(n << 20) + at.astype(U)),
-                        _tagged(taken[at], WHOLE + U(n - 1)),
-                        _tagged(whole, WHOLE + U(n)),
-                    ]
-                out["v"] += v
-                out["u"] += u
-                out["role"].append(np.repeat(np.array([0, 1, 2], np.int32), [m, m, 1]))
-                out["rank"].append(np.full(2 * m + 1, x["rank"], np.int64))
-        if not out["v"]:
-            continue
-        x = {k: np.concatenate(a) for k, a in out.items()}
-        half = (x["u"] >> U(32)).astype(np.uint32).view(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(x["rank"]), _long(x["v"]), pa.array(half), pa.array(x["role"])], names=["rank", "v", "u", "role"])
-
-
-def distinct_lines(docs: DataFrame, min_near_words: int = MIN_NEAR_WORDS) -> DataFrame:
+        n, at = np.diff(t.word_at), t.word_at[:-1]
+        rank, shared = (part.column(part.schema.get_field_index(x)).to_numpy() for x in ("rank", "shared"))
+        even = n % 2 == 0
+        # A shared first half leaves the edit to the second, and the other way round.
+        prefix = (shared & 1 > 0) | ((shared & 4 > 0) & even)
+        suffix = (shared & 2 > 0) | ((shared & 4 > 0) & ~even)
+        low, high = np.where(suffix, 0, (n - 1) // 2), np.where(prefix, n, n // 2 + 1)
+        m = high - low
+        line = np.repeat(np.arange(len(n)), m)
+        place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m - low, m)
+        word, begin, end = at[line] + place, at[line], at[line] + n[line]
+        of_word = np.arange(len(t.row)) - at[t.row]
+        v = []
+        for words in (t.folded, mix(t.folded ^ SECOND)):
+            own, moved = tokens.placed(words, of_word), tokens.placed(words, of_word - 1)
+            sums, moved_sums = (np.concatenate([np.zeros(1, U), np.cumsum(x)]) for x in (own, moved))
+            whole = sums[at + n] - sums[at]
+            blank = whole[line] - own[word]
+            taken = sums[word] - sums[begin] + moved_sums[end] - moved_sums[word + 1]
+            length, holes = n.astype(U), HOLE + (n[line].astype(U) << U(20)) + place.astype(U)
+            v.append(np.concatenate([_tagged(blank, holes), _tagged(taken, WHOLE + length[line] - U(1)), _tagged(whole, WHOLE + length)]))
+        role = np.repeat(np.array([0, 1, 2], np.int32), [len(line), len(line), len(n)])
+        half = (v[1] >> U(32)).astype(np.uint32).view(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rank[line], rank[line], rank])), _long(v[0]), pa.array(half), pa.array(role)], names=["rank", "v", "u", "role"])
+
+
+def within_one_edit(a: list, b: list) -> bool:
+    """Whether one word changed, added or left out, or none, makes the lists equal."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    short = min(len(a), len(b))
+    i = next((i for i in range(short) if a[i] != b[i]), short)
+    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rank, line, other = (b.column(b.schema.get_field_index(x)).to_pylist() for x in ("rank", "line", "other"))
+        words = lambda x: [w for w in WORD_BREAK.split(x.encode().lower()) if w]  # noqa: E731  bytes fold A-Z only
+        near = [r for r, x, y in zip(rank, line, other) if within_one_edit(words(x), words(y))]
+        yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64())], names=["rank"])
+
+
+def distinct_lines(docs: DataFrame, scratch: Scratch, min_near_words: int = MIN_NEAR_WORDS) -> DataFrame:
     """One row per distinct line: h1, h2, first (doc_id, _th, line_no), and the keys of its halves."""
     keyed = with_text_key(docs).select("doc_id", "_th", "text")
     lines = keyed.mapInArrow(_lines(min_near_words), LINES)
     first = F.min(F.struct("doc_id", "_th", "line_no")).alias("first")
-    return written(lines.groupBy("h1", "h2").agg(first, *[F.min(k).alias(k) for k in ("k0", "k1", "k2")]), "lines")
+    return scratch.written(lines.groupBy("h1", "h2").agg(first, *[F.min(k).alias(k) for k in ("k0", "k1", "k2")]), "lines")
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within the edit bound."""
     keys = distinct.filter("k0 is not null").select("h1", "h2", F.posexplode(F.array("k0", "k1", "k2")).alias("half", "k"))
     shared = keys.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    halves = keys.join(shared, "k", "left_semi").groupBy("h1", "h2").agg(F.collect_set("half").alias("halves"))
+    halves = keys.join(shared, "k", "left_semi").groupBy("h1", "h2").agg(F.bit_or(F.expr("shiftleft(1, half)")).alias("shared"))
     # Sorted by first occurrence, so the number of a line tells which is earlier.
     found = distinct.select("h1", "h2", "first").join(halves, ["h1", "h2"]).orderBy("first")
-    ranked = written(found.withColumn("rank", F.monotonically_increasing_id()), "live-lines")
+    ranked = scratch.written(found.withColumn("rank", F.monotonically_increasing_id()), "ranked")
     live = ranked.groupBy(F.col("first.doc_id").alias("_d"), F.col("first._th").alias("_t")).agg(
-        F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "rank", "halves")).alias("live")
+        F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "rank", "shared")).alias("live")
     )
-    keyed = with_text_key(docs).select("doc_id", "_th", "text")
+    keyed = with_text_key(docs).select("doc_id", "_th", F.split("text", "\n").alias("parts"))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_t"))
-    texts = keyed.join(live, same).select("text", "live")
-    variants = written(texts.mapInArrow(_variants, VARIANTS), "variants")
+    of_line = F.transform("live", lambda x: F.struct(x["rank"].alias("rank"), x["shared"].alias("shared"), F.get("parts", x["line_no"]).alias("line")))
+    texts = scratch.written(keyed.join(live, same).select(F.inline(of_line)).dropDuplicates(["rank"]), "live-lines")
+    variants = scratch.written(texts.mapInArrow(_variants, VARIANTS), "variants")
     by_role = [F.min(F.when(F.col("role") == r, F.col("rank"))).alias(name) for r, name in ((0, "hole"), (1, "taken"), (2, "whole"))]
     buckets = variants.groupBy("v", "u").agg(F.count("*").alias("n"), *by_role).filter("n > 1").drop("n")
     met = variants.join(buckets, ["v", "u"])
     earliest = F.when(F.col("role") == 0, F.col("hole")).when(F.col("role") == 1, F.col("whole")).otherwise(F.col("taken"))
-    return ranked.join(met.filter(earliest < F.col("rank")).select("rank").distinct(), "rank", "left_semi").select("h1", "h2")
+    pairs = scratch.written(met.select("rank", earliest.alias("earlier")).filter("earlier < rank").distinct(), "pairs")
+    other = texts.select(F.col("rank").alias("earlier"), F.col("line").alias("other"))
+    both = pairs.join(texts.select("rank", "line"), "rank").join(other, "earlier")
+    near = both.select("rank", "line", "other").mapInArrow(_verified, "rank long").distinct()
+    return ranked.join(near, "rank", "left_semi").select("h1", "h2")
 
 
 def kept_lines(docs: DataFrame, min_near_words: int = MIN_NEAR_WORDS) -> DataFrame:
     """(_d, _t, keep): the line numbers that stay, for each document with any."""
-    distinct = distinct_lines(docs, min_near_words)
-    stay = distinct.join(near_lines(docs, distinct), ["h1", "h2"], "left_anti")
-    return stay.groupBy(F.col("first.doc_id").alias("_d"), F.col("first._th").alias("_t")).agg(F.collect_list("first.line_no").alias("keep"))
+    with Scratch(docs.sparkSession) as scratch:
+        distinct = distinct_lines(docs, scratch, min_near_words)
+        stay = distinct.join(near_lines(docs, distinct, scratch), ["h1", "h2"], "left_anti")
+        return written(stay.groupBy(F.col("first.doc_id").alias("_d"), F.col("first._th").alias("_t")).agg(F.collect_list("first.line_no").alias("keep")), "kept-lines")
 
 
 def deduplicated(docs: DataFrame, min_near_words: int = MIN_NEAR_WORDS) -> DataFrame:

@@ -1,8 +1,8 @@
 """Words, lines and windows of Arrow text columns as numpy arrays.
 
 A batch is cut into slices of a few hundred kilobytes (one document at least), so memory follows the longest
-document, not the batch. Hashes are polynomials modulo 2**64 with a final mix: any stretch of words or bytes is
-hashed from running sums, and they are the same in every process.
+document, not the batch. A stretch of words or bytes is hashed as the sum of a random number for each value at its place,
+so no regular pattern of values can cancel; hashes are the same in every process.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BLOCK = 1 << 15
+_FIRST, _SECOND = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
+_VALUE, _PLACE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: The contract's word separators: space and \x09-\x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -29,44 +30,39 @@ FOLD[65:91] += 32
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    x = (x ^ (x >> U(30))) * _FIRST
+    x = (x ^ (x >> U(27))) * _SECOND
     return x ^ (x >> U(31))
 
 
-@functools.lru_cache(maxsize=2)
-def _table(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse for i below a power of two of at least ``size``."""
-    size = max(1 << 20, 1 << int(size).bit_length())
-    return _table(int(_BASE), size), _table(int(_INVERSE), size)
-
-
-def running(values: np.ndarray) -> np.ndarray:
-    """Sums of values[j] * base**j over j < i, for i from 0 to len(values)."""
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(len(values))[0][: len(values)], out=out[1:])
-    return out
-
-
-def stretch(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The polynomial of values[start:end], wherever it lies; not mixed."""
-    return (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
+def placed(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random number for each value at its place."""
+    x = values.astype(U)
+    x += U(1)
+    x *= _VALUE
+    x += place.astype(U) * _PLACE
+    for shift, times in ((30, _FIRST), (27, _SECOND)):
+        x ^= x >> U(shift)
+        x *= times
+    x ^= x >> U(31)
+    return x
 
 
 def hashes_of(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each values[start:end] (starts ascending), worked in blocks."""
-    out, i, block = np.empty(len(starts), U), 0, 1 << 19
+    """A hash of each values[start:end] (ascending and apart), worked in blocks."""
+    total = np.concatenate([[0], np.cumsum(ends - starts)])
+    out = np.zeros(len(starts), U)
+    i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, "right")))
-        low, high = int(starts[i]), int(ends[i:j].max())
-        sums = running(values[low:high].astype(U) + U(1))
-        out[i:j] = stretch(sums, starts[i:j] - low, ends[i:j] - low)
+        j = max(i + 1, int(np.searchsorted(total, total[i] + BLOCK, "right")) - 1)
+        # More than one round only where a single stretch is longer than a block.
+        for low in range(int(total[i]), int(total[j]), BLOCK):
+            high = min(low + BLOCK, int(total[j]))
+            n = np.minimum(total[i + 1 : j + 1], high) - np.maximum(total[i:j], low)
+            place = np.arange(low, high) - np.repeat(total[i:j], n)
+            numbers = placed(values[place + np.repeat(starts[i:j], n)], place)
+            has = np.flatnonzero(n)
+            out[i + has] += np.add.reduceat(numbers, (np.cumsum(n) - n)[has])
         i = j
     return mix(out ^ (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
