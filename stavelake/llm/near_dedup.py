@@ -6,12 +6,15 @@ each arrival falls on one of the registers and a register keeps the earliest. A
 next arrival is later than every register, so most shingles draw one or two numbers. With equal weights two
 registers agree with the Jaccard similarity. Rows of registers form bands.
 
-Equal shingle sets are collapsed first, so a group of copies is one node. Within a band's bucket each node is paired
-with the bucket's centre only (another centre in each band); pairs are verified by the exact Jaccard similarity
-of their shingle sets, and verified links give components. What that leaves apart is looked at again: nodes that share
-a bucket but not a component get a longer sketch, whose buckets hold few pairs below the similarity (a pair of
-similarity 0.8 shares one with probability 0.998, one of 0.5 with 0.01). There they are compared with the buckets' centres and then
-with all that is still apart and whose sketches agree in enough single bits; pairs within a component are never emitted.
+Equal shingle sets are collapsed first, so a group of copies is one node. Within a band's bucket each node is paired with the
+bucket's centre only, by one order of the nodes for all bands, so a group meets few centres; pairs are verified by the exact Jaccard
+similarity of their shingle sets, and verified links give components. Bands are worked in blocks: what a block has joined is one
+label afterwards, later pairs within a label are left out, and components are made of the labels that are still apart.
+
+What that leaves apart is looked at again: nodes that share a bucket but not a component get a longer sketch, whose buckets
+hold few pairs below the similarity (a pair of similarity 0.8 shares one with probability 0.998, one of 0.5 with 0.01). There
+they are compared with the buckets' centres and then with all that is still apart and whose sketches agree in enough single
+bits (a pair of similarity 0.8 fails that with probability 3e-6); pairs within a component are never compared.
 
 Defined cases: texts of one to four words are one shingle; texts without words are classes of their own; repeated rows
 fall into one class; an empty table gives no rows; other columns are kept by the filter and ignored by the report.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stavelake.llm import tokens
-from stavelake.llm.common import id_of, packed, table, unpacked, with_text_key, written
+from stavelake.llm.common import Scratch, id_of, packed, table, unpacked, with_text_key, written
 from stavelake.llm.tokens import U, mix
 
 
@@ -46,7 +49,9 @@ class NearConfig:
 
 
 CONFIG = NearConfig()
-#: For what the first bands leave in one bucket but apart: far fewer pairs below the similarity share a bucket.
+#: Bands of the first block, in which a pair of the similarity shares a bucket with probability 0.88.
+FIRST_BANDS = 4
+#: For what the bands leave in one bucket but apart: far fewer pairs below the similarity share a bucket.
 FINE = NearConfig(bands=140, rows=14)
 
 
@@ -137,15 +142,15 @@ def _sets(config: NearConfig):
 SKETCH = "doc_id long, _th long, n long, f1 long, f2 long, bands array<long>, bits array<long>"
 
 
-def sketches(docs: DataFrame, config: NearConfig = CONFIG) -> DataFrame:
+def sketches(docs: DataFrame, scratch: Scratch, config: NearConfig = CONFIG) -> DataFrame:
     keyed = with_text_key(docs).select("doc_id", "_th", "text")
-    return written(keyed.mapInArrow(_sketches(config), SKETCH).drop("bits"), "sketches")
+    return scratch.written(keyed.mapInArrow(_sketches(config), SKETCH).drop("bits"), "sketches")
 
 
-def nodes_of(sketch: DataFrame) -> DataFrame:
+def nodes_of(sketch: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per distinct shingle set: node, f1, f2, its size, its bands and one document (d, t) that holds it."""
     groups = sketch.filter("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "_th")).alias("x"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    return written(groups.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", F.col("x.doc_id").alias("d"), F.col("x._th").alias("t"), "n", "bands"), "nodes")
+    return scratch.written(groups.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", F.col("x.doc_id").alias("d"), F.col("x._th").alias("t"), "n", "bands"), "nodes")
 
 
 def _alike(n1: Column, n2: Column, least: float) -> Column:
@@ -164,18 +169,32 @@ def _bits_allow(a: Column, b: Column, registers: int, least: float) -> Column:
     return differ <= places * p + SLACK * (places * p * (1 - p)) ** 0.5
 
 
+def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` (node, ...) with the label of each node's component; a node without links is its own."""
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def centre_pairs(buckets: DataFrame, least: float) -> DataFrame:
-    """(a, b): each node with the centre of each of its buckets, where their sizes allow the similarity."""
-    centre = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key"), "node", "n")).alias("c"), F.count("*").alias("members")).filter("members > 1")
-    pairs = buckets.join(centre.select("key", F.col("c.node").alias("c"), F.col("c.n").alias("cn")), "key").filter((F.col("node") != F.col("c")) & _alike(F.col("n"), F.col("cn"), least))
-    return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+    """(a, b): the centre of each bucket with each member of another label whose size allows the similarity.
+
+    buckets: key, node, f1, n, label. The centre is the first member in the order of f1, the same for all buckets.
+    """
+    centre = buckets.groupBy("key").agg(F.min(F.struct("f1", "node", "n", "label")).alias("c"), F.count("*").alias("members")).filter("members > 1")
+    pairs = buckets.join(centre.select("key", F.col("c.node").alias("a"), F.col("c.n").alias("an"), F.col("c.label").alias("alabel")), "key")
+    return pairs.filter((F.col("label") != F.col("alabel")) & _alike(F.col("n"), F.col("an"), least)).select("a", F.col("node").alias("b")).distinct()
+
 
+def split_buckets(buckets: DataFrame) -> DataFrame:
+    """The rows of the buckets with more than one label."""
+    split = buckets.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    return buckets.join(split, "key", "left_semi")
 
-def rest_pairs(buckets: DataFrame, labels: DataFrame, bits: DataFrame, config: NearConfig, fine: NearConfig) -> DataFrame:
-    """(a, b) of one bucket and different components, where sizes and bits allow the similarity."""
-    placed = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    placed = written(placed.join(split, "key", "left_semi").join(bits, "node"), "split-buckets")
+
+def rest_pairs(buckets: DataFrame, config: NearConfig, fine: NearConfig, scratch: Scratch) -> DataFrame:
+    """(a, b) of one bucket and different labels, where sizes and bits allow the similarity. buckets: key, node, n, bits, label."""
+    placed = scratch.written(split_buckets(buckets), "split-buckets")
     other = placed.select("key", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "label", "bits")])
     near = _alike(F.col("n"), F.col("_n"), config.similarity) & _bits_allow(F.col("bits"), F.col("_bits"), fine.registers, config.similarity)
     met = placed.join(other, "key").filter((F.col("node") < F.col("_node")) & (F.col("label") != F.col("_label")) & near)
@@ -189,41 +208,51 @@ def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return keyed.join(involved, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("_th").eqNullSafe(F.col("t"))).select("node", "text")
 
 
-def fine_sketches(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, labels: DataFrame, fine: NearConfig = FINE) -> DataFrame:
-    """node, n, bands and bits of the nodes that share a bucket with another component."""
-    placed = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    wanted = placed.join(split, "key", "left_semi").select("node").distinct()
+def fine_sketches(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, scratch: Scratch, fine: NearConfig = FINE) -> DataFrame:
+    """node, f1, n, bands and bits of the wanted nodes."""
     texts = texts_of(docs, nodes, wanted).select(F.col("node").alias("doc_id"), F.lit(0).cast("long").alias("_th"), "text")
-    sketch = texts.mapInArrow(_sketches(fine, with_bits=True), SKETCH).select(F.col("doc_id").alias("node"), "n", "bands", "bits")
-    return written(sketch.dropDuplicates(["node"]), "fine-sketches")
+    sketch = texts.mapInArrow(_sketches(fine, with_bits=True), SKETCH).select(F.col("doc_id").alias("node"), "f1", "n", "bands", "bits")
+    return scratch.written(sketch.dropDuplicates(["node"]), "fine-sketches")
+
+
+#: Partners of one node that are compared in one task.
+PARTNERS_A_TASK = 256
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, config: NearConfig = CONFIG) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the similarity."""
-    pairs = written(pairs, "pairs")
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, scratch: Scratch, config: NearConfig = CONFIG) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least the similarity; a node with many partners is spread by a salt."""
+    pairs = scratch.written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     texts = texts_of(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = written(texts.mapInArrow(_sets(config), "node long, elements array<long>"), "sets")
-    left, right = (sets.select(F.col("node").alias(x), F.col("elements").alias(f"{x}_set")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
+    sets = scratch.written(texts.mapInArrow(_sets(config), "node long, elements array<long>").dropDuplicates(["node"]), "sets")
+    salts = pairs.groupBy("a").agg((F.count("*") / PARTNERS_A_TASK).cast("int").alias("most"))
+    salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("most") + 1).cast("int")).drop("most")
+    left = sets.join(salts, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), "most")).alias("salt"), F.col("elements").alias("a_set"))
+    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("b_set"))
+    both = salted.join(left, ["a", "salt"]).join(right, "b")
     common = F.size(F.array_intersect("a_set", "b_set"))
-    return both.filter(common >= config.similarity * (F.size("a_set") + F.size("b_set") - common)).select("a", "b").distinct()
+    links = scratch.written(both.filter(common >= config.similarity * (F.size("a_set") + F.size("b_set") - common)).select("a", "b"), "links")
+    scratch.drop(sets, pairs)
+    return links
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): the least node of each component, by alternating large-star and small-star rounds.
 
     Rounds are cut by written tables; only a count and a checksum of the edges come to the driver.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = scratch.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        linked = edges.join(low, "u")
-        edges = written(linked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        found = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = found.groupBy("u").agg(F.min("v").alias("m"))
+        linked = found.join(low, "u")
+        found = scratch.written(linked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        scratch.drop(edges)
+        edges = found
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -231,33 +260,45 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
 
 
+def merged(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """The labels after more links: components are made of the old labels, so a large component is one node."""
+    if links.isEmpty():
+        return labels
+    at = lambda x: labelled(links.select(F.col(x).alias("node"), "a", "b"), labels)
+    edges = at("a").select("a", "b", F.col("label").alias("x")).join(at("b").select("a", "b", F.col("label").alias("y")), ["a", "b"])
+    new = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a != b"), scratch)
+    if labels is None:
+        return scratch.written(new, "labels")
+    moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return scratch.written(moved.union(new.join(labels, "node", "left_anti")), "labels")
+
+
 def classes(docs: DataFrame, config: NearConfig = CONFIG) -> DataFrame:
     """doc_id, _th, class_id (least doc_id), class_size and keep (the class's first row) for every document."""
-    sketch = sketches(docs, config)
-    nodes = nodes_of(sketch)
-    buckets = nodes.select("node", "n", F.explode("bands").alias("key"))
-    links = written(verified(docs, nodes, centre_pairs(buckets, config.similarity), config), "links")
-    labels = written(components(links), "labels")
-    fine = fine_sketches(docs, nodes, buckets, labels)
-    fine_buckets = fine.select("node", "n", F.explode("bands").alias("key"))
-    for pairs_of in (lambda: centre_pairs(fine_buckets, config.similarity), lambda: rest_pairs(fine_buckets, labels, fine.select("node", "bits"), config, FINE)):
-        more = written(verified(docs, nodes, pairs_of().join(links, ["a", "b"], "left_anti"), config), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = written(components(links), "labels")
-    of_node = nodes.join(labels, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("label"))
-    members = written(
-        sketch.select("doc_id", "_th", "n", "f1", "f2").join(of_node, ["f1", "f2"], "left").select("doc_id", "_th", "label"), "members"
-    )
-    sizes = members.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "_th")).alias("first"), F.count("*").alias("class_size"))
-    out = members.join(sizes, "label", "left")
-    return out.select(
-        "doc_id",
-        "_th",
-        F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (F.col("label").isNull() | F.struct("doc_id", "_th").eqNullSafe(F.col("first"))).alias("keep"),
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        sketch = sketches(docs, scratch, config)
+        nodes = nodes_of(sketch, scratch)
+        labels = None
+        for first, n in ((0, FIRST_BANDS), (FIRST_BANDS, config.bands - FIRST_BANDS)):
+            bands = nodes.select("node", "f1", "n", F.explode(F.slice("bands", first + 1, n)).alias("key"))
+            links = verified(docs, nodes, centre_pairs(labelled(bands, labels), config.similarity), scratch, config)
+            labels = merged(labels, links, scratch)
+        bands = nodes.select("node", F.explode("bands").alias("key"))
+        fine = fine_sketches(docs, nodes, split_buckets(labelled(bands, labels)).select("node").distinct(), scratch)
+        buckets = lambda *columns: labelled(fine.select("node", *columns, F.explode("bands").alias("key")), labels)
+        for pairs_of in (lambda: centre_pairs(buckets("f1", "n"), config.similarity), lambda: rest_pairs(buckets("n", "bits"), config, FINE, scratch)):
+            labels = merged(labels, verified(docs, nodes, pairs_of(), scratch, config), scratch)
+        of_node = labelled(nodes.select("node", "f1", "f2"), labels).select("f1", "f2", "label")
+        members = scratch.written(sketch.select("doc_id", "_th", "f1", "f2").join(of_node, ["f1", "f2"], "left").select("doc_id", "_th", "label"), "members")
+        sizes = members.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "_th")).alias("first"), F.count("*").alias("class_size"))
+        out = members.join(sizes, "label", "left").select(
+            "doc_id",
+            "_th",
+            F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+            F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+            (F.col("label").isNull() | F.struct("doc_id", "_th").eqNullSafe(F.col("first"))).alias("keep"),
+        )
+        return written(out, "classes")
 
 
 def one_of_each(docs: DataFrame, config: NearConfig = CONFIG) -> DataFrame:
