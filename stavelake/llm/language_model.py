@@ -1,19 +1,24 @@
 """Operator 8: Katz backoff scoring.
 
-Bigrams of words are counted over the whole training corpus, combined before the shuffle, and Good-Turing
-discounted; what a context's discounts free goes to the words never seen after it, by their unigram probability,
-with a backoff weight that makes each context's probabilities add up to one exactly. No word is left out as a context or as
-a successor, however rare; all words unseen in training share one symbol, as in the base score.
-
-Tables: words (word hash, count), bigrams (context, word, count), contexts (context, log weights of its seen and unseen
-successors) and gains, partitioned by key. A token is first taken as an unseen word after an unseen context, and
-its gains over that are looked up. Words that make at least one in ``VOCABULARY_SHARE`` training tokens and bigrams of at
-least one in ``BIGRAM_SHARE`` (at most that many of each) are looked up in broadcast arrays, all others by a join, once per
-document. That is only the faster way to the same numbers, and no key of a join holds more than a bounded share of
-the rows.
+Bigrams of all words are counted over the whole training corpus and Good-Turing discounted; what a context's discounts
+free goes to the words never seen after it, by their unigram probability, with a backoff weight that makes each context's
+probabilities add up to one exactly. Counts above ``K`` are taken as they are but for ``TAIL``, so every context has
+something to back off with. No word is left out as a context or as a successor, however rare; all words unseen in training
+share one symbol, as in the base score.
+
+Occurrences of pairs are dealt by the pair, or by the second word where it is rare, in packs of arrays: a part holds every
+occurrence of its pairs and of its rare words, in training and outside, so one shuffle counts them and scores them. Words that make
+at least one in ``VOCABULARY_SHARE`` training tokens and pairs of two very frequent words of at least one in ``PAIR_SHARE`` (at most
+that many of each) are counted before and looked up in broadcast arrays, so no part is swamped by one key; that changes no
+score. Every part gives sums by document, sums by context (table contexts: total, successors by count, their unigram mass) and
+the pairs unseen in training, which are joined with the contexts' backoff weights. A token's score is split into what the pair, the
+context and the word say, so nothing is sent back and forth. The parts are worked in ``ROUNDS``: each reads the texts again and needs
+its share of the disk.
+
+Parts follow the bytes of the texts, so their size is bounded; packs stay large while there are fewer parts than tokens in a block.
 
 Defined cases: a null text is empty and is scored as its end alone; without training documents every word is unseen and the
-score falls back to that; repeated rows of a doc_id repeat its text (their common sums are shared out), and a
+score falls back to that; rows of one doc_id with different texts are documents of their own, repeated rows get equal scores, and a
 null doc_id stands for its text; an empty table gives no rows; other columns are ignored.
 """
 
@@ -28,17 +33,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavelake.llm import tokens
-from stavelake.llm.common import table, with_text_key, written
+from stavelake.llm.common import Scratch, table, with_text_key, written
 from stavelake.llm.tokens import U, mix
 
 VOCABULARY_SHARE = 1 << 16
-BIGRAM_SHARE = 1 << 20
-#: Counts up to this are discounted.
-K = 5
+#: Words of which pairs are counted before the others, and what makes such a pair frequent.
+PAIR_WORD_SHARE, PAIR_SHARE = 1 << 13, 1 << 20
+#: Counts up to this are discounted by Good-Turing, those above by a fixed part of one.
+K, TAIL = 5, 0.1
 #: Set in every word hash: as a signed number it is negative, so it is never the place of a frequent word.
 TOP = U(1 << 63)
 END = U(0x452821E638D01377) | TOP
-TOKENS_A_BLOCK = 2_000_000
+TOKENS_A_BLOCK = 1_000_000
+#: Bytes of text whose occurrences are one part, and in how many rounds the parts are worked.
+PART_BYTES, ROUNDS = 8_000_000, 2
+BIGRAM_TAG = U(0x9216D5D98979FB1B)
 
 
 @dataclass(frozen=True)
@@ -69,10 +78,6 @@ class Frequent:
         h[first] = self.start
         return h, x
 
-    def counts_of(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The counts of the words of these codes; n: of those that are not frequent."""
-        return np.where(x >= 0, np.append(self.counts, 0)[np.maximum(x, 0)], n)
-
 
 def with_ends(t: tokens.Text) -> tuple[np.ndarray, np.ndarray]:
     """(row, word hash) of the tokens, each row closed by its end."""
@@ -118,21 +123,6 @@ def counted_words(docs: DataFrame) -> DataFrame:
     return _blocks(docs, ("key",), lambda row, words: (words,)).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def counted_bigrams(docs: DataFrame, frequent, words: DataFrame) -> DataFrame:
-    """h, x, n of every pair of words, and the count of x where it is not frequent (frequent: a broadcast).
-
-    Pairs are dealt by x where it is not frequent, so one shuffle serves the counts and the join.
-    """
-
-    def codes(row: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        f = frequent.value
-        return f.pairs(row, w, f.places(w))
-
-    dealt = F.when(F.col("x") < 0, F.col("x")).otherwise(F.shiftrightunsigned(F.xxhash64("h", "x"), 1))
-    pairs = _blocks(docs, ("h", "x"), codes).withColumn("part", dealt).repartition("part").groupBy("part", "h", "x").agg(F.sum("n").alias("n"))
-    return pairs.join(words.select(F.col("key").alias("part"), F.col("n").alias("x_n")), "part", "left").select("h", "x", "n", F.coalesce("x_n", F.lit(0)).alias("x_n"))
-
-
 def discounts(counts_of_counts: dict[int, int]) -> np.ndarray:
     """Katz's Good-Turing discounts of the counts 0 (unused) to K; absolute discounting of 0.5 where they are no ratios below 1."""
     n = [0] + [counts_of_counts.get(r, 0) for r in range(1, K + 2)]
@@ -157,16 +147,10 @@ class Unigrams:
     unseen: float  # the probability of the one unseen word
     seen_scale: float
 
-    def probability(self, count: Column) -> Column:
-        d = F.when(count > K, F.lit(1.0)).otherwise(F.element_at(F.array(*[F.lit(float(x)) for x in self.discount]), (F.least(count, F.lit(K)) + 1).cast("int")))
-        return d * count / self.total * self.seen_scale
-
     def probabilities(self, count: np.ndarray) -> np.ndarray:
-        return discounted(count, self.discount) / max(self.total, 1) * self.seen_scale
-
-
-def discounted(n: np.ndarray, discount: np.ndarray) -> np.ndarray:
-    return n * np.where(n > K, 1.0, discount[np.minimum(n, K)])
+        """Of words with these counts; 0 stands for the unseen word."""
+        seen = count * np.where(count > K, 1.0, self.discount[np.minimum(count, K)]) / max(self.total, 1) * self.seen_scale
+        return np.where(count > 0, seen, self.unseen)
 
 
 def count_histogram(counts: DataFrame) -> dict[int, tuple[int, int]]:
@@ -187,150 +171,277 @@ def unigrams(words: DataFrame) -> Unigrams:
     return Unigrams(total, distinct, d, unseen, 1.0)
 
 
-def contexts_of(bigrams: DataFrame, frequent, d: np.ndarray, uni: Unigrams) -> DataFrame:
-    """h, seen and unseen: log10 of what each context gives to d * c of a seen successor and to the unigram probability of any other."""
+R = [f"r{r}" for r in range(1, K + 2)]
+#: kind 0: sums of a context (key); 1: sums of a document (key); 2: a pair unseen in training (key: its context, doc);
+#: 3, if asked for: a pair (key: its context, doc: its word) and its count (total).
+SUMS = f"kind int, key long, doc long, total long, {', '.join(f'{r} int' for r in R)}, more int, x double, y double, known long, tokens long"
+NAMES = [c.split()[0] for c in SUMS.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, x, n, x_n = (c.to_numpy() for c in b.columns)
-            p = uni.probabilities(frequent.value.counts_of(x, x_n))
-            at, where = np.unique(h, return_inverse=True)
-            sums = [np.bincount(where, weights=w, minlength=len(at)) for w in (n, discounted(n, d), p)]
-            yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, sums)], names=["h", "total", "kept", "mass"])
-
-    sums = bigrams.select("h", "x", "n", "x_n").mapInArrow(run, "h long, total double, kept double, mass double")
-    sums = sums.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("total", "kept", "mass")])
-    total, free = F.col("total"), 1 - F.col("kept") / F.col("total")
-    none = free <= 1e-12
-    # The unseen word follows no context, so at least its probability is left to back off to.
-    rest = F.greatest(1 - F.col("mass"), F.lit(uni.unseen))
-    return sums.select("h", F.log10(F.when(none, 1 / (total + 1)).otherwise(1 / total)).alias("seen"), F.log10(F.when(none, 1 / (total + 1)).otherwise(free) / rest).alias("unseen"))
 
+def _sums(kind: int, key: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    given = {"kind": np.full(len(key), kind), "key": key.view(np.int64)} | columns
+    arrays = []
+    for c in SUMS.split(", "):
+        name, kind_of = c.split()
+        arrays.append(pa.array(given[name], types[kind_of]) if name in given else pa.nulls(len(key), types[kind_of]))
+    return pa.Table.from_arrays(arrays, names=NAMES)
 
-def bigram_gains(pairs: DataFrame, contexts: DataFrame, broadcast, d: np.ndarray, uni: Unigrams) -> DataFrame:
-    """key and score_gain: the gain of each seen pair over the same pair taken as unseen."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, seen, unseen = broadcast.value
-        for b in batches:
-            h, x, n, x_n = (b.column(i).to_numpy() for i in range(4))
-            weight = [np.where(h >= 0, of[np.maximum(h, 0)], b.column(i).to_numpy(zero_copy_only=False)) for i, of in ((4, seen), (5, unseen))]
-            gain = np.log10(discounted(n, d)) + weight[0] - weight[1] - np.log10(uni.probabilities(frequent.counts_of(x, x_n)))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(h, x).view(np.int64)), pa.array(gain)], names=["key", "score_gain"])
+@dataclass(frozen=True)
+class Known:
+    """What every task looks up: the frequent words, the frequent pairs (codes ascending) and the unigram numbers."""
+
+    frequent: Frequent
+    uni: Unigrams
+    starts: int  # training documents
+    pair_codes: np.ndarray
+    pair_counts: np.ndarray
+
+    def counts_of_pairs(self, h: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The counts of the frequent pairs among these; 0 for all others."""
+        out = np.zeros(len(h), np.int64)
+        both = np.flatnonzero((h >= 0) & (x >= 0))
+        if len(self.pair_codes):
+            code = h[both] * (self.frequent.start + 1) + x[both]
+            at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+            out[both] = np.where(self.pair_codes[at] == code, self.pair_counts[at], 0)
+        return out
+
+
+def kept_log(n: np.ndarray) -> np.ndarray:
+    return np.log10(n - TAIL)
+
+
+def frequent_pairs(docs: DataFrame, frequent, least: float, very: float) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of the pairs with ``least`` occurrences whose words have ``very`` each; the start counts as such a word."""
+
+    def codes(row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray]:
+        f = frequent.value
+        often = np.append(f.counts >= very, True)
+        h, x = f.pairs(row, words, f.places(words))
+        both = (h >= 0) & (x >= 0)
+        h, x = h[both], x[both]
+        both = often[h] & often[x]
+        return ((h[both] * (f.start + 1) + x[both]).view(U),)
+
+    found = _blocks(docs, ("code",), codes).groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(least)).toArrow()
+    code, n = (found.column(c).to_numpy() for c in ("code", "n"))
+    order = np.argsort(code)
+    return code[order], n[order]
+
+
+def _halves(codes: np.ndarray) -> list[bytes]:
+    """Codes of words as bits (rare or not), places and hashes."""
+    rare = codes < 0
+    return [np.packbits(rare).tobytes(), codes[~rare].astype(np.uint32).tobytes(), codes[rare].tobytes()]
 
-    names = ["h", "x", "n", "x_n"]
-    nothing = F.lit(0.0).alias("seen"), F.lit(0.0).alias("unseen")
-    joined = pairs.filter("h < 0").join(contexts.filter("h < 0"), "h").select(*names, "seen", "unseen")
-    return pairs.filter("h >= 0").select(*names, *nothing).union(joined).mapInArrow(run, "key long, score_gain double")
+
+def _whole(data: list[bytes], n: int) -> np.ndarray:
+    rare = np.unpackbits(np.frombuffer(data[0], np.uint8), count=n).astype(bool)
+    out = np.empty(n, np.int64)
+    out[~rare], out[rare] = np.frombuffer(data[1], np.uint32), np.frombuffer(data[2], np.int64)
+    return out
 
 
-BIGRAM_TAG, OWN_TAG = U(0x9216D5D98979FB1B), U(0xC0AC29B7C97C50DD)
+PACK = "part int, own boolean, n int, data array<binary>"
 
 
-def _scan(docs: DataFrame, broadcast) -> DataFrame:
-    """doc, key, tf and, in one row of each document, base, score, n_tokens, n_known with all that is not broadcast taken as unseen."""
+def packs(docs: DataFrame, known, parts: int, turn: int) -> DataFrame:
+    """The occurrences of all but the frequent pairs in packs by part, for the parts of this turn; in turn 0 also each document's own sums.
+
+    docs: doc, training, text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, unseen_after, word_score, word_base, bigram_key, bigram_gain = broadcast.value
-        for part, column in tokens.slices(batches, limit=1 << 20):
-            rows = len(column)
+        k: Known = known.value
+        f, uni = k.frequent, k.uni
+        counts = np.append(f.counts, 0)
+        floor = uni.total + 0.1 * (uni.distinct + 1)
+        word_base = np.log10((counts + 0.1) / floor)
+        # What a word says as the context of the next token; the end is none.
+        as_context = -np.log10(np.maximum(counts, 1))
+        as_context[:-1][f.hashes == END] = 0
+        start = -np.log10(max(k.starts, 1))
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def rows(found: list[tuple[int, bool, int, list[bytes]]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.binary())))], names=["part", "own", "n", "data"])
+
+        def block() -> pa.RecordBatch:
+            part, doc, training, h, x = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(part, kind="stable")
+            part, doc, training, h, x = (c[order] for c in (part, doc, training, h, x))
+            ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
+            out, low = [], 0
+            for high in ends if len(part) else []:
+                d = doc[low:high]
+                first = np.append(0, np.flatnonzero(d[1:] != d[:-1]) + 1)
+                runs = np.diff(np.append(first, len(d))).astype(np.uint32)
+                out.append((int(part[low]), False, int(high - low), [d[first].tobytes(), training[low:high][first].tobytes(), runs.tobytes(), *_halves(h[low:high]), *_halves(x[low:high])]))
+                low = high
+            return rows(out)
+
+        for b, column in tokens.slices(batches, limit=1 << 20):
             row, words = with_ends(tokens.text_of(column))
-            places = c.places(words)
-            h, x = c.pairs(row, words, places)
-            keys = pair_keys(h, x)
-            rare = places == c.start
-            base = word_base[places]
-            score = np.where(h >= 0, unseen_after[np.maximum(h, 0)], 0.0) + word_score[places]
-            if len(bigram_key):
-                at = np.minimum(np.searchsorted(bigram_key, keys), len(bigram_key) - 1)
-                hit = bigram_key[at] == keys
-                score += np.where(hit, bigram_gain[at], 0.0)
+            places = f.places(words)
+            h, x = f.pairs(row, words, places)
+            doc, training = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc", "training"))
+            n = k.counts_of_pairs(h, x)
+            if turn == 0:
+                per_row = lambda w: np.bincount(row, weights=w, minlength=len(doc))
+                score = per_row(as_context[places] + np.where(n > 0, kept_log(np.maximum(n, 1)), 0.0)) + start
+                own = [doc, np.bincount(row, minlength=len(doc)), per_row(places < f.start).astype(np.int64), per_row(word_base[places]), score]
+                yield rows([(int(doc[0].view(np.uint64) % U(parts)) // ROUNDS * ROUNDS, True, len(doc), [c.tobytes() for c in own])])
+            by = np.where(x < 0, x.view(U), pair_keys(h, x))
+            part = (mix(by) % U(parts)).astype(np.int32)
+            mine = np.flatnonzero((n == 0) & (part % ROUNDS == turn))
+            held.append((part[mine], doc[row[mine]], training[row[mine]], h[mine], x[mine]))
+            size += len(mine)
+            if size >= TOKENS_A_BLOCK:
+                yield block()
+                held, size = [], 0
+        if size:
+            yield block()
+
+    return docs.select("doc", "training", "text").mapInArrow(run, PACK)
+
+
+def sums_of_part(known, with_pairs: bool = False):
+    """Counts a part's pairs and rare words in training, and gives its sums (see SUMS)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        k: Known = known.value
+        out, occurrences = [], []
+        for own, n, data in zip(*(group.column(c).to_pylist() for c in ("own", "n", "data"))):
+            if own:
+                longs, doubles = [np.frombuffer(d, np.int64) for d in data[:3]], [np.frombuffer(d, np.float64) for d in data[3:]]
+                out.append(_sums(1, longs[0], tokens=longs[1], known=longs[2], y=doubles[0], x=doubles[1]))
             else:
-                hit = np.zeros(len(keys), bool)
-            per_row = lambda w: np.bincount(row, weights=w, minlength=rows)
-            doc = part.column(part.schema.get_field_index("doc")).to_numpy()
-            n_tokens, n_known = np.bincount(row, minlength=rows), per_row(~rare)
-            asked_row = np.concatenate([row[rare], row[~hit]])
-            asked = np.concatenate([words[rare], keys[~hit]])
-            order = np.lexsort((asked, asked_row))
-            asked, asked_row = asked[order], asked_row[order]
-            new = np.ones(len(asked), bool)
-            new[1:] = (asked[1:] != asked[:-1]) | (asked_row[1:] != asked_row[:-1])
-            start = np.flatnonzero(new)
-            tf = np.diff(np.append(start, len(asked)))
-            k = len(start)
-            own = np.arange(rows + k) >= rows
-            padded = lambda x: pa.array(np.concatenate([x, np.zeros(k, x.dtype)]), mask=own)
-            # A document's own row joins nothing: its key is only there to spread the rows.
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([doc, doc[asked_row[start]]])),
-                    pa.array(np.concatenate([mix(doc.astype(U) ^ OWN_TAG), asked[start]]).view(np.int64)),
-                    pa.array(np.concatenate([np.zeros(rows, np.int32), tf.astype(np.int32)])),
-                    padded(per_row(base)),
-                    padded(per_row(score)),
-                    padded(n_tokens.astype(np.int64)),
-                    padded(n_known.astype(np.int64)),
-                ],
-                names=["doc", "key", "tf", "base", "score", "n_tokens", "n_known"],
-            )
-
-    return docs.select("doc", "text").mapInArrow(run, "doc long, key long, tf int, base double, score double, n_tokens long, n_known long")
+                runs = np.frombuffer(data[2], np.uint32)
+                doc, training = (np.repeat(np.frombuffer(d, t), runs) for d, t in ((data[0], np.int64), (data[1], bool)))
+                occurrences.append((doc, training, _whole(data[3:6], n), _whole(data[6:9], n)))
+        if occurrences:
+            out += _counted(k, with_pairs, *(np.concatenate(c) for c in zip(*occurrences)))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _counted(k: Known, with_pairs: bool, doc: np.ndarray, training: np.ndarray, h: np.ndarray, x: np.ndarray) -> list[pa.Table]:
+    _, at, pair = np.unique(pair_keys(h, x), return_index=True, return_inverse=True)
+    n_of = np.bincount(pair, weights=training, minlength=len(at)).astype(np.int64)
+    rare = np.flatnonzero(x < 0)
+    words, word = np.unique(x[rare], return_inverse=True)
+    n_x = np.append(k.frequent.counts, 0)[np.maximum(x, 0)]
+    n_x[rare] = np.bincount(word, weights=training[rare], minlength=len(words)).astype(np.int64)[word]
+
+    at, n = at[n_of > 0], n_of[n_of > 0]
+    h_of, x_count = h[at], n_x[at]
+    of_pairs = [_sums(3, h_of, doc=x[at], total=n)] if with_pairs else []
+    contexts, c = np.unique(h_of, return_inverse=True)
+    per_context = lambda w: np.bincount(c, weights=w, minlength=len(contexts))
+    by_count = {r: per_context(n == i).astype(np.int32) for i, r in enumerate(R, 1)}
+    of_contexts = _sums(0, contexts, total=per_context(n).astype(np.int64), more=per_context(n > K).astype(np.int32), x=per_context(k.uni.probabilities(x_count)), **by_count)
+
+    n = n_of[pair]
+    docs, d = np.unique(doc, return_inverse=True)
+    per_doc = lambda w: np.bincount(d, weights=w, minlength=len(docs))
+    known = (x < 0) & (n_x > 0)
+    score = np.where(n == 0, np.log10(k.uni.probabilities(n_x)), np.where(n > K, kept_log(np.maximum(n, 1)), 0.0))
+    score -= np.where(known & (x.view(U) != END), np.log10(np.maximum(n_x, 1)), 0.0)
+    by_count = {r: per_doc(n == i).astype(np.int32) for i, r in enumerate(R[:K], 1)}
+    of_docs = _sums(1, docs, known=per_doc(known).astype(np.int64), x=per_doc(score), y=per_doc(np.where(known, np.log10((n_x + 0.1) / 0.1), 0.0)), **by_count)
+    unseen = np.flatnonzero(n == 0)
+    return [of_contexts, of_docs, _sums(2, h[unseen], doc=doc[unseen]), *of_pairs]
+
+
+def sums_of_frequent(k: Known) -> pa.Table:
+    """The sums of the contexts over their frequent pairs."""
+    h, x = np.divmod(k.pair_codes, k.frequent.start + 1)
+    n = k.pair_counts
+    contexts, c = np.unique(h, return_inverse=True)
+    per_context = lambda w: np.bincount(c, weights=w, minlength=len(contexts))
+    by_count = {r: per_context(n == i).astype(np.int32) for i, r in enumerate(R, 1)}
+    mass = per_context(k.uni.probabilities(k.frequent.counts[x]))
+    return _sums(0, contexts, total=per_context(n).astype(np.int64), more=per_context(n > K).astype(np.int32), x=mass, **by_count)
+
+
+def backoff_weights(contexts: DataFrame, d: np.ndarray, uni: Unigrams) -> DataFrame:
+    """key, log10 of the backoff weight, and log10 of what the context's count times that weight is (``freed``)."""
+    freed = sum((F.col(r) * F.lit(float((1 - d[i]) * i)) for i, r in enumerate(R[:K], 1)), F.col("more") * F.lit(TAIL))
+    # The unseen word follows no context, so at least its probability is left to back off to.
+    rest = F.greatest(1 - F.col("mass"), F.lit(float(uni.unseen)))
+    return contexts.select("key", F.log10(freed / F.col("total") / rest).alias("weight"), F.log10(freed / rest).alias("freed"))
 
 
-def scored(docs: DataFrame, train: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document; learns where ``train`` holds."""
-    spark = docs.sparkSession
-    keyed = with_text_key(docs.select("doc_id", "text")).withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned("_th", 1)))
-    training = keyed.filter(train)
+@dataclass(frozen=True)
+class Model:
+    contexts: DataFrame  # key, total, r1 ... (successors by count), more, mass: a table partitioned by context
+    parts: DataFrame  # see SUMS
+    discount: np.ndarray
+    known: Known
+
 
-    words = written(counted_words(training), "words")
+def learned(keyed: DataFrame, scratch: Scratch, with_pairs: bool = False) -> Model:
+    """Counts of the training rows of ``keyed`` (doc, training, text), with what its parts say about every row.
+
+    ``with_pairs`` also keeps the counts of all but the frequent pairs as a table, for use beyond these rows.
+    """
+    spark = keyed.sparkSession
+    training = keyed.filter("training")
+    words = scratch.written(counted_words(training), "words")
     uni = unigrams(words)
-    least = max(uni.total / VOCABULARY_SHARE, K + 1)
-    found = words.filter(F.col("n") >= F.lit(least)).toArrow()
+    found = words.filter(F.col("n") >= F.lit(max(uni.total / VOCABULARY_SHARE, K + 1))).toArrow()
     key, n = (found.column(c).to_numpy() for c in ("key", "n"))
     order = np.argsort(key.view(U))
     frequent = Frequent(key.view(U)[order], n[order])
+    ends = words.filter(F.col("key") == F.lit(int(END.astype(np.int64)))).first()
+
     shared = spark.sparkContext.broadcast(frequent)
+    codes, counts = frequent_pairs(training, shared, max(uni.total / PAIR_SHARE, K + 1), uni.total / PAIR_WORD_SHARE)
+    known = Known(frequent, uni, ends["n"] if ends else 0, codes, counts)
+    shared.destroy()
+    shared = spark.sparkContext.broadcast(known)
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = ROUNDS * max(1, -(-size // (PART_BYTES * ROUNDS)))
+    done = [scratch.written(packs(keyed, shared, parts, turn).groupBy("part").applyInArrow(sums_of_part(shared, with_pairs), SUMS), "sums") for turn in range(ROUNDS)]
+    shared.destroy()
+    scratch.drop(words)
+    sums = done[0]
+    for more in done[1:]:
+        sums = sums.union(more)
+    of_contexts = sums.filter("kind = 0").union(spark.createDataFrame(sums_of_frequent(known), SUMS))
+    of_contexts = of_contexts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("total", *R, "more")], F.sum("x").alias("mass"))
+    contexts = scratch.written(of_contexts, "contexts")
+    totals = contexts.agg(*[F.sum(r).alias(r) for r in R]).first()
+    return Model(contexts, sums, discounts({i: totals[r] or 0 for i, r in enumerate(R, 1)}), known)
 
-    bigrams = written(counted_bigrams(training, shared, words), "bigrams")
-    d = discounts({r: k for r, (k, _) in count_histogram(bigrams).items() if r <= K + 1})
-    contexts = written(contexts_of(bigrams, shared, d, uni), "contexts")
-    seen_after, unseen_after = np.zeros(frequent.start + 1), np.zeros(frequent.start + 1)
-    found = contexts.filter("h >= 0").toArrow()
-    at = found.column("h").to_numpy()
-    seen_after[at], unseen_after[at] = (found.column(c).to_numpy() for c in ("seen", "unseen"))
-    weights = spark.sparkContext.broadcast((frequent, seen_after, unseen_after))
-
-    often = max(uni.total / BIGRAM_SHARE, K + 1)
-    gains_of = lambda pairs: bigram_gains(pairs, contexts, weights, d, uni)
-    found = gains_of(bigrams.filter(F.col("n") >= F.lit(often))).toArrow()
-    bigram_key, bigram_gain = found.column("key").to_numpy().view(U), found.column("score_gain").to_numpy()
-    order = np.argsort(bigram_key)
-    floor = uni.total + 0.1 * (uni.distinct + 1)
-    word_base = np.log10((np.append(frequent.counts, 0) + 0.1) / floor)
-    word_score = np.log10(np.append(uni.probabilities(frequent.counts), uni.unseen))
-    broadcast = spark.sparkContext.broadcast((frequent, unseen_after, word_score, word_base, bigram_key[order], bigram_gain[order]))
-
-    none, one = F.lit(0).cast("long").alias("known"), F.lit(1).cast("long").alias("known")
-    of_bigrams = gains_of(bigrams.filter(F.col("n") < F.lit(often))).select("key", F.lit(0.0).alias("base_gain"), "score_gain", none)
-    # A word stands as often before a token as it is one; only the end, which is no context, has no weight of its own.
-    count, rare = F.col("n"), words.filter(F.col("n") < F.lit(least)).join(contexts.filter("h < 0"), F.col("key") == F.col("h"), "left")
-    word_gain = F.log10(uni.probability(count) / uni.unseen) + F.coalesce("unseen", F.lit(0.0)) if uni.total else F.lit(0.0)
-    of_words = rare.select("key", F.log10((count + 0.1) / 0.1).alias("base_gain"), word_gain.alias("score_gain"), one)
-    gains = of_words.unionByName(of_bigrams)
-
-    met = _scan(keyed, broadcast).join(gains, "key", "left")
-    both = lambda own, gain_of: ((F.sum(own) + F.coalesce(F.sum(F.col("tf") * F.col(gain_of)), F.lit(0))) / F.count("n_tokens"))
-    # Repeated rows of a document ask for the same keys: the sums are shared out.
-    sums = met.groupBy("doc").agg(
-        (F.sum("n_tokens") / F.count("n_tokens")).cast("long").alias("n_tokens"),
-        both("n_known", "known").cast("long").alias("n_known"),
-        both("base", "base_gain").alias("base_score"),
-        both("score", "score_gain").alias("score"),
-    )
-    rows = keyed.select("doc_id", "doc", (~F.coalesce(train, F.lit(False))).alias("held_out"))
-    return rows.join(sums, "doc").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(uni.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+def scored(docs: DataFrame, train: Column) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document; learns where ``train`` holds."""
+    keyed = with_text_key(docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("training")))
+    keyed = keyed.select("doc_id", "training", "text", F.xxhash64("doc_id", "_th").alias("doc"))
+    with Scratch(docs.sparkSession) as scratch:
+        model = learned(keyed, scratch)
+        uni = model.known.uni
+        weights = backoff_weights(model.contexts, model.discount, uni).select("key", "freed")
+        unseen = model.parts.filter("kind = 2").select("key", "doc")
+        # Frequent contexts are few: at most VOCABULARY_SHARE + 1.
+        often = unseen.filter("key >= 0").join(F.broadcast(weights.filter("key >= 0")), "key")
+        seldom = unseen.filter("key < 0").join(weights.filter("key < 0"), "key")
+        own = model.parts.filter("kind = 1").select(F.col("key").alias("doc"), "tokens", "known", "x", "y", *R[:K])
+        said = own.unionByName(often.union(seldom).select("doc", F.col("freed").alias("x")), allowMissingColumns=True)
+        seen = sum((F.coalesce(F.sum(r), F.lit(0)) * F.lit(float(np.log10(model.discount[i] * i))) for i, r in enumerate(R[:K], 1)), F.sum("x"))
+        # Repeated rows of a document say the same: the sums are shared out.
+        copies = F.count("tokens")
+        sums = said.groupBy("doc").agg(
+            (F.sum("tokens") / copies).cast("long").alias("n_tokens"), (F.sum("known") / copies).cast("long").alias("n_known"), (F.sum("y") / copies).alias("base_score"), (seen / copies).alias("score")
+        )
+        rows = keyed.select("doc_id", "doc", (~F.col("training")).alias("held_out"))
+        out = rows.join(sums, "doc").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(uni.total).cast("long").alias("train_tokens"), "base_score", "score")
+        return written(out, "scores")
 
 
 def training_split(doc_id: Column) -> Column:

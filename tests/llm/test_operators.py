@@ -272,6 +272,7 @@ def katz(trained, text):
         after[h][w] = n
     of = lambda counts: language_model.discounts({r: k for r, k in Counter(counts.values()).items() if r <= language_model.K + 1})
     kept = lambda n, d: n * (1.0 if n > language_model.K else d[n])
+    kept_pair = lambda n: n - language_model.TAIL if n > language_model.K else n * d2[n]
     total, d1, d2 = sum(c.values()), of(c), of(pairs)
     p = {w: kept(n, d1) / total for w, n in c.items()}
     unseen = 1 - sum(p.values())
@@ -283,11 +284,11 @@ def katz(trained, text):
             score += math.log10(p.get(w, unseen))
             continue
         n = sum(seen.values())
-        free = 1 - sum(kept(x, d2) for x in seen.values()) / n
-        scale = 1.0
-        if free <= 1e-12:
-            scale, free = n / (n + 1), 1 / (n + 1)
-        score += math.log10(scale * kept(seen[w], d2) / n if w in seen else free / (1 - sum(p[x] for x in seen)) * p.get(w, unseen))
+        free = 1 - sum(map(kept_pair, seen.values())) / n
+        weight = free / (1 - sum(p[x] for x in seen))
+        # Each context's probabilities add up to one over the vocabulary and the unseen word.
+        assert math.isclose(sum(kept_pair(x) / n for x in seen.values()) + weight * (unseen + sum(q for x, q in p.items() if x not in seen)), 1)
+        score += math.log10(kept_pair(seen[w]) / n if w in seen else weight * p.get(w, unseen))
     return score
 
 
@@ -297,6 +298,9 @@ def test_language_model_equals_plain_katz_over_all_words(spark):
     for i in range(0, 80, 20):
         texts[i] += " seldom together"  # four times: under every threshold, yet a pair of its own
     texts[90], texts[91] = "seldom together", "together seldom"
+    for i in range(3, 40):
+        texts[i] += " ever after"  # a context with one successor
+    texts[92] = "ever before " + texts[92]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["score"] for r in language_model.scored(table, train).collect()}
     trained = [[*words(t), None] for t in texts[:80]]
@@ -305,6 +309,34 @@ def test_language_model_equals_plain_katz_over_all_words(spark):
     assert got[90] - got[91] > 2
 
 
+def test_language_model_contexts_add_up_to_one(spark, small):
+    col = language_model.F.col
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(col("doc_id").alias("doc"), (col("doc_id") % 10 != 0).alias("training"), "text")
+    with language_model.Scratch(spark) as scratch:
+        m = language_model.learned(docs, scratch, with_pairs=True)
+        uni, f = m.known.uni, m.known.frequent
+        pairs = {(r["key"], r["doc"]): r["total"] for r in m.parts.filter("kind = 3").collect()}
+        pairs |= {tuple(map(int, divmod(c, f.start + 1))): int(n) for c, n in zip(m.known.pair_codes, m.known.pair_counts)}
+        weights = {r["key"]: 10 ** r["weight"] for r in language_model.backoff_weights(m.contexts, m.discount, uni).collect()}
+    count, after = Counter(), defaultdict(dict)
+    for (h, x), n in pairs.items():
+        count[x] += n
+        after[h][x] = n
+    assert sum(count.values()) == uni.total and len(count) == uni.distinct and weights.keys() == after.keys()
+    p = dict(zip(count, uni.probabilities(np.array(list(count.values()))).tolist()))
+    assert math.isclose(sum(p.values()) + uni.unseen, 1)
+    for h, seen in list(after.items())[:500]:
+        kept = sum(n - language_model.TAIL if n > language_model.K else n * m.discount[n] for n in seen.values()) / sum(seen.values())
+        assert math.isclose(kept + weights[h] * (1 - sum(p[x] for x in seen)), 1, rel_tol=1e-9)
+
+
+def test_language_model_tells_texts_of_one_id_apart(spark):
+    table = spark.createDataFrame([(1, "a b c d e f"), (1, "z"), (2, "a b"), (2, "a b"), (10, None)], "doc_id long, text string")
+    rows = language_model.scored(table, language_model.training_split(language_model.F.col("doc_id"))).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in rows) == [(1, 2), (1, 7), (2, 3), (2, 3), (10, 1)]
+    assert len({r["score"] for r in rows if r["doc_id"] == 2}) == 1 and all(math.isfinite(r["score"]) for r in rows)
+
+
 def test_good_turing_discounts():
     d = language_model.discounts({1: 1000, 2: 400, 3: 200, 4: 120, 5: 80, 6: 55})
     assert all(0 < x < 1 for x in d[1:])
