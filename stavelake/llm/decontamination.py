@@ -1,9 +1,10 @@
 """Operator 10: benchmark decontamination with DataFrame functions only.
 
 A document word is hit when it lies in an occurrence of a benchmark window (``ngram`` consecutive words; a
-shorter item is one window). Every window is found by its rarest word: document words are joined with that
-bounded set by broadcast hash, and the candidate position is verified word by word. Only verified
-positions leave the scan, so a shuffle carries hits, never the words of the corpus.
+shorter item is one window). The windows are a broadcast set of hashes of their normalised words, with the words: every word
+position of a document is hashed with the words after it and looked up once for each length of window that the benchmark
+has, and a hit is verified word by word where it was found. Only verified positions leave the scan, so a shuffle carries
+hits, never the words of the corpus; the items of a window are joined to the hits afterwards, however many they are.
 
 Defined cases: null and empty texts have no words; an empty benchmark hits nothing; equal items are all
 reported; repeated documents get equal results; other columns of the input are ignored.
@@ -11,15 +12,16 @@ reported; repeated documents get equal results; other columns of the input are i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from stavelake.llm.common import ascii_lower, packed, table, unpacked, with_text_key
+from stavelake.llm.common import ascii_lower, packed, table, unpacked, with_text_key, written
 
 NGRAM = 10
-#: Windows up to which the anchor table is broadcast (about 200 bytes each); beyond it, Spark shuffles.
-MAX_BROADCAST_WINDOWS = 200_000
+#: Bytes of windows (their words and a hash each) up to which they are broadcast; beyond it, Spark shuffles the positions.
+MAX_BROADCAST_BYTES = 64_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD_AND_REST = r"([0-9A-Za-z[^\x00-\x7F]]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)"
 
@@ -29,63 +31,65 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
+def word_hashes(words: Column) -> Column:
+    """Hashes of the words by lower(), which is coarser than A-Z folding; the verification is exact."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+
+
+def window_key(hashes: Column, at: Column, span: int) -> Column:
+    return F.xxhash64(F.lit(span), *[F.get(hashes, at + i) for i in range(span)])
+
+
 def benchmark_windows(benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
-    """(win, items, anchor, offset): each distinct window, the items that hold it, and its rarest word."""
-    items = benchmark.select("item_id", words_of(ascii_lower(F.col("text"))).alias("words")).filter(F.size("words") > 0)
+    """(win, span, item): the windows of each item, as their words joined by spaces."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(ascii_lower(F.col("text"))).alias("words")).filter(F.size("words") > 0)
     span = F.least(F.size("words"), F.lit(ngram))
     starts = F.explode(F.sequence(F.lit(0), F.size("words") - span))
-    windows = (
-        items.select("item_id", "words", span.alias("span"), starts.alias("start"))
-        .select("item_id", F.expr("slice(words, start + 1, span)").alias("win"))
-        .groupBy("win")
-        .agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    )
-    # Anchors are compared by lower(), which is coarser than A-Z folding; the verification is exact.
-    counts = items.select(F.explode("words").alias("w")).groupBy(F.lower("w").alias("anchor")).agg(F.count("*").alias("freq"))
-    places = windows.select("win", "items", F.posexplode("win").alias("offset", "w")).withColumn("anchor", F.lower("w"))
-    rarest = Window.partitionBy("win").orderBy("freq", F.length("anchor").desc(), "anchor", "offset")
-    return (
-        places.join(counts, "anchor")
-        .withColumn("_n", F.row_number().over(rarest))
-        .filter("_n = 1")
-        .select("win", "items", "anchor", "offset")
-    )
+    placed = items.select("item", "words", span.alias("span"), starts.alias("start"))
+    return placed.select(F.expr("array_join(slice(words, start + 1, span), ' ')").alias("win"), "span", "item").distinct()
 
 
-def window_hits(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
-    """(doc_id, _th, start, span, items): the verified occurrences of windows in the documents."""
-    windows = benchmark_windows(benchmark, ngram)
+def window_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(doc_id, _th, start, span, win): the verified occurrences of windows in the documents."""
+    keys = windows.select("win", "span").distinct()
+    about = keys.groupBy("span").agg(F.sum(F.octet_length("win") + 16).alias("bytes")).collect()  # a row for each length
+    spans = sorted(r["span"] for r in about) or [1]
+    one_of = lambda hashes, at: reduce(lambda rest, n: F.when(F.col("span") == n, window_key(hashes, at, n)).otherwise(rest), spans, F.lit(None).cast("long"))
+    keys = keys.withColumn("key", one_of(word_hashes(F.split("win", " ")), F.lit(0)))
     words = with_text_key(docs).select("doc_id", "_th", words_of(F.col("text")).alias("words"))
-    start, span = F.col("pos") - F.col("offset"), F.size("win")
-    if windows.count() <= MAX_BROADCAST_WINDOWS:
-        # Explode, join and verification are one generated loop: the words of a document are never copied per word.
-        placed = words.select("doc_id", "_th", "words", F.posexplode("words").alias("pos", "w"))
-        found = placed.withColumn("anchor", F.lower("w")).join(F.broadcast(windows), "anchor")
+    # Explode, join and verification are one generated loop: the words of a document are never copied per word.
+    placed = words.withColumn("hashes", word_hashes(F.col("words"))).select("doc_id", "_th", "words", "hashes", F.posexplode("hashes").alias("start", "_h"))
+    if len(spans) == 1:
+        at = placed.withColumn("at_span", F.lit(spans[0])).withColumn("key", window_key(F.col("hashes"), F.col("start"), spans[0]))
+    else:
+        each = F.array(*[F.struct(F.lit(n).alias("at_span"), window_key(F.col("hashes"), F.col("start"), n).alias("key")) for n in spans])
+        at = placed.withColumn("x", F.explode(each)).select("doc_id", "_th", "words", "start", "x.at_span", "x.key")
+    at = at.filter(F.col("start") + F.col("at_span") <= F.size("words"))
+    text_window = ascii_lower(F.array_join(F.expr("slice(words, start + 1, at_span)"), " "))
+    if sum(r["bytes"] for r in about) <= MAX_BROADCAST_BYTES:
+        found = at.select("doc_id", "_th", "words", "start", "at_span", "key").join(F.broadcast(keys), "key").filter(text_window == F.col("win"))
     else:
-        placed = words.select("doc_id", "_th", F.posexplode("words").alias("pos", "w"))
-        candidates = placed.withColumn("anchor", F.lower("w")).join(windows, "anchor").drop("w", "anchor")
+        candidates = at.select("doc_id", "_th", "start", "at_span", "key").join(keys, "key")
         keyed = words.withColumnsRenamed({"doc_id": "_d", "_th": "_t"}).dropDuplicates(["_d", "_t"])
-        found = candidates.join(keyed, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_t")))
-    text_window = ascii_lower(F.array_join(F.expr("slice(words, pos - offset + 1, size(win))"), " "))
-    return (
-        found.filter((start >= 0) & (start + span <= F.size("words")))
-        .filter(text_window == F.array_join("win", " "))
-        .select("doc_id", "_th", start.alias("start"), span.alias("span"), "items")
-    )
+        same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_t"))
+        found = candidates.join(keyed, same).filter(text_window == F.col("win"))
+    return found.select("doc_id", "_th", "start", "span", "win")
 
 
 def hits_by_document(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
     """(doc_id, _th, hit_positions, items): one row per document with a hit; a document's own words bound it."""
+    windows = written(benchmark_windows(benchmark, ngram), "windows")
     places = F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["span"] - 1))
     return (
-        window_hits(docs, benchmark, ngram)
+        window_hits(docs, windows)
+        .join(windows.select("win", "item"), "win")
         .groupBy("doc_id", "_th")
-        .agg(F.collect_set(F.struct("start", "span")).alias("spans"), F.collect_set("items").alias("sets"))
+        .agg(F.collect_set(F.struct("start", "span")).alias("spans"), F.collect_set("item").alias("items"))
         .select(
             F.col("doc_id").alias("_hit_doc"),
             F.col("_th").alias("_hit_th"),
             F.array_distinct(F.flatten(places)).alias("hit_positions"),
-            F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"),
+            F.array_sort("items").alias("items"),
         )
     )
 
