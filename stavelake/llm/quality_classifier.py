@@ -6,7 +6,8 @@ and the driver solves one ridge system of fixed size. Scores are calibrated by i
 out-of-fold predictions: the two folds' equations are kept apart, so each fold is scored by the other's model, and
 the final model solves their sum.
 
-Defined cases: a null text is empty and is scored like any other; repeated label rows are averaged; labels without a
+Defined cases: a null text is empty and is scored like any other; a null doc_id is not held out and has no label; of rows that repeat a
+labelled doc_id the one with the least statistics is learned from; repeated label rows are averaged; labels without a
 document and null labels are ignored; without labelled rows every score is 0.5; an empty table gives no rows; other columns
 are never read.
 """
@@ -103,7 +104,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
 @dataclass(frozen=True)
@@ -129,6 +130,10 @@ def _floats(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
+#: The partitions' sums are added in so many groups first, so no task meets one from every partition.
+SUMS_AT_ONCE = 64
+
+
 def normal_equations(training: DataFrame, scaler: Scaler) -> dict[int, np.ndarray]:
     """Per fold the rows [X'X | X'y], added over partitions; the driver gets two matrices of fixed size."""
 
@@ -151,7 +156,8 @@ def normal_equations(training: DataFrame, scaler: Scaler) -> dict[int, np.ndarra
         return pa.table({"fold": group.column("fold")[:1], "i": group.column("i")[:1], "row": pa.array([total], pa.list_(pa.float64()))})
 
     schema = "fold int, i int, row array<double>"
-    rows = training.mapInArrow(part, schema).groupBy("fold", "i").applyInArrow(add, schema).collect()
+    parts = training.mapInArrow(part, schema).withColumn("some", F.spark_partition_id() % SUMS_AT_ONCE)
+    rows = parts.groupBy("fold", "i", "some").applyInArrow(add, schema).groupBy("fold", "i").applyInArrow(add, schema).collect()
     out: dict[int, np.ndarray] = {}
     for fold in {r["fold"] for r in rows}:
         mine = sorted((r for r in rows if r["fold"] == fold), key=lambda r: r["i"])
@@ -196,7 +202,7 @@ def scored(docs: DataFrame, labels: DataFrame, config: ClassifierConfig = CONFIG
     given = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
     given = given.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")
-    training = written(x.dropDuplicates(["doc_id"]).join(given, "doc_id").select("x", "y", fold), "training")
+    training = written(x.join(given, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("x", "y", fold), "training")
     out = [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out")]
 
     at = training.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
