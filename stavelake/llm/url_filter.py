@@ -6,8 +6,8 @@ hosts of allowed pages along the links, and distrust from the hosts of blocked p
 blocked when its distrust exceeds its trust by the threshold.
 
 Defined cases: a null url or one without ``://`` has an empty host and path; a host without trust or distrust is
-allowed; a table without links leaves the seeds' own weights; repeated pages count as pages, and repeated links
-between two hosts as one weighted edge; links to the same host are no edges.
+allowed; of rules of equal length the first in the alphabet wins; a table without links leaves the seeds' own weights; repeated pages count as pages, and repeated links
+between two hosts as one weighted edge; links to the same host are no edges; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import ascii_lower, table, written
+from stavelake.llm.common import Scratch, ascii_lower, table, written
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,8 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 DAMPING = 0.85
-ITERATIONS = 8
+#: The walk has settled when a round moves less than this of all rank; each round moves at most ``DAMPING`` of what the last one did.
+TOLERANCE, MOST_ROUNDS = 1e-6, 200
 THRESHOLD = 0.0
 URL_IN_HTML = r"""(?i)href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
@@ -77,25 +78,32 @@ def host_edges(pages: DataFrame) -> DataFrame:
     )
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """host, rank. seeds: host, seed (adding up to 1). Rank that a host without links would pass on goes back to the seeds.
 
-    Each round is two joins on the host and one sum; the rounds are cut by written tables.
+    Each round is a join on the host and one sum, cut by a written table; the rounds end when the ranks have settled.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = written(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "links")
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    if shares.isEmpty():
-        return rank
-    for _ in range(iterations):
-        moved = shares.join(rank, shares["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("moved"))
-        moved = written(moved, "moved")
-        sent = moved.agg(F.sum("moved")).first()[0] or 0.0  # one number
-        base = seeds.select("host", (F.col("seed") * (1 - damping * sent)).alias("kept"))
-        rank = written(
-            base.join(moved, "host", "full").select("host", (F.coalesce("kept", F.lit(0.0)) + damping * F.coalesce("moved", F.lit(0.0))).alias("rank")), "rank"
-        )
-    return rank
+    none, no = F.lit(0.0), F.lit(False)
+    start = seeds.select("host", F.col("seed").alias("rank"), none.alias("before"), no.alias("linked"))
+    with Scratch(edges.sparkSession) as scratch:
+        out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+        shares = scratch.written(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "links")
+        if shares.isEmpty():
+            return start.select("host", "rank")
+        linked = scratch.written(out.select(F.col("src").alias("host"), none.alias("rank"), none.alias("before"), F.lit(True).alias("linked")), "linked")
+        sums = lambda rows: scratch.written(rows.union(linked).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"), F.max("linked").alias("linked")), "rank")
+        rank = sums(start)
+        for _ in range(MOST_ROUNDS):
+            # Two numbers: what the round before changed, and the rank that hosts with links pass on.
+            change, sent = rank.agg(F.sum(F.abs(F.col("rank") - F.col("before"))), F.coalesce(F.sum(F.when(F.col("linked"), F.col("rank"))), none)).first()
+            if change is None or change < tolerance:
+                return written(rank.filter("rank > 0").select("host", "rank"), "rank")
+            moved = shares.join(rank.withColumnRenamed("host", "src"), "src").select("dst", damping * F.col("rank") * F.col("share"), none, no)
+            kept = seeds.select("host", (F.col("seed") * (1 - damping * sent)), none, no)
+            new = sums(rank.select("host", none.alias("rank"), F.col("rank").alias("before"), no.alias("linked")).union(moved).union(kept))
+            scratch.drop(rank)
+            rank = new
+        raise RuntimeError(f"the ranks have not settled in {MOST_ROUNDS} rounds")
 
 
 def _seeds(hosts: DataFrame, column: str) -> DataFrame:
@@ -119,7 +127,9 @@ def judged_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: f
     """page_id, host, path, rule, verdict, trust, distrust for every page."""
     ruled = written(ruled_pages(pages, rules), "pages")
     scores = host_scores(ruled, written(host_edges(pages), "edges"))
-    blocked = F.round(F.coalesce("distrust", F.lit(0.0)) - F.coalesce("trust", F.lit(0.0)), 12) > threshold
+    trust, distrust = (F.coalesce(x, F.lit(0.0)) for x in ("trust", "distrust"))
+    # Sums differ in their last digits with the order of their rows.
+    blocked = distrust - trust > threshold + 1e-9 * F.greatest(trust, distrust)
     by_host = F.when(blocked, "block").otherwise("allow")
     return ruled.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
