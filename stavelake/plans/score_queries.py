@@ -170,12 +170,13 @@ def lyric_slots(b):
 
 
 SLOTS = f"(SELECT {M}, seq, duration, voice, row_number() OVER (PARTITION BY score_id, part_no ORDER BY measure_no, seq) AS slot FROM (SELECT *, lag(voice) OVER (PARTITION BY {M} ORDER BY seq) AS pv FROM se WHERE kind = 'note' AND is_rest = 0 AND is_grace = 0) WHERE NOT (is_chord = 1 AND coalesce(pv = voice, false)))"
-SYLL = "(SELECT doc_id % 150 AS score_id, 1 + doc_id % 5 AS part_no, word, row_number() OVER (PARTITION BY doc_id % 150, 1 + doc_id % 5 ORDER BY doc_id, i) AS slot FROM (SELECT doc_id, i, string_split(text, ' ')[i] AS word FROM documents, unnest(range(1, len(string_split(text, ' ')) + 1)) AS t(i)))"
+SYLL = "(SELECT score_id, part_no, word, row_number() OVER (PARTITION BY score_id, part_no ORDER BY doc_id, i) AS slot FROM (SELECT doc_id, doc_id % (SELECT max(score_id) + 1 FROM me) AS score_id, 1 + doc_id % 5 AS part_no, i, string_split(text, ' ')[i] AS word FROM documents, unnest(range(1, len(string_split(text, ' ')) + 1)) AS t(i)))"
 
 
 def syllables(b):
     words = b.table("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word"))
-    rows = words.select((F.col("doc_id") % 150).alias("score_id"), (1 + F.col("doc_id") % 5).alias("part_no"), "doc_id", "i", "word")
+    scores = b.me.agg(F.max("score_id") + 1).scalar()
+    rows = words.select((F.col("doc_id") % scores).alias("score_id"), (1 + F.col("doc_id") % 5).alias("part_no"), "doc_id", "i", "word")
     return rows.withColumn("slot", F.row_number().over(Window.partitionBy("score_id", "part_no").orderBy("doc_id", "i")))
 
 
@@ -210,13 +211,13 @@ def lyric_proportional(b):
     return rows.filter((2 * F.col("n") * (F.col("hi") - F.col("duration")) <= mid) & (mid < 2 * F.col("n") * F.col("hi"))).select(*L.MEASURE, "seq", "syllable")
 
 
-@query("section_map", "SELECT score_id, part_no, measure_no, CASE WHEN measure_no BETWEEN 1 AND 4 THEN 'S' WHEN measure_no BETWEEN 3 AND 8 THEN 'A' END AS target FROM me WHERE measure_no <= 8")
+@query("section_map", "SELECT score_id, part_no, measure_no, CASE WHEN measure_no BETWEEN 1 AND 4 THEN 'S' WHEN measure_no BETWEEN 3 AND 8 THEN 'A' END AS target FROM me")
 def section_map(b):
-    """Measure ranges to targets; the first listed range wins."""
+    """Measure ranges to targets; the first listed range wins, and a measure in none has no target."""
     spec = b.spark.sql("SELECT * FROM VALUES (1, 1L, 4L, 'S'), (2, 3L, 8L, 'A') AS t(ord, lo, hi, target)")
     wide = spec.select("ord", "target", F.explode(F.sequence("lo", "hi")).alias("measure_no"))
     first = wide.groupBy("measure_no").agg(F.min_by("target", "ord").alias("target"))
-    return b.me.join(first, "measure_no").select(*L.MEASURE, "target")
+    return b.me.join(first, "measure_no", "left").select(*L.MEASURE, "target")
 
 
 @query("active_parts", "SELECT score_id, measure_no, count(DISTINCT part_no) AS parts, string_agg(DISTINCT CAST(part_no AS VARCHAR), ',' ORDER BY CAST(part_no AS VARCHAR)) AS listed FROM se WHERE kind = 'note' AND is_rest = 0 GROUP BY score_id, measure_no")
@@ -267,11 +268,16 @@ def renumber(b):
     return b.me.select(*L.MEASURE, (m + F.when(m > 5, 2).otherwise(0)).cast("long").alias("shifted"), F.row_number().over(Window.partitionBy("score_id").orderBy("part_no", "measure_no")).cast("long").alias("joined"))
 
 
-@query("page_union", "SELECT score_id, part_no, source, CAST(row_number() OVER (PARTITION BY score_id, part_no ORDER BY source, measure_no) AS BIGINT) AS number FROM (SELECT score_id, part_no, measure_no, 1 AS source FROM me WHERE measure_no <= 3 UNION ALL SELECT score_id, part_no, measure_no, 2 FROM me WHERE measure_no BETWEEN 3 AND 5)")
+@query("page_union", "SELECT score_id, part_no, measure_no, page, CAST(row_number() OVER (PARTITION BY score_id, part_no ORDER BY page, measure_no) AS BIGINT) AS number FROM (SELECT *, CAST(1 + sum(new_page) OVER (PARTITION BY score_id, part_no ORDER BY measure_no) AS BIGINT) AS page FROM me)")
 def page_union(b):
-    page = lambda rows, n: rows.select(*L.MEASURE, F.lit(n).alias("source"))
-    both = page(b.me.filter("measure_no <= 3"), 1).unionByName(page(b.me.filter("measure_no between 3 and 5"), 2), allowMissingColumns=True)
-    return both.select(*L.PART, "source", F.row_number().over(Window.partitionBy(*L.PART).orderBy("source", "measure_no")).cast("long").alias("number"))
+    """Pages are numbered from 1 each; their union numbers on, by the measures of the pages before."""
+    page = 1 + F.sum("new_page").over(Window.partitionBy(*L.PART).orderBy("measure_no"))
+    pages = b.me.withColumn("page", page.cast("long"))
+    pages = pages.withColumn("own", F.row_number().over(Window.partitionBy(*L.PART, "page").orderBy("measure_no")))
+    before = F.sum("n").over(Window.partitionBy(*L.PART).orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = pages.groupBy(*L.PART, "page").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(before, F.lit(0)))
+    joined = pages.join(offsets, [*L.PART, "page"])
+    return joined.select(*L.MEASURE, "page", (F.col("own") + F.col("offset")).cast("long").alias("number"))
 
 
 @query("beam_runs", f"""WITH b AS (SELECT *, sum(CASE WHEN beam IN (0, 1) THEN 1 ELSE 0 END) OVER (PARTITION BY {M}, staff, voice ORDER BY seq) AS run FROM se WHERE kind = 'note' AND is_chord = 0),
@@ -428,11 +434,11 @@ def symbol_buckets(b):
     return notes(b).groupBy(*L.MEASURE, "staff").agg(F.count("*").alias("n"), F.array_join(listed, " ").alias("pitches"))
 
 
-@query("measure_snapshot", f"SELECT {M}, seq, kind, midi, CAST(onset AS BIGINT) AS onset FROM {ONSET} WHERE score_id % 10 = 3 AND part_no = 2 AND measure_no = 4")
+@query("measure_snapshot", f"SELECT {M}, seq, kind, midi, CAST(onset AS BIGINT) AS onset FROM {ONSET} JOIN (SELECT DISTINCT {M} FROM fx) wanted USING ({M})")
 def measure_snapshot(b):
-    """One measure in timeline order; the keys are filtered before any window."""
-    rows = b.se.filter("part_no = 2 and measure_no = 4 and score_id % 10 = 3")
-    return L.cursor_onset(rows).select(*L.MEASURE, "seq", "kind", "midi", "onset").orderBy(*L.MEASURE, "seq")
+    """The measures that the correction log names, with onsets; the others are left out before any window."""
+    rows = b.se.join(b.fx.select(*L.MEASURE).distinct(), list(L.MEASURE), "left_semi")
+    return L.cursor_onset(rows).select(*L.MEASURE, "seq", "kind", "midi", "onset")
 
 
 @query("x_order", f"SELECT {M}, seq, CAST(row_number() OVER (PARTITION BY {M} ORDER BY CASE WHEN x % 9 = 0 THEN 10000 ELSE x END, seq) AS BIGINT) AS place FROM se WHERE kind = 'note' AND is_chord = 0")
