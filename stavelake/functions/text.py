@@ -27,29 +27,47 @@ def normalize_text(text: Column) -> Column:
     return F.lower(F.regexp_replace(strip_pua(text), r"\s+", ""))
 
 
+def _named(value: Column, body) -> Column:
+    """``body(value)``, with the value worked out once for a row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _one_of(words) -> str:
+    return "(?:" + "|".join(w.replace(".", r"\.") for w in words) + ")"
+
+
 def noise_flag(text: Column) -> Column:
     """Whether a text item is a by-product of music fonts; the rules apply in this order."""
     t = F.trim(text)
-    words = F.array_remove(F.split(F.trim(F.regexp_replace(t, r"[^A-Za-z0-9\s]", " ")), r"\s+"), "")
-    lower = F.transform(words, F.lower)
-    listed = lambda w, values: w.isin(*values)
-    repeated = F.exists(lower, lambda w: (F.length(w) >= 2) & F.rlike(w, F.lit(r"^(.)\1+$")) & ~listed(w, MUSIC_TERMS))
-    short = (F.size(words) > 1) & F.forall(words, lambda w: F.length(w) <= 2) & F.exists(lower, lambda w: listed(w, NOISE_SEED))
-    pool = F.forall(lower, lambda w: listed(w, NOISE_SEED + NOISE_MORE + MUSIC_TERMS) | F.rlike(w, F.lit(r"^\d+$")))
-    single = (F.size(words) == 1) & F.element_at(words, 1).isin(*NOISE_SEED)
-    letters = (F.size(words) >= 2) & F.forall(words, lambda w: F.length(w) == 1) & ~F.exists(lower, lambda w: listed(w, ("a", "i", "o")))
-    return (
-        F.when(t == "", True)
-        .when(t.rlike(PRIVATE_USE), True)
-        .when(t.rlike(CJK), False)
-        .when(F.size(words) == 0, True)
-        .when(repeated, True)
-        .when(short, True)
-        .when(t.rlike(r"[=≈]\s*\d+"), True)
-        .when(pool, True)
-        .when(F.when(F.size(words) == 1, single).otherwise(False), True)
-        .otherwise(letters)
-    )
+    seed = _one_of(NOISE_SEED)
+    like = lambda c, pattern: F.rlike(c, F.lit(pattern))
+
+    def rules(words: Column) -> Column:
+        """words: those of A-Z, a-z and 0-9, apart by white space."""
+        repeated = like(words, rf"(?i)(?<!\S)(?!{_one_of(MUSIC_TERMS)}(?!\S))(\S)\1+(?!\S)")
+        short = like(words, r"^\S{1,2}(?:\s+\S{1,2})+$") & like(words, rf"(?i)(?<!\S){seed}(?!\S)")
+        pool = like(words, rf"(?i)^(?:(?:{_one_of(NOISE_SEED + NOISE_MORE + MUSIC_TERMS)}|\d+)(?:\s+|$))*$")
+        letters = like(words, r"^\S(?:\s+\S)+$") & ~like(words, r"(?i)(?<!\S)[aio](?!\S)")
+        return (
+            F.when(words == "", True)
+            .when(repeated, True)
+            .when(short, True)
+            .when(t.rlike(r"[=≈]\s*\d+"), True)
+            .when(pool, True)
+            .when(like(words, rf"^{seed}$"), True)
+            .otherwise(letters)
+        )
+
+    words = F.trim(F.regexp_replace(t, r"[^A-Za-z0-9]+", " "))
+    return F.when(t == "", True).when(t.rlike(PRIVATE_USE), True).when(t.rlike(CJK), False).otherwise(_named(words, rules))
+
+
+def char_classes(text: Column) -> Column:
+    """Characters of a text by class, as a map: music signs, Hangul, the equals sign, what may be stripped, and others."""
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
+    found = {"music": count("[♩-♯]"), "hangul": count("[가-힣]"), "keep": count("="), "strippable": count(r"[\p{L}\p{Nd}\p{No}\p{Nl}\p{Zs}\p{P}&&[^가-힣]]")}
+    other = F.length(text).cast("long") - sum(found.values(), F.lit(0))
+    return F.create_map(*[x for name, n in (found | {"other": other}).items() for x in (F.lit(name), n)])
 
 
 _CIRCLED = "".join(chr(c) for c in range(0x2460, 0x2469))

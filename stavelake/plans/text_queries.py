@@ -89,10 +89,11 @@ def iou(b):
 
 @query(
     "overlap_ratio",
-    """WITH p AS (SELECT a.doc_id, a.page, a.glyph_no AS g1, b.glyph_no AS g2, greatest(a.size_pt, 6.0) AS fs,
-  greatest(0, least(a.x0 + 6, b.x0 + 6) - greatest(a.x0, b.x0)) * greatest(0, least(a.y0 + a.size_pt, b.y0 + b.size_pt) - greatest(a.y0, b.y0)) AS inter,
-  6 * a.size_pt AS area_a, 6 * b.size_pt AS area_b FROM gl a JOIN gl b ON a.doc_id = b.doc_id AND a.page = b.page AND b.glyph_no = a.glyph_no + 1)
-SELECT doc_id, page, g1, g2, round(greatest(inter / greatest(area_a, fs * fs * 0.04), inter / area_b), 6) AS ratio, greatest(inter / greatest(area_a, fs * fs * 0.04), inter / area_b) >= 0.25 AS overlaps FROM p""",
+    """WITH n AS (SELECT *, lead(glyph_no) OVER w AS g2, lead(x0) OVER w AS bx, lead(y0) OVER w AS ty, lead(size_pt) OVER w AS bs FROM gl WINDOW w AS (PARTITION BY doc_id, page ORDER BY glyph_no)),
+p AS (SELECT doc_id, page, glyph_no AS g1, g2, greatest(size_pt, 6.0) AS fs,
+  greatest(0, least(x0 + 6, bx + 6) - greatest(x0, bx)) * greatest(0, least(y0 + size_pt, ty + bs) - greatest(y0, ty)) AS inter,
+  6 * size_pt AS area_a, 6 * bs AS area_b FROM n)
+SELECT doc_id, page, g1, g2, round(greatest(inter / greatest(area_a, fs * fs * 0.04), inter / area_b), 6) AS ratio, greatest(inter / greatest(area_a, fs * fs * 0.04), inter / area_b) >= 0.25 AS overlaps FROM p WHERE g2 IS NOT NULL""",
 )
 def overlap_ratio(b):
     nxt = Window.partitionBy("doc_id", "page").orderBy("glyph_no")
@@ -145,15 +146,9 @@ CLASS_SQL = r"CASE WHEN regexp_full_match(ch, '[♩-♯]') THEN 'music' WHEN reg
 
 @query("char_class", f"SELECT doc_id, class, count(*) AS n FROM (SELECT doc_id, {CLASS_SQL} AS class FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents)) GROUP BY ALL")
 def char_class(b):
-    ch = b.table("documents").select("doc_id", F.explode(F.split("text", "")).alias("ch"))
-    kind = (
-        F.when(F.col("ch").rlike("^[♩-♯]$"), "music")
-        .when(F.col("ch").rlike("^[가-힣]$"), "hangul")
-        .when(F.col("ch") == "=", "keep")
-        .when(F.col("ch").rlike(r"^[\p{L}\p{Nd}\p{No}\p{Nl}\p{Zs}\p{P}]$"), "strippable")
-        .otherwise("other")
-    )
-    return ch.groupBy("doc_id", kind.alias("class")).agg(F.count("*").alias("n"))
+    counts = T.char_classes(F.col("text"))
+    rows = b.table("documents").select("doc_id", F.explode(counts).alias("class", "n")).filter("n > 0")
+    return rows.groupBy("doc_id", "class").agg(F.sum("n").alias("n"))
 
 
 TEMPO_TEXT_SQL = "CASE line_no % 4 WHEN 0 THEN concat('q = ', CAST(10 + doc_id % 500 AS VARCHAR)) WHEN 1 THEN concat('Lento ', CAST(line_no AS VARCHAR), ' or ', CAST(60 + doc_id % 90 AS VARCHAR)) WHEN 2 THEN concat('=', CAST(66 + doc_id % 40 AS VARCHAR), '.5') ELSE 'Adagio' END"
@@ -325,8 +320,8 @@ def marker_candidates(b):
 
 @query("residue_counts", "SELECT doc_id, page, count(*) FILTER (regexp_matches(ch, '\\p{L}')) AS letters, count(*) FILTER (regexp_matches(ch, '[éèêçäöüßñóí]')) AS accented FROM (SELECT doc_id, page, unnest(string_split(text, '')) AS ch FROM ti) GROUP BY ALL")
 def residue_counts(b):
-    ch = b.ti.select("doc_id", "page", F.explode(F.split("text", "")).alias("ch"))
-    return ch.groupBy("doc_id", "page").agg(F.count_if(F.col("ch").rlike(r"\p{L}")).alias("letters"), F.count_if(F.col("ch").rlike("[éèêçäöüßñóí]")).alias("accented"))
+    count = lambda pattern: F.sum(F.regexp_count("text", F.lit(pattern)).cast("long"))
+    return b.ti.groupBy("doc_id", "page").agg(count(r"\p{L}").alias("letters"), count("[éèêçäöüßñóí]").alias("accented"))
 
 
 @query("char_boxes", "SELECT doc_id, line_no, CAST(n - 1 AS INTEGER) AS i, round(x0 + (n - 1) * (x1 - x0) / len(cs), 4) AS cx0, round(x0 + n * (x1 - x0) / len(cs), 4) AS cx1 FROM (SELECT *, string_split(text, '') AS cs FROM ti WHERE item_type = 'title') t, unnest(range(1, len(cs) + 1)) AS u(n)")
