@@ -24,9 +24,9 @@ def latest_progress(events: DataFrame) -> DataFrame:
 
 def retained(events: DataFrame, hours: int = 24) -> DataFrame:
     """Jobs that are unfinished or had an event in the last hours of the log."""
-    now = events.agg(F.max("ts").alias("now")).first()[0]
+    now = events.agg(F.max("ts")).scalar()
     per = events.groupBy("job_id").agg(F.bool_or(F.col("status").isin(*FINISHED)).alias("finished"), F.max("ts").alias("last"))
-    return per.filter(~(F.col("finished") & (F.col("last") < F.lit(now) - F.expr(f"INTERVAL {hours} HOURS")))).select("job_id")
+    return per.filter(~(F.col("finished") & (F.col("last") < now - F.expr(f"INTERVAL {hours} HOURS")))).select("job_id")
 
 
 def latest_progress_stream(events: DataFrame):
