@@ -19,7 +19,7 @@ def fix_key(b):
     return b.fx.groupBy(overlay.fix_key().alias("key")).agg(F.min("fix_id").alias("fix_id"))
 
 
-MERGED = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN kind = 'setNoteVoice' THEN concat_ws('|', kind, score_id, part_no, measure_no, seq) ELSE {KEY} END ORDER BY CASE WHEN kind = 'setNoteVoice' THEN -fix_id ELSE fix_id END) AS n FROM fx) WHERE n = 1)"
+MERGED = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN kind IN ('setPlayOrder', 'setSlurPlacement') THEN concat_ws('|', kind, score_id, part_no, measure_no, seq) ELSE {KEY} END ORDER BY CASE WHEN kind IN ('setPlayOrder', 'setSlurPlacement') THEN -fix_id ELSE fix_id END) AS n FROM fx) WHERE n = 1)"
 
 
 @query("fix_merge", f"SELECT fix_id, kind, {M}, seq, arg FROM {MERGED}")
@@ -27,12 +27,23 @@ def fix_merge(b):
     return overlay.merged_log(b.fx).select("fix_id", "kind", *L.MEASURE, "seq", "arg")
 
 
-SET = f"(SELECT e.* REPLACE (CASE WHEN e.kind = 'note' THEN coalesce(v.value % 4 + 1, e.voice) ELSE e.voice END AS voice, CASE WHEN e.kind = 'note' THEN coalesce(36 + p.value % 48, e.midi) ELSE e.midi END AS midi) FROM se e LEFT JOIN (SELECT {M}, seq, arg_max(arg, fix_id) AS value FROM fx WHERE kind = 'setNoteVoice' GROUP BY {M}, seq) v USING ({M}, seq) LEFT JOIN (SELECT {M}, seq, arg_max(arg, fix_id) AS value FROM fx WHERE kind = 'setNotePitch' GROUP BY {M}, seq) p USING ({M}, seq))"
+LAST = ", ".join(f"arg_max(arg, fix_id) FILTER (kind = '{k}') AS {c}" for k, c in (("setNoteVoice", "v"), ("setNoteStaff", "s"), ("setNotePitch", "p"), ("setPlayOrder", "o")))
+TARGETS = f"SELECT {M}, seq, {LAST}, bool_or(kind = 'removeBeam') AS u, bool_or(kind = 'removeNote') AS gone, bool_or(kind = 'insertRest') AS rest"
+SET_COLUMNS = "coalesce(v, voice) AS voice, coalesce(s, staff) AS staff, coalesce(p, midi) AS midi, coalesce(o, play_order) AS play_order, CASE WHEN u THEN 0 ELSE beam END AS beam"
 
 
-@query("fix_set", f"SELECT {M}, seq, voice, midi FROM {SET}")
+@query("fix_set", f"SELECT {M}, seq, {SET_COLUMNS} FROM se LEFT JOIN (SELECT 'note' AS kind, * FROM ({TARGETS} FROM fx GROUP BY {M}, seq)) t USING ({M}, seq, kind)")
 def fix_set(b):
-    return overlay.apply_sets(b.se, b.fx).select(*L.MEASURE, "seq", "voice", "midi")
+    return overlay.apply_sets(b.se, b.fx).select(*L.MEASURE, "seq", "voice", "staff", "midi", "play_order", "beam")
+
+
+LEAD = f"CASE WHEN kind = 'note' THEN max(CASE WHEN kind = 'note' AND is_chord = 0 THEN seq END) OVER (PARTITION BY {M} ORDER BY seq) END"
+TYPE_COLUMNS = "coalesce(n, duration) AS duration, coalesce(CASE n WHEN 1 THEN '16th' WHEN 2 THEN 'eighth' WHEN 4 THEN 'quarter' WHEN 8 THEN 'half' END, type) AS type"
+
+
+@query("fix_type", f"SELECT {M}, e.seq, {TYPE_COLUMNS} FROM (SELECT *, {LEAD} AS lead_seq FROM se) e LEFT JOIN (SELECT {M}, seq AS lead_seq, arg_max(arg, fix_id) AS n FROM fx WHERE kind = 'setNoteType' GROUP BY {M}, seq) t USING ({M}, lead_seq)")
+def fix_type(b):
+    return overlay.apply_types(b.se, b.fx).select(*L.MEASURE, "seq", "duration", "type")
 
 
 @query("fix_delete", f"SELECT {M}, seq, kind FROM se e WHERE NOT (kind = 'note' AND EXISTS (SELECT 1 FROM fx f WHERE f.kind = 'removeNote' AND f.score_id = e.score_id AND f.part_no = e.part_no AND f.measure_no = e.measure_no AND f.seq = e.seq))")
@@ -45,19 +56,35 @@ def insert_measure(b):
     return overlay.shifted_measures(b.me, b.fx.filter("kind = 'insertEmptyMeasureBefore'")).select(*L.MEASURE, "new_no")
 
 
-@query("fix_span", f"SELECT {M}, seq, CASE WHEN seq = min(seq) OVER (PARTITION BY {M}) THEN 'begin' WHEN seq = max(seq) OVER (PARTITION BY {M}) THEN 'end' ELSE 'continue' END AS beam_value FROM (SELECT e.* FROM se e JOIN (SELECT {M}, min(seq) AS lo FROM fx WHERE kind = 'setNotePitch' GROUP BY {M}) s USING ({M}) WHERE e.kind = 'note' AND e.seq BETWEEN lo AND lo + 2)")
+SPAN = "CASE WHEN count(place) OVER w < 2 THEN NULL WHEN place = min(place) OVER w THEN 1 WHEN place = max(place) OVER w THEN 3 WHEN place IS NOT NULL THEN 2 END"
+
+
+@query("fix_span", f"SELECT {M}, seq, {SPAN} AS span FROM (SELECT e.*, CASE WHEN kind = 'note' AND seq BETWEEN lo AND lo + 2 THEN seq END AS place FROM se e LEFT JOIN (SELECT {M}, min(seq) AS lo FROM fx WHERE kind = 'applyBeam' GROUP BY {M}) s USING ({M})) WINDOW w AS (PARTITION BY {M})")
 def fix_span(b):
-    return overlay.span_beams(b.se, b.fx)
+    return overlay.beam_spans(b.se, b.fx).select(*L.MEASURE, "seq", "span")
 
 
-@query("fix_insert", f"SELECT {M}, CAST(row_number() OVER (PARTITION BY {M} ORDER BY place) AS BIGINT) AS seq, is_rest, voice FROM (SELECT {M}, CAST(seq AS DOUBLE) AS place, is_rest, voice FROM se UNION ALL SELECT {M}, seq + 0.5, 1, voice FROM se e WHERE kind = 'note' AND EXISTS (SELECT 1 FROM fx f WHERE f.kind = 'setNoteType' AND f.score_id = e.score_id AND f.part_no = e.part_no AND f.measure_no = e.measure_no AND f.seq = e.seq))")
+@query("fix_insert", f"SELECT {M}, CAST(row_number() OVER (PARTITION BY {M} ORDER BY place) AS BIGINT) AS seq, is_rest, voice FROM (SELECT {M}, CAST(seq AS DOUBLE) AS place, is_rest, voice FROM se UNION ALL SELECT {M}, seq + 0.5, 1, voice FROM se e WHERE kind = 'note' AND EXISTS (SELECT 1 FROM fx f WHERE f.kind = 'insertRest' AND f.score_id = e.score_id AND f.part_no = e.part_no AND f.measure_no = e.measure_no AND f.seq = e.seq))")
 def fix_insert(b):
     return overlay.apply_inserts(b.se, b.fx).select(*L.MEASURE, "seq", "is_rest", "voice")
 
 
-@query("fix_apply")
+SHIFT = "measure_no + (SELECT count(*) FROM i WHERE i.score_id = x.score_id AND i.place <= x.measure_no) AS measure_no"
+APPLIED = f"""WITH l AS (SELECT fix_id, kind, {M}, seq, arg FROM {MERGED}), i AS (SELECT DISTINCT score_id, measure_no AS place FROM l WHERE kind = 'insertEmptyMeasureBefore'),
+e AS (SELECT x.* REPLACE ({SHIFT}) FROM se x), f AS (SELECT x.* REPLACE ({SHIFT}) FROM l x),
+t AS (SELECT 'note' AS kind, * FROM ({TARGETS} FROM f GROUP BY {M}, seq)),
+y AS (SELECT {M}, seq AS lead_seq, arg_max(arg, fix_id) AS n FROM f WHERE kind = 'setNoteType' GROUP BY {M}, seq),
+a AS (SELECT {M}, e.seq, e.kind, is_rest, {SET_COLUMNS}, {TYPE_COLUMNS}, rest FROM (SELECT *, {LEAD} AS lead_seq FROM e) e LEFT JOIN t USING ({M}, seq, kind) LEFT JOIN y USING ({M}, lead_seq) WHERE NOT coalesce(gone, false)),
+b AS (SELECT {M}, seq AS was, CAST(seq AS DOUBLE) AS at_place, kind, is_rest, voice, staff, midi, play_order, beam, duration, type FROM a
+      UNION ALL SELECT {M}, NULL, seq + 0.5, kind, 1, voice, staff, midi, play_order, 0, 1, '16th' FROM a WHERE rest AND kind = 'note'),
+c AS (SELECT b.*, row_number() OVER (PARTITION BY {M} ORDER BY at_place) AS seq, CASE WHEN kind = 'note' AND was BETWEEN lo AND lo + 2 THEN was END AS place FROM b LEFT JOIN (SELECT {M}, min(seq) AS lo FROM f WHERE kind = 'applyBeam' GROUP BY {M}) s USING ({M}))
+SELECT {M}, seq, kind, is_rest, voice, staff, midi, play_order, coalesce({SPAN}, beam) AS beam, duration, type FROM c WINDOW w AS (PARTITION BY {M})"""
+
+
+@query("fix_apply", APPLIED)
 def fix_apply(b):
-    return overlay.apply_log(b.se, b.fx).select(*L.MEASURE, "seq", "kind", "voice", "midi", "is_rest", "duration")
+    columns = ("kind", "is_rest", "voice", "staff", "midi", "play_order", "beam", "duration", "type")
+    return overlay.apply_log(b.se, b.fx).select(*L.MEASURE, "seq", *columns)
 
 
 @query("fix_stats", f"SELECT f.kind, count(*) FILTER (e.seq IS NOT NULL) AS applied, count(*) FILTER (e.seq IS NULL) AS skipped, count(DISTINCT CASE WHEN e.seq IS NOT NULL THEN concat_ws('|', score_id, part_no, measure_no) END) AS measures FROM fx f LEFT JOIN (SELECT {M}, seq FROM se WHERE kind = 'note') e USING ({M}, seq) GROUP BY f.kind")
@@ -76,7 +103,7 @@ def copy_measures(b):
     return kept.unionByName(rows.filter((F.col("part_no") == 1) & between).withColumn("part_no", F.lit(2).cast("long")))
 
 
-ENDPOINT = f"(SELECT f.fix_id, f.score_id, f.part_no, f.measure_no, coalesce(min(CASE WHEN e.midi = 36 + f.arg % 48 THEN e.seq END), min(CASE WHEN e.seq = f.seq THEN e.seq END)) AS end_seq FROM fx f JOIN (SELECT * FROM se WHERE kind = 'note') e USING ({M}) WHERE f.kind = 'setNotePitch' GROUP BY ALL)"
+ENDPOINT = f"(SELECT f.fix_id, f.score_id, f.part_no, f.measure_no, coalesce(min(CASE WHEN e.midi = f.arg THEN e.seq END), min(CASE WHEN e.seq = f.seq THEN e.seq END)) AS end_seq FROM fx f JOIN (SELECT * FROM se WHERE kind = 'note') e USING ({M}) WHERE f.kind = 'setNotePitch' GROUP BY ALL)"
 
 
 def endpoints(b, shift=0):
@@ -84,7 +111,7 @@ def endpoints(b, shift=0):
     notes = b.se.filter("kind = 'note'").select(*L.MEASURE, F.col("seq").alias("e"), "midi")
     fixes = b.fx.filter("kind = 'setNotePitch'").withColumn("measure_no", F.col("measure_no") + shift)
     joined = fixes.join(notes, list(L.MEASURE))
-    by_pitch = F.min(F.when(F.col("midi") == 36 + F.col("arg") % 48, F.col("e")))
+    by_pitch = F.min(F.when(F.col("midi") == F.col("arg"), F.col("e")))
     return joined.groupBy("fix_id", *L.MEASURE).agg(F.coalesce(by_pitch, F.min(F.when(F.col("e") == F.col("seq"), F.col("e")))).alias("end_seq"))
 
 
@@ -93,7 +120,11 @@ def tie_endpoint(b):
     return endpoints(b)
 
 
-@query("tie_add")
+def ends(shift: int, kind: str) -> str:
+    return f"SELECT *, '{kind}' AS type FROM {ENDPOINT.replace('FROM fx f', f'FROM (SELECT * REPLACE (measure_no + {shift} AS measure_no) FROM fx) f')} WHERE end_seq IS NOT NULL"
+
+
+@query("tie_add", f"SELECT * FROM ({ends(0, 'start')} UNION ALL {ends(1, 'stop')}) QUALIFY count(*) OVER (PARTITION BY fix_id) = 2")
 def tie_add(b):
     """A tie into the next measure: start here and stop there, where both ends are found."""
     start = endpoints(b).filter("end_seq is not null").withColumn("type", F.lit("start"))
