@@ -66,13 +66,15 @@ def window_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
         at = placed.withColumn("x", F.explode(each)).select("doc_id", "_th", "words", "start", "x.at_span", "x.key")
     at = at.filter(F.col("start") + F.col("at_span") <= F.size("words"))
     text_window = ascii_lower(F.array_join(F.expr("slice(words, start + 1, at_span)"), " "))
+    # Equality, but not as a key of the join: that would spell out the window at every position, not only where the hash is met.
+    equal = F.startswith(text_window, F.col("win")) & (F.octet_length(text_window) <= F.octet_length("win"))
     if sum(r["bytes"] for r in about) <= MAX_BROADCAST_BYTES:
-        found = at.select("doc_id", "_th", "words", "start", "at_span", "key").join(F.broadcast(keys), "key").filter(text_window == F.col("win"))
+        found = at.select("doc_id", "_th", "words", "start", "at_span", "key").join(F.broadcast(keys), "key").filter(equal)
     else:
         candidates = at.select("doc_id", "_th", "start", "at_span", "key").join(keys, "key")
         keyed = words.withColumnsRenamed({"doc_id": "_d", "_th": "_t"}).dropDuplicates(["_d", "_t"])
         same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_th").eqNullSafe(F.col("_t"))
-        found = candidates.join(keyed, same).filter(text_window == F.col("win"))
+        found = candidates.join(keyed, same).filter(equal)
     return found.select("doc_id", "_th", "start", "span", "win")
 
 
