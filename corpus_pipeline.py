@@ -2,6 +2,11 @@
 
 The stages after line dedup see the lines that it left. Near duplicates are judged before benchmark hits, so one document of
 a group is enough to scan; the last stage turns what is left into token ids.
+
+Defined cases: null and empty texts and texts under ten words go with the quality rules; equal rows are copies of one document; a null
+source is a host; columns beside the documents' own are carried to the last stage, whatever their names; without documents every
+stage gives no rows, and without benchmark items none goes for them. Tables between the stages are deleted once the next is written, but for
+the one that the result reads.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stavelake.llm import bpe, decontamination, line_dedup, near_dedup, quality_rules
-from stavelake.llm.common import table, written
+from stavelake.llm.common import Scratch, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +50,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
-    return docs
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-2]:
+            docs = scratch.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(STAGES[-2][1](spark, docs, sf_dir), STAGES[-2][0].replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
