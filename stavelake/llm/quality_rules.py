@@ -6,8 +6,8 @@ removed; a document that this depletes is rejected. The base rules reject very s
 themselves.
 
 The limit is ``max(min_texts, share * texts of the host)``; exact copies of a document count once, so copies do not
-turn their own lines into boilerplate. Counting combines before the shuffle, and the few lines above a limit are
-joined back with a salted key, so a line in a third of all documents is spread over many tasks.
+turn their own lines into boilerplate. Texts are made distinct as narrow rows of line hashes, counting combines before the
+shuffle, and the few lines above a limit are joined back with a salted key, so a line in a third of all documents is spread over many tasks.
 
 Defined cases: a null text has no words and fails; a null host is a host; empty lines are never counted or
 removed; repeated rows get equal results; an empty table gives no rows; other columns are kept by the filter and
@@ -84,8 +84,9 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(profile: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
     """(host, line): the lines above their host's limit."""
+    distinct = profile.groupBy("host", "_th").agg(F.first("line_hash").alias("line_hash"))  # equal texts have equal lines
     texts = profile.select("host", "_th").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    holds = profile.select("host", "_th", F.explode("line_hash").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_texts)
+    holds = distinct.select("host", F.explode(F.array_distinct("line_hash")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_texts)
     same = holds["host"].eqNullSafe(texts["host"])
     return holds.join(texts, same).filter(F.col("n") > F.greatest(F.lit(min_texts), share * F.col("texts"))).select(holds["host"], "line")
 
