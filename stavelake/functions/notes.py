@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 STEPS = "CDEFGAB"
 SEMITONES = (0, 2, 4, 5, 7, 9, 11)
-TYPE_UNITS = (("whole", 16), ("half", 8), ("quarter", 4), ("eighth", 2), ("16th", 1))
+TYPE_UNITS = (("whole", 16), ("half", 8), ("quarter", 4), ("eighth", 2), ("16th", 1), ("32nd", 0.5), ("64th", 0.25))
 DOTS = (1.0, 1.5, 1.75)
 
 
@@ -50,6 +50,31 @@ def undot(duration: Column) -> Column:
     return F.when(F.array_contains(bases, duration.cast("double")), None).otherwise(F.get(hit, F.lit(0)))
 
 
+def undot_in_measure(duration: Column, measure: Column) -> Column:
+    """As ``undot`` in whole divisions, with the measure's length as the first base; what is longer than the measure becomes the measure."""
+    whole = [F.lit(int(u)) for _, u in TYPE_UNITS if u >= 1]
+    bases = F.array(measure.cast("long"), *[u.cast("long") for u in whole])
+    hit = F.filter(bases, lambda u: (duration * 2 == u * 3) | (duration * 4 == u * 7))
+    return F.when((duration > 0) & ~F.array_contains(bases, duration), F.coalesce(F.get(hit, F.lit(0)), F.when(duration > measure, measure)))
+
+
+def type_of(duration: Column, dots: Column, divisions: int = 4) -> Column:
+    """Name of a written length with its dots; null where none fits within 0.02 of a quarter."""
+    factor = F.when(dots == 0, 1.0).when(dots == 1, 1.5).when(dots == 2, 1.75).otherwise(1.875)
+    quarters = duration / divisions / factor
+    out = F.lit(None).cast("string")
+    for kind, units in reversed(TYPE_UNITS):
+        out = F.when(F.abs(quarters - units / 4) < 0.02, kind).otherwise(out)
+    return F.when(duration > 0, out)
+
+
+def middle_line(clef: Column, line: Column) -> tuple[Column, Column]:
+    """(step, octave) of the middle of a staff, where its rests are shown."""
+    f, c, high = clef == "F", clef == "C", line == 4
+    step = F.when(f, "D").when(c & high, "A").when(c, "C").otherwise("B")
+    return step, F.when(f | (c & high), 3).otherwise(4)
+
+
 def voice_norm(voice: Column) -> Column:
     v = F.trim(voice)
     return F.when(F.lower(v).isin("*", "all", "any"), "*").otherwise(F.coalesce(v.try_cast("int").cast("string"), v))
@@ -71,3 +96,12 @@ def staff_label(part_no: Column, parts: Column, name: Column) -> Column:
         .when(has("BASS"), "B")
         .otherwise(F.concat(F.lit("P"), part_no.cast("string")))
     )
+
+
+def staff_label_by_place(part_no: Column, parts: Column, name: Column) -> Column:
+    """As ``staff_label``, but the place among six parts decides before the name."""
+    six = F.element_at(F.array(*map(F.lit, ("S", "A", "T", "B", "PR", "PL"))), F.least(part_no, F.lit(6)).cast("int"))
+    out = F.concat(F.lit("P"), part_no.cast("string"))
+    for token, label in reversed((("SOPRANO", "S"), ("ALTO", "A"), ("TENOR", "T"), ("BASS", "B"), ("RIGHT", "PR"), ("LEFT", "PL"), ("PIANO", "P"))):
+        out = F.when(F.contains(F.upper(name), F.lit(token)), label).otherwise(out)
+    return F.when((parts == 6) & part_no.between(1, 6), six).otherwise(out)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.operators.timeline import MEASURE, leader, measure_length
+from stavelake.functions import notes as N
+from stavelake.operators.timeline import DIVISIONS, MEASURE, leader, measure_length
 
 
 def gathered(rows: DataFrame, keys: tuple[str, ...], *columns: str) -> DataFrame:
@@ -27,15 +28,21 @@ def x_clusters(notes: DataFrame, tolerance: int = 12) -> DataFrame:
 
 
 def rest_trim(elements: DataFrame) -> DataFrame:
-    """(measure, voice, seq, duration): rests of overfull voices shrink to a power of two while the excess allows it."""
+    """(measure, voice, seq, duration) of overfull voices: from the first on, rests shrink to the undotted length of their type while the excess allows it.
+
+    A whole rest has the undotted length that its duration suggests, at most the measure.
+    """
     rows = elements.filter(leader()).withColumn("cap", measure_length(F.col("beats")))
-    per = rows.groupBy(*MEASURE, "voice", "cap").agg(F.array_sort(F.collect_list(F.struct("seq", "duration", "is_rest"))).alias("g"), F.sum("duration").alias("total")).filter("total > cap")
+    written = F.lit(None).cast("long")
+    for kind, units in N.TYPE_UNITS[1:]:
+        written = F.when(F.col("type") == kind, max(1, int(units))).otherwise(written)
+    target = F.when(F.coalesce(F.col("type"), F.lit("")).isin("whole", ""), N.undot_in_measure(F.col("duration"), F.col("cap"))).otherwise(written)
+    cut = F.when((F.col("is_rest") == 1) & (target < F.col("duration")), F.col("duration") - target).otherwise(0)
+    per = rows.withColumn("cut", cut).groupBy(*MEASURE, "voice", "cap").agg(F.array_sort(F.collect_list(F.struct("seq", "duration", "cut"))).alias("g"), F.sum("duration").alias("total")).filter("total > cap")
     folded = per.selectExpr(
         *MEASURE, "voice",
         """aggregate(g, named_struct('left', total - cap, 'out', cast(array() as array<struct<seq:bigint,duration:bigint>>)), (acc, n) ->
-             named_struct('left', acc.left - if(n.is_rest = 1 and n.duration - cast(pow(2, floor(log2(n.duration))) as bigint) <= acc.left, n.duration - cast(pow(2, floor(log2(n.duration))) as bigint), 0),
-                          'out', concat(acc.out, array(named_struct('seq', n.seq, 'duration',
-                             n.duration - if(n.is_rest = 1 and n.duration - cast(pow(2, floor(log2(n.duration))) as bigint) <= acc.left, n.duration - cast(pow(2, floor(log2(n.duration))) as bigint), 0)))))).out AS c""",
+             named_struct('left', acc.left - if(n.cut <= acc.left, n.cut, 0), 'out', concat(acc.out, array(named_struct('seq', n.seq, 'duration', n.duration - if(n.cut <= acc.left, n.cut, 0)))))).out AS c""",
     )
     return folded.select(*MEASURE, "voice", F.inline("c"))
 
@@ -52,18 +59,30 @@ def capped(elements: DataFrame) -> DataFrame:
     return folded.select(*MEASURE, F.inline("c"))
 
 
-def coalesced_voices(layers: DataFrame, beats: DataFrame) -> DataFrame:
-    """(measure, staff, voice, target): short voices join the first one while the measure has room, in order of onset and voice."""
+def coalesced_voices(layers: DataFrame, beats: DataFrame, divisions: int = DIVISIONS) -> DataFrame:
+    """(measure, staff, voice, target, gap): voices that the first one of their staff takes in, on staves of three voices or more.
+
+    The first voice must be short of its measure and another fill it to 66 %; that one stays. Short voices are taken by onset and voice while there is
+    room, if they start with the first voice, in its second half or at its end. ``gap`` is the rest that must come before the earliest of them.
+    """
+    tol = max(3, divisions // 4)
     rows = layers.join(beats, list(MEASURE)).withColumn("cap", measure_length(F.col("beats")))
-    per = gathered(rows, (*MEASURE, "staff", "cap"), "first_onset", "voice", "total")
-    folded = per.selectExpr(
-        *MEASURE, "staff",
-        """aggregate(g, named_struct('main', -1L, 'used', 0L, 'out', cast(array() as array<struct<voice:bigint,target:bigint>>)), (acc, v) ->
-             if(acc.main = -1, named_struct('main', v.voice, 'used', v.total, 'out', array(named_struct('voice', v.voice, 'target', v.voice))),
-               if(acc.used + v.total <= cap, named_struct('main', acc.main, 'used', acc.used + v.total, 'out', concat(acc.out, array(named_struct('voice', v.voice, 'target', acc.main)))),
-                 named_struct('main', acc.main, 'used', acc.used, 'out', concat(acc.out, array(named_struct('voice', v.voice, 'target', v.voice))))))).out AS c""",
-    )
-    return folded.select(*MEASURE, "staff", F.inline("c"))
+    per = gathered(rows, (*MEASURE, "staff", "cap"), "voice", "first_onset", "total").selectExpr(*MEASURE, "staff", "cap", "g[0] AS p", "slice(g, 2, size(g)) AS others", "cast(floor(cap * 0.66D + 0.5D) AS BIGINT) AS near")
+    per = per.filter("size(others) >= 2 and p.total > 0 and p.total < cap and exists(others, v -> v.total >= greatest(1, near))").selectExpr(
+        "*",
+        f"""array_sort(transform(filter(others, v -> v.total > 0 and v.total < greatest(1, near) and p.total + v.total <= cap + {tol} and
+              (v.first_onset <= p.first_onset + {tol} or v.first_onset >= p.first_onset + p.total div 2 or v.first_onset >= p.first_onset + p.total - {tol})),
+              v -> named_struct('at', v.first_onset, 'voice', v.voice, 'total', v.total))) AS c""",
+    )
+    taken = per.selectExpr(
+        "*",
+        f"""aggregate(c, named_struct('used', 0L, 'out', cast(array() as array<struct<at:bigint,voice:bigint>>)), (acc, v) ->
+              if(v.total <= cap - p.total - acc.used + {tol}, named_struct('used', acc.used + v.total, 'out', concat(acc.out, array(named_struct('at', v.at, 'voice', v.voice)))), acc)) AS t""",
+    )
+    late = "t.out[0].at - p.first_onset - p.total"
+    gap = f"if(t.out[0].at <= p.first_onset + {tol}, greatest(0L, cap - p.total - t.used), if({late} > {tol}, {late}, 0L))"
+    out = taken.filter("size(t.out) > 0").selectExpr(*MEASURE, "staff", "p.voice AS target", f"{gap} AS gap", "explode(t.out) AS v")
+    return out.select(*MEASURE, "staff", F.col("v.voice").alias("voice"), "target", "gap")
 
 
 def slur_numbers(notes: DataFrame) -> DataFrame:

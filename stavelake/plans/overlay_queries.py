@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stavelake.operators import folds, overlay
 from stavelake.operators import timeline as L
 from stavelake.plans.registry import query
-from stavelake.plans.timeline_queries import DELTA, M
+from stavelake.plans.timeline_queries import DELTA, ONSET, M
 from stavelake.streaming import jobs
 
 KEY = "concat_ws('|', kind, CAST(score_id AS VARCHAR), CAST(part_no AS VARCHAR), CAST(measure_no AS VARCHAR), CAST(seq AS VARCHAR), CAST(arg AS VARCHAR))"
@@ -181,7 +181,20 @@ def x_clusters(b):
     return folds.x_clusters(b.se.filter("kind = 'note'"))
 
 
-@query("rest_trim")
+UNDOT_CAP = "CASE WHEN duration IN (cap, 16, 8, 4, 2, 1) THEN NULL WHEN 2 * duration = 3 * cap OR 4 * duration = 7 * cap THEN cap WHEN duration = 24 OR duration = 28 THEN 16 WHEN duration = 12 OR duration = 14 THEN 8 WHEN duration = 6 OR duration = 7 THEN 4 WHEN duration = 3 THEN 2 WHEN duration > cap THEN cap END"
+
+
+@query(
+    "rest_trim",
+    f"""WITH RECURSIVE a AS (SELECT *, CAST(greatest(1, beats * 4) AS BIGINT) AS cap FROM se WHERE kind = 'note' AND is_chord = 0 AND is_grace = 0),
+t AS (SELECT *, CASE WHEN type = 'whole' THEN {UNDOT_CAP} WHEN type = 'half' THEN 8 WHEN type = 'quarter' THEN 4 WHEN type = 'eighth' THEN 2 ELSE 1 END AS target FROM a),
+s AS MATERIALIZED (SELECT {M}, voice, seq, duration, CAST(CASE WHEN is_rest = 1 AND target < duration THEN duration - target ELSE 0 END AS BIGINT) AS cut, row_number() OVER (PARTITION BY {M}, voice ORDER BY seq) AS n,
+  CAST(sum(duration) OVER (PARTITION BY {M}, voice) AS BIGINT) - cap AS excess FROM t),
+f AS (SELECT {M}, voice, seq, n, duration - CASE WHEN cut <= excess THEN cut ELSE 0 END AS duration, excess - CASE WHEN cut <= excess THEN cut ELSE 0 END AS spare FROM s WHERE n = 1 AND excess > 0
+  UNION ALL SELECT s.score_id, s.part_no, s.measure_no, s.voice, s.seq, s.n, s.duration - CASE WHEN s.cut <= f.spare THEN s.cut ELSE 0 END, f.spare - CASE WHEN s.cut <= f.spare THEN s.cut ELSE 0 END
+  FROM f JOIN s ON s.score_id = f.score_id AND s.part_no = f.part_no AND s.measure_no = f.measure_no AND s.voice = f.voice AND s.n = f.n + 1)
+SELECT {M}, voice, seq, duration FROM f""",
+)
 def rest_trim(b):
     return folds.rest_trim(b.se)
 
@@ -199,9 +212,25 @@ def cap_full(b):
     return folds.capped(b.se)
 
 
-@query("voice_coalesce")
+# Voices of their own for this query: the view has two, the rule asks for three.
+@query(
+    "voice_coalesce",
+    f"""WITH RECURSIVE v AS (SELECT {M}, staff, 1 + x % 4 AS voice, CAST(min(onset) AS BIGINT) AS start, CAST(sum(duration) AS BIGINT) AS total, CAST(greatest(1, any_value(beats) * 4) AS BIGINT) AS cap
+  FROM {ONSET} WHERE kind = 'note' AND is_chord = 0 AND is_grace = 0 GROUP BY {M}, staff, 1 + x % 4),
+r AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY {M}, staff) AS n FROM v WINDOW w AS (PARTITION BY {M}, staff ORDER BY voice)),
+c AS (SELECT {M}, staff, r.voice, r.start, r.total, p.voice AS pv, p.start AS ps, p.total AS pt, p.cap, r.total >= greatest(1, floor(p.cap * 0.66 + 0.5)) AS par
+  FROM r JOIN (SELECT * FROM r WHERE r = 1 AND n >= 3 AND total > 0 AND total < cap) p USING ({M}, staff) WHERE r.r > 1),
+k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {M}, staff ORDER BY start, voice) AS k FROM (SELECT *, bool_or(par) OVER (PARTITION BY {M}, staff) AS any_full FROM c)
+  WHERE any_full AND NOT par AND total > 0 AND pt + total <= cap + 3 AND (start <= ps + 3 OR start >= ps + pt // 2 OR start >= ps + pt - 3)),
+f AS (SELECT {M}, staff, k, total <= cap - pt + 3 AS taken, CASE WHEN total <= cap - pt + 3 THEN total ELSE 0 END AS used FROM k WHERE k = 1
+  UNION ALL SELECT k.score_id, k.part_no, k.measure_no, k.staff, k.k, k.total <= k.cap - k.pt - f.used + 3, f.used + CASE WHEN k.total <= k.cap - k.pt - f.used + 3 THEN k.total ELSE 0 END
+  FROM f JOIN k ON k.score_id = f.score_id AND k.part_no = f.part_no AND k.measure_no = f.measure_no AND k.staff = f.staff AND k.k = f.k + 1),
+t AS (SELECT k.*, sum(total) OVER w AS used, min(start) OVER w AS first_at FROM k JOIN f USING ({M}, staff, k) WHERE taken WINDOW w AS (PARTITION BY {M}, staff))
+SELECT {M}, staff, voice, pv AS target, CAST(CASE WHEN first_at <= ps + 3 THEN greatest(0, cap - pt - used) WHEN first_at - ps - pt > 3 THEN first_at - ps - pt ELSE 0 END AS BIGINT) AS gap FROM t""",
+)
 def voice_coalesce(b):
-    return folds.coalesced_voices(L.voice_layers(L.cursor_onset(b.se)), b.me.select(*L.MEASURE, "beats"))
+    four = b.se.withColumn("voice", 1 + F.col("x") % 4)
+    return folds.coalesced_voices(L.voice_layers(L.cursor_onset(four)), b.me.select(*L.MEASURE, "beats"))
 
 
 @query("slur_normalize")
