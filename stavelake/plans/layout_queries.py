@@ -59,7 +59,15 @@ def cluster_lines_gap(b):
     return lines.groupBy("doc_id", "page", "line_no").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max(F.col("x0") + 6).alias("x1"), F.round(F.avg("size_pt"), 6).alias("mean_size"))
 
 
-@query("cluster_lines")
+# One glyph a round: a line's running mean is known only once the glyph before has been placed.
+@query(
+    "cluster_lines",
+    """WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, page, x0, y0, size_pt, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, glyph_no, size_pt) AS k FROM gl WHERE size_pt BETWEEN 7 AND 17 AND trim(ch) <> ''),
+f AS (SELECT doc_id, page, k, CAST(0 AS INTEGER) AS line_no, CAST(1 AS BIGINT) AS n, CAST(y0 AS DOUBLE) AS total, x0, y0, size_pt FROM s WHERE k = 1
+  UNION ALL SELECT s.doc_id, s.page, s.k, CASE WHEN abs(s.y0 - f.total / f.n) <= 4 THEN f.line_no ELSE f.line_no + 1 END, CASE WHEN abs(s.y0 - f.total / f.n) <= 4 THEN f.n + 1 ELSE 1 END,
+    CASE WHEN abs(s.y0 - f.total / f.n) <= 4 THEN f.total + s.y0 ELSE s.y0 END, s.x0, s.y0, s.size_pt FROM f JOIN s ON s.doc_id = f.doc_id AND s.page = f.page AND s.k = f.k + 1)
+SELECT doc_id, page, line_no, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x0 + 6) AS x1, round(max(y0 + size_pt), 4) AS y1, round(sum(size_pt) / count(*), 6) AS mean_size FROM f GROUP BY doc_id, page, line_no""",
+)
 def cluster_lines(b):
     return Y.line_clusters(b.gl.filter(F.col("size_pt").between(7, 17) & (F.trim("ch") != "")))
 
@@ -117,7 +125,16 @@ def match_best(b):
     return Y.best_matches(page_pairs(b.ti)).select("doc_id", "line_no", "bline_no", F.round("score", 6).alias("score"))
 
 
-@query("match_greedy")
+@query(
+    "match_greedy",
+    f"""WITH RECURSIVE {SCORE},
+s AS MATERIALIZED (SELECT doc_id, page, line_no, bline_no, score, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no, score DESC, bline_no) AS k FROM sc WHERE score >= 0.25),
+f AS (SELECT doc_id, page, line_no, bline_no, score, k, true AS taken, line_no AS at, [bline_no] AS used FROM s WHERE k = 1
+  UNION ALL SELECT s.doc_id, s.page, s.line_no, s.bline_no, s.score, s.k, s.line_no <> f.at AND NOT list_contains(f.used, s.bline_no),
+    CASE WHEN list_contains(f.used, s.bline_no) THEN f.at ELSE s.line_no END, CASE WHEN s.line_no <> f.at AND NOT list_contains(f.used, s.bline_no) THEN list_append(f.used, s.bline_no) ELSE f.used END
+  FROM f JOIN s ON s.doc_id = f.doc_id AND s.page = f.page AND s.k = f.k + 1)
+SELECT doc_id, page, line_no, bline_no, score FROM f WHERE taken""",
+)
 def match_greedy(b):
     return Y.greedy_matches(page_pairs(b.ti))
 

@@ -254,7 +254,10 @@ def lint_filter(b):
     return rows.select(*L.MEASURE, "code", rows.agg(F.count("*")).scalar().alias("total"))
 
 
-@query("lint_report_json")
+ROW_JSON = """concat('{"part_no":', part_no, ',"measure_no":', measure_no, ',"code":"', code, '"', coalesce(concat(',"detail":', nullif(to_json(detail), 'null')), ''), CASE WHEN note_seq IS NULL THEN '' ELSE concat(',"note_seq":', note_seq) END, '}')"""
+
+
+@query("lint_report_json", f"""WITH {ALL_ISSUES} SELECT score_id, concat('{{"issues":[', string_agg({ROW_JSON}, ',' ORDER BY part_no, measure_no, code, detail NULLS FIRST, note_seq NULLS FIRST), '],"total":', count(*), '}}') AS report FROM iss GROUP BY score_id""")
 def lint_report_json(b):
     issues = lint.lint_issues(b.se).withColumn("row", F.struct("part_no", "measure_no", "code", "detail", "note_seq"))
     return issues.groupBy("score_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list("row")).alias("issues"), F.count("*").alias("total"))).alias("report"))
