@@ -236,10 +236,27 @@ def write_fixes(fixes: DataFrame, folder: str, saved_at: str) -> None:
     logs.write.mode("overwrite").option("maxRecordsPerFile", 1).json(folder)
 
 
+SYMBOL = (
+    "measure int, staff int, pitch string, duration double, duration_type string, rest boolean, voice int, x double, y double, lyric string, confidence_pitch double, "
+    "confidence_duration double, kind string, clef_sign string, clef_line int, time_beats int, time_beat_type int, page int, system int"
+)
+
+
 def scan_symbols(spark: SparkSession, folder: str) -> DataFrame:
-    node = "struct<measure:int,staff:int,pitch:string,duration:double,duration_type:string,rest:boolean,voice:int,x:double,y:double,kind:string,page:int,system:int>"
-    graphs = spark.read.schema(f"metadata map<string,string>, nodes array<{node}>").option("multiLine", True).json(folder)
-    return graphs.select(F.col("_metadata.file_path").alias("path"), F.inline("nodes"))
+    """Nodes of symbol graphs with the path and the metadata of their graph."""
+    node = f"array<struct<{', '.join(x.replace(' ', ':') for x in SYMBOL.split(', '))}>>"
+    graphs = spark.read.schema(f"path string, metadata map<string,string>, nodes {node}").option("multiLine", True).json(folder)
+    # A graph of write_symbols names the file its nodes came from.
+    return graphs.select(F.coalesce("path", F.col("_metadata.file_path")).alias("path"), "metadata", F.inline("nodes"))
+
+
+def write_symbols(nodes: DataFrame, folder: str) -> None:
+    """One symbol graph per path, its nodes by measure, staff, x and y, then by the rest of their fields; scan_symbols reads them back."""
+    names = [x.split()[0] for x in SYMBOL.split(", ")]
+    first = ["measure", "staff", "x", "y"]
+    row = F.struct(*first, *[c for c in names if c not in first])
+    graphs = nodes.groupBy("path").agg(F.any_value("metadata").alias("metadata"), F.array_sort(F.collect_list(row)).alias("nodes"))
+    graphs.write.mode("overwrite").option("maxRecordsPerFile", 1).json(folder)
 
 
 def write_elements(elements: DataFrame, folder: str, buckets: int = 64) -> None:
@@ -367,8 +384,9 @@ def archives_of(elements: DataFrame, measures: DataFrame | None = None) -> DataF
 
 
 def write_report(issues: DataFrame, folder: str) -> None:
-    """Issue reports as JSON lines, one per score."""
-    report = issues.groupBy("score_id").agg(F.collect_list(F.struct(*[c for c in issues.columns if c != "score_id"])).alias("issues"), F.count("*").alias("total"))
+    """Issue reports as JSON lines, one per score; its issues are sorted by their columns."""
+    rows = F.array_sort(F.collect_list(F.struct(*[c for c in issues.columns if c != "score_id"])))
+    report = issues.groupBy("score_id").agg(rows.alias("issues"), F.count("*").alias("total"))
     report.write.mode("overwrite").json(folder)
 
 

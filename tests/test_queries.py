@@ -160,3 +160,33 @@ def test_streams(spark, small, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("lines").filter("total = 40").count() == events.count()
+
+
+def test_expiring_stream_equals_batch(spark, small, tmp_path):
+    events = Bindings(spark, small).je.select("job_id", "event_id", "status", "progress", "ts")
+    middle = events.approxQuantile("event_id", [0.5], 0.0)[0]
+    events.filter("event_id > %d" % middle).coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    query = jobs.latest_progress_expiring(stream, hours=24 * 3650).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{tmp_path}/out/n={n}")).start()
+    query.processAllAvailable()
+    events.filter("event_id <= %d" % middle).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    query.processAllAvailable()
+    query.stop()
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).orderBy("n").collect():
+        got[r["job_id"]] = (r["status"], r["progress"])
+    assert got == {r["job_id"]: (r["status"], r["progress"]) for r in jobs.latest_progress(events).collect()}
+
+
+def test_expiring_stream_forgets(spark, tmp_path):
+    rows = [(1, 1, "queued", 0, "2024-01-01 00:00:00"), (2, 2, "queued", 0, "2024-01-11 00:00:00"), (2, 3, "processing", 5, "2024-01-11 01:00:00")]
+    events = spark.createDataFrame(rows, "job_id long, event_id long, status string, progress long, ts string").selectExpr("job_id", "event_id", "status", "progress", "timestamp(ts) AS ts")
+    events.filter("job_id = 1").coalesce(1).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    query = jobs.latest_progress_expiring(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: df.collect() and None).start()
+    query.processAllAvailable()
+    events.filter("job_id = 2").coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    query.processAllAvailable()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    query.stop()
+    assert held[-1] == 1

@@ -102,6 +102,26 @@ def test_layout_fixes_symbols(spark, tmp_path):
     assert scores.scan_symbols(spark, str(tmp_path / "symbols")).select("measure", "pitch").collect() == [(1, "C4")]
 
 
+def test_symbols_read_back_equal(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    node = {"measure": 1, "staff": 2, "pitch": "C4", "kind": "note", "x": 2.5, "y": 1.0, "lyric": "la", "confidence_pitch": 0.5, "clef_line": 2}
+    graphs = {"a": [node, node | {"x": 1.0}, {"kind": "rest", "measure": 2, "rest": True}], "b": [node]}
+    for name, listed in graphs.items():
+        (tmp_path / "in" / f"{name}.json").write_text(json.dumps({"metadata": {"title": name}, "nodes": listed}))
+    read = lambda folder: sorted(str(r.asDict(True)) for r in scores.scan_symbols(spark, str(tmp_path / folder)).collect())
+    scores.write_symbols(scores.scan_symbols(spark, str(tmp_path / "in")).coalesce(1), str(tmp_path / "out"))
+    assert read("out") == read("in") and len(read("in")) == 4
+    written = [r["nodes"] for r in spark.read.json(str(tmp_path / "out")).collect()]
+    assert sorted([n["x"] for n in nodes] for nodes in written) == [[1.0, 2.5, None], [2.5]]
+
+
+def test_report_is_sorted(spark, tmp_path):
+    issues = spark.createDataFrame([(1, m, c) for m, c in ((3, "x"), (1, "z"), (1, "a"), (2, "y"))], "score_id long, measure_no long, code string")
+    scores.write_report(issues.repartition(4), str(tmp_path / "r"))
+    (row,) = spark.read.json(str(tmp_path / "r")).collect()
+    assert [(x["measure_no"], x["code"]) for x in row["issues"]] == [(1, "a"), (1, "z"), (2, "y"), (3, "x")]
+
+
 def test_fixes_read_back_equal(spark, tmp_path):
     (tmp_path / "fixes").mkdir()
     pitch = {"id": "1", "kind": "setPitch", "partId": "P1", "measureMxl": "3", "noteIndex": 0, "args": {"step": "C", "octave": 5}}
