@@ -83,16 +83,3 @@ def coalesced_voices(layers: DataFrame, beats: DataFrame, divisions: int = DIVIS
     gap = f"if(t.out[0].at <= p.first_onset + {tol}, greatest(0L, cap - p.total - t.used), if({late} > {tol}, {late}, 0L))"
     out = taken.filter("size(t.out) > 0").selectExpr(*MEASURE, "staff", "p.voice AS target", f"{gap} AS gap", "explode(t.out) AS v")
     return out.select(*MEASURE, "staff", F.col("v.voice").alias("voice"), "target", "gap")
-
-
-def slur_numbers(notes: DataFrame) -> DataFrame:
-    """(measure, seq, number): each slur start takes the least number that is free in its measure; a stop frees the oldest."""
-    per = gathered(notes.filter("slur in (0, 1)"), (*MEASURE, "staff"), "seq", "slur")
-    folded = per.selectExpr(
-        *MEASURE, "staff",
-        """aggregate(g, named_struct('open', cast(array() as array<int>), 'out', cast(array() as array<struct<seq:bigint,number:int>>)), (acc, n) ->
-             if(n.slur = 0, named_struct('open', concat(acc.open, array(array_min(array_except(sequence(1, size(acc.open) + 1), acc.open)))),
-                                          'out', concat(acc.out, array(named_struct('seq', n.seq, 'number', array_min(array_except(sequence(1, size(acc.open) + 1), acc.open)))))),
-               if(size(acc.open) = 0, acc, named_struct('open', slice(acc.open, 2, size(acc.open)), 'out', concat(acc.out, array(named_struct('seq', n.seq, 'number', acc.open[0]))))))).out AS c""",
-    )
-    return folded.select(*MEASURE, "staff", F.inline("c"))

@@ -1,6 +1,6 @@
 """The score tables as views over the driver's tables, for Spark and as SQL for the oracle.
 
-se: score elements (orders are measures, line items their elements); me: measures; ti: text items (document lines); gl: glyphs;
+se: score elements (orders are measures, line items their elements); me: measures; sl: slur marks; wd: wedges; ti: text items (document lines); gl: glyphs;
 fx: the correction log; je: job events; doc, conv: documents and conversations.
 """
 
@@ -71,8 +71,21 @@ SELECT event_id, ts, user_id AS job_id, CASE event_type WHEN 'click' THEN 'proce
        WHEN 'signup' THEN 'queued' ELSE 'completed' END AS status, CAST(floor(value) AS BIGINT) AS progress,
   concat('sheet #', CAST(user_id % 9 + 1 AS STRING), ' ', CAST(event_id % 40 AS STRING), '/', CAST(40 AS STRING)) AS line FROM events"""
 
-VIEWS = {"me": MEASURES, "se": ELEMENTS, "lines_v": LINES_DUCK, "ti": TEXT_ITEMS, "gl": GLYPHS, "fx": FIXES, "je": JOBS}
-NEEDS = {"se": ["me"], "ti": ["lines_v"]}
+#: Slur marks of notes: up to three each, with the number that they ask for and their layout attributes.
+SLURS = """
+SELECT score_id, part_no, measure_no, seq, k AS mark_no, staff, CASE (x * 7 + midi * 3 + seq * 5 + k * 11) % 4 WHEN 0 THEN 'start' ELSE 'stop' END AS type,
+  CASE WHEN (x + midi + k) % 7 < 6 THEN 1 + (x + seq * k) % 3 END AS number, (x + midi * k) % 5 AS noise
+FROM (SELECT *, CAST(1 AS BIGINT) AS k FROM se UNION ALL SELECT *, 2 FROM se WHERE midi % 2 = 0 UNION ALL SELECT *, 3 FROM se WHERE midi % 6 = 0) e
+WHERE kind = 'note' AND (x * 7 + midi * 3 + seq * 5 + k * 11) % 4 < 2"""
+
+#: Wedges as directions before an element; place orders them among the measure's elements.
+WEDGES = """
+SELECT score_id, part_no, measure_no, staff, seq, CASE wedge WHEN 1 THEN 'stop' ELSE CASE midi % 2 WHEN 0 THEN 'crescendo' ELSE 'diminuendo' END END AS type,
+  1 + x % 2 AS number, CASE x % 5 WHEN 0 THEN 'above' WHEN 1 THEN 'below' END AS placement, CAST(seq AS DOUBLE) - 0.5 AS place
+FROM se WHERE wedge IN (0, 1) AND (x + midi) % 3 = 0"""
+
+VIEWS = {"me": MEASURES, "se": ELEMENTS, "lines_v": LINES_DUCK, "ti": TEXT_ITEMS, "gl": GLYPHS, "fx": FIXES, "je": JOBS, "sl": SLURS, "wd": WEDGES}
+NEEDS = {"se": ["me"], "sl": ["se"], "wd": ["se"], "ti": ["lines_v"]}
 
 
 def with_bindings(sql: str) -> str:
@@ -121,6 +134,14 @@ class Bindings:
     def se(self) -> DataFrame:
         return self.sql(ELEMENTS, lineitem=self.table("lineitem"), me=self.me)
 
+    @functools.cached_property
+    def sl(self) -> DataFrame:
+        return self.sql(SLURS, se=self.se)
+
+    @functools.cached_property
+    def wd(self) -> DataFrame:
+        return self.sql(WEDGES, se=self.se)
+
     @functools.cached_property
     def ti(self) -> DataFrame:
         return self.sql(TEXT_ITEMS, lines_v=self.sql(LINES_SPARK, documents=self.table("documents")))

@@ -240,21 +240,6 @@ def voice_coalesce(b):
     return folds.coalesced_voices(L.voice_layers(L.cursor_onset(four)), b.me.select(*L.MEASURE, "beats"))
 
 
-# ``open`` holds the numbers in use, the oldest first.
-@query(
-    "slur_normalize",
-    f"""WITH RECURSIVE s AS MATERIALIZED (SELECT {M}, staff, seq, slur, row_number() OVER (PARTITION BY {M}, staff ORDER BY seq) AS n FROM se WHERE kind = 'note' AND slur IN (0, 1)),
-f AS (SELECT {M}, staff, seq, n, CASE WHEN slur = 0 THEN [1] ELSE CAST([] AS INTEGER[]) END AS open, CAST(CASE WHEN slur = 0 THEN 1 END AS INTEGER) AS number FROM s WHERE n = 1
-  UNION ALL SELECT s.score_id, s.part_no, s.measure_no, s.staff, s.seq, s.n,
-    CASE WHEN s.slur = 0 THEN list_append(f.open, CAST(list_min(list_filter(range(1, len(f.open) + 2), lambda k: NOT list_contains(f.open, k))) AS INTEGER)) ELSE f.open[2:] END,
-    CAST(CASE WHEN s.slur = 0 THEN list_min(list_filter(range(1, len(f.open) + 2), lambda k: NOT list_contains(f.open, k))) ELSE f.open[1] END AS INTEGER)
-  FROM f JOIN s ON s.score_id = f.score_id AND s.part_no = f.part_no AND s.measure_no = f.measure_no AND s.staff = f.staff AND s.n = f.n + 1)
-SELECT {M}, staff, seq, number FROM f WHERE number IS NOT NULL""",
-)
-def slur_normalize(b):
-    return folds.slur_numbers(b.se.filter("kind = 'note'"))
-
-
 @query("dynamics_migrate", f"SELECT {M}, seq, 'note' AS kind FROM se WHERE kind = 'note' UNION ALL SELECT {M}, seq, 'direction' FROM se WHERE kind = 'note' AND slur = 3")
 def dynamics_migrate(b):
     """Dynamics on notes become directions of their own before the note."""

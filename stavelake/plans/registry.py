@@ -13,9 +13,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None) -> Callable:
-    """Registers a function of the bound tables. ``oracle`` may use the bound views by name."""
+    """Registers a function of the bound tables under a name of its own. ``oracle`` may use the bound views by name."""
 
     def register(build: Callable[[Bindings], DataFrame]) -> Callable[[Bindings], DataFrame]:
+        if name in QUERIES:
+            raise ValueError(f"a query named {name} exists")
         QUERIES[name] = lambda spark, sf_dir: build(Bindings(spark, sf_dir))
         if oracle:
             ORACLE_SQL[name] = with_bindings(oracle)

@@ -32,8 +32,8 @@ def type_with_dots(b):
     return b.se.filter("kind = 'note'").select(*L.MEASURE, "seq", N.type_of(F.col("duration"), F.col("x") % 4).alias("type_now"))
 
 
-@query("rest_display", f"SELECT {M}, seq, CASE WHEN c = 'F' THEN 'D' ELSE 'B' END AS step, CASE WHEN c = 'F' THEN 3 ELSE 4 END AS octave FROM se JOIN (SELECT {M}, coalesce(last_value(clef IGNORE NULLS) OVER (PARTITION BY score_id, part_no ORDER BY measure_no), 'G') AS c FROM me) USING ({M}) WHERE kind = 'note' AND is_rest = 1")
-def rest_display(b):
+@query("rest_step", f"SELECT {M}, seq, CASE WHEN c = 'F' THEN 'D' ELSE 'B' END AS step, CASE WHEN c = 'F' THEN 3 ELSE 4 END AS octave FROM se JOIN (SELECT {M}, coalesce(last_value(clef IGNORE NULLS) OVER (PARTITION BY score_id, part_no ORDER BY measure_no), 'G') AS c FROM me) USING ({M}) WHERE kind = 'note' AND is_rest = 1")
+def rest_step(b):
     clefs = b.me.select(*L.MEASURE, L.carried("clef", *L.PART, default="G").alias("clef_now"))
     step, octave = N.middle_line(F.col("clef_now"), F.lit(None).cast("int"))
     return b.se.filter("kind = 'note' and is_rest = 1").join(clefs, list(L.MEASURE)).select(*L.MEASURE, "seq", step.alias("step"), octave.alias("octave"))

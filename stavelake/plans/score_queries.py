@@ -309,14 +309,6 @@ def slur_orphans(b):
     return rows.select(*L.MEASURE, "seq", state.alias("state"))
 
 
-@query("wedge_pairs", "SELECT score_id, part_no, measure_no, seq, CASE WHEN wedge = 1 AND coalesce(before, 1) = 1 THEN 'remove' WHEN wedge = 0 AND coalesce(after, 0) = 0 THEN 'close' ELSE 'keep' END AS action FROM (SELECT *, lag(wedge) OVER w AS before, lead(wedge) OVER w AS after FROM se WHERE kind = 'note' AND wedge IN (0, 1) WINDOW w AS (PARTITION BY score_id, part_no, staff ORDER BY measure_no, seq))")
-def wedge_pairs(b):
-    w = Window.partitionBy(*L.PART, "staff").orderBy("measure_no", "seq")
-    rows = notes(b).filter("wedge in (0, 1)").withColumns({"before": F.lag("wedge").over(w), "after": F.lead("wedge").over(w)})
-    action = F.when((F.col("wedge") == 1) & (F.coalesce("before", F.lit(1)) == 1), "remove").when((F.col("wedge") == 0) & (F.coalesce("after", F.lit(0)) == 0), "close").otherwise("keep")
-    return rows.select(*L.MEASURE, "seq", action.alias("action"))
-
-
 @query("chord_dedupe", f"SELECT {M}, seq FROM (SELECT *, row_number() OVER (PARTITION BY {M}, g, midi ORDER BY seq) AS n FROM {GROUPS}) WHERE n = 1 OR is_rest = 1")
 def chord_dedupe(b):
     g = L.chord_groups(L.sounding(b.se))

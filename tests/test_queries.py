@@ -106,20 +106,11 @@ def test_attachable_equals_fold(spark):
     assert {(r["measure_no"], r["seq"]) for r in L.attachable(df).collect()} == want
 
 
-def test_slur_numbers_stay_distinct(spark):
-    df, rows = random_elements(spark, 5)
-    numbers = {(r["measure_no"], r["seq"]): r["number"] for r in folds.slur_numbers(df).collect()}
-    for group in by_measure(rows, "staff").values():
-        open_ = []
-        for r in sorted((r for r in group if r["slur"] in (0, 1)), key=lambda r: r["seq"]):
-            if r["slur"] == 0:
-                n = next(i for i in range(1, 99) if i not in open_)
-                open_.append(n)
-            elif open_:
-                n = open_.pop(0)
-            else:
-                continue
-            assert numbers[r["measure_no"], r["seq"]] == n
+def test_a_query_name_is_registered_once():
+    from stavelake.plans.registry import QUERIES, query
+
+    with pytest.raises(ValueError):
+        query(next(iter(QUERIES)))(lambda b: None)
 
 
 def test_line_clusters_equal_fold(spark):
