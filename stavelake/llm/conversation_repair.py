@@ -228,37 +228,40 @@ def faults(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.written(marked.select("conv_id", *ORDER, symbol.alias("symbol"), "initial", fault.alias("fault")), "faults")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of one conversation, ``CHUNK`` at most: the first row's order columns, the letters of all and their numbers."""
-    schema: pa.Schema | None = None
-    open_rows: dict[str, list] = {}
+def _chunks(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Consecutive rows of one conversation, ``most`` at most: the first row's order columns, the letters of all and their numbers."""
+        schema: pa.Schema | None = None
+        open_rows: dict[str, list] = {}
 
-    def closed() -> pa.RecordBatch:
-        first = [pa.array(open_rows[c][:1], schema.field(c).type) for c in ("conv_id", *ORDER)]
-        letters = [pa.array(["".join(open_rows[c])]) for c in ("symbol", "initial", "fault")]
-        return pa.RecordBatch.from_arrays([*first, *letters, pa.array([open_rows["uid"]], pa.list_(pa.int64()))], names=["conv_id", *ORDER, "symbols", "initials", "faults", "uids"])
+        def closed() -> pa.RecordBatch:
+            first = [pa.array(open_rows[c][:1], schema.field(c).type) for c in ("conv_id", *ORDER)]
+            letters = [pa.array(["".join(open_rows[c])]) for c in ("symbol", "initial", "fault")]
+            return pa.RecordBatch.from_arrays([*first, *letters, pa.array([open_rows["uid"]], pa.list_(pa.int64()))], names=["conv_id", *ORDER, "symbols", "initials", "faults", "uids"])
 
-    for b in batches:
-        schema = b.schema
-        columns = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-        out, at = [], 0
-        conv = columns["conv_id"]
-        while at < b.num_rows:
-            own = open_rows and open_rows["conv_id"][0] == conv[at] and len(open_rows["uid"]) < CHUNK
-            if open_rows and not own:
-                out.append(closed())
-            if not own:
-                open_rows = {c: [] for c in columns}
-            room, to = CHUNK - len(open_rows["uid"]), at
-            while to < b.num_rows and to - at < room and conv[to] == conv[at]:
-                to += 1
-            for c, values in columns.items():
-                open_rows[c] += values[at:to]
-            at = to
-        if out:
-            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-    if open_rows:
-        yield closed()
+        for b in batches:
+            schema = b.schema
+            columns = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+            out, at = [], 0
+            conv = columns["conv_id"]
+            while at < b.num_rows:
+                own = open_rows and open_rows["conv_id"][0] == conv[at] and len(open_rows["uid"]) < most
+                if open_rows and not own:
+                    out.append(closed())
+                if not own:
+                    open_rows = {c: [] for c in columns}
+                room, to = most - len(open_rows["uid"]), at
+                while to < b.num_rows and to - at < room and conv[to] == conv[at]:
+                    to += 1
+                for c, values in columns.items():
+                    open_rows[c] += values[at:to]
+                at = to
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+        if open_rows:
+            yield closed()
+
+    return run
 
 
 def _evaluated(rules: list[str], names: list[str]):
@@ -381,13 +384,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([conv], kind), pa.array([digest.hexdigest()])], names=["conv_id", "repaired_sha256"])
 
 
-def repaired_rows(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def repaired_rows(rows: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Totals of each conversation (conv_id, cost, audit, blank, duplicate, truncated, illegal), and its repaired lines: conv_id, place, at, lines (each ends with a line break)."""
     conv = f"conv_id {dict(rows.dtypes)['conv_id']}"
     order = "turn long, role string, mark binary, uid long"
     rows = scratch.written(rows.withColumns({"uid": F.monotonically_increasing_id(), "mark": F.unhex(F.sha2("text", 256))}), "rows")
     narrow = faults(rows, scratch).repartitionByRange("conv_id", *ORDER).sortWithinPartitions("conv_id", *ORDER)
-    chunks = scratch.written(narrow.mapInArrow(_chunks, f"{conv}, {order}, symbols string, initials string, faults string, uids array<long>"), "chunks")
+    chunks = scratch.written(narrow.mapInArrow(_chunks(chunk), f"{conv}, {order}, symbols string, initials string, faults string, uids array<long>"), "chunks")
     rules = re_pair(chunks.groupBy("symbols").agg(F.count("*").alias("n")))
     kept = ["conv_id", *ORDER, "initials", "faults"]
     valued = chunks.select(*kept, "symbols").mapInArrow(_evaluated(rules, kept), f"{conv}, {order}, initials string, faults string, costs array<long>, audits array<string>")
@@ -401,12 +404,12 @@ def repaired_rows(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     return folded.filter("cost is not null").select("conv_id", *(x.split()[0] for x in totals.split(", "))), lines
 
 
-def repaired(conversations: DataFrame) -> DataFrame:
+def repaired(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Every conversation with its gaps, faults, cost, audit and the digest of its repaired rows."""
     with Scratch(conversations.sparkSession) as scratch:
         rows = damaged(conversations)
         conv = f"conv_id {dict(rows.dtypes)['conv_id']}"
-        totals, lines = repaired_rows(rows, scratch)
+        totals, lines = repaired_rows(rows, scratch, chunk)
         digests = lines.repartition("conv_id").sortWithinPartitions("conv_id", "place", "at").select("conv_id", "lines").mapInArrow(_digests, f"{conv}, repaired_sha256 string")
         wide = lambda c: c.cast("decimal(38,0)")
         turns = rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).groupBy("conv_id").agg((wide(F.max("turn")) - wide(F.min("turn")) + 1 - F.count("turn")).try_cast("long").alias("gaps"), F.count("turn").alias("turns"))

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stavelake.llm import tokens
 from stavelake.llm.common import Scratch, table, written
@@ -168,9 +169,9 @@ def ball_links(rows: DataFrame) -> DataFrame:
 def linked(nodes: DataFrame, scratch: Scratch, max_bucket: int = MAX_BUCKET) -> DataFrame | None:
     """(node, label): the component of each fingerprint that has a link; None without any. nodes: node, the distinct fingerprints."""
     keys = nodes.mapInArrow(_keys, "key long, node long, own boolean")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.min(F.when(F.col("own"), F.col("node"))).alias("centre"), F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = scratch.written(buckets.filter("centre is not null and low < high").select("key", "members", "centre"), "buckets")
-    members = scratch.written(keys.join(shared, "key"), "members")
+    of_key = Window.partitionBy("key")
+    counted = keys.withColumns({"members": F.count("*").over(of_key), "centre": F.min(F.when(F.col("own"), F.col("node"))).over(of_key)})
+    members = scratch.written(counted.filter("members > 1 and centre is not null"), "members")
     links = members.filter("node != centre").filter(_within("node", "centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     labels = merged(None, scratch.written(links, "links"), scratch)
     for exact in (False, True):
