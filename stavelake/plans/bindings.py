@@ -57,14 +57,15 @@ SELECT l_suppkey AS doc_id, 1 + l_orderkey % 8 AS page,
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 FIXES = """
-SELECT fix_id, ts, score_id, part_no, measure_no, seq, kind,
+SELECT fix_id, ts, score_id, part_no, measure_no, seq, seq + v % 4 AS to_seq, kind,
   CASE kind WHEN 'setNoteVoice' THEN v % 4 + 1 WHEN 'setNoteStaff' THEN v % 2 + 1 WHEN 'setNotePitch' THEN 36 + v % 48 WHEN 'setPlayOrder' THEN v % 9 + 1
        WHEN 'setNoteType' THEN CASE v % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END ELSE v END AS arg
 FROM (SELECT event_id AS fix_id, ts, CAST(floor(user_id / 10) AS BIGINT) AS score_id, 1 + user_id % 5 AS part_no,
   1 + CAST(floor(value) AS BIGINT) % 20 AS measure_no, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 6 + 1 AS seq, CAST(floor(value) AS BIGINT) AS v,
   CASE event_type WHEN 'click' THEN CASE event_id % 3 WHEN 0 THEN 'setNoteVoice' WHEN 1 THEN 'setPlayOrder' ELSE 'setNoteStaff' END
        WHEN 'view' THEN 'setNotePitch' WHEN 'error' THEN CASE event_id % 2 WHEN 0 THEN 'removeNote' ELSE 'removeBeam' END
-       WHEN 'signup' THEN 'insertEmptyMeasureBefore' ELSE CASE event_id % 3 WHEN 0 THEN 'setNoteType' WHEN 1 THEN 'insertRest' ELSE 'applyBeam' END END AS kind FROM events)"""
+       WHEN 'signup' THEN CASE event_id % 2 WHEN 0 THEN 'insertEmptyMeasureBefore' ELSE 'insertEmptyMeasureAfter' END
+       ELSE CASE event_id % 5 WHEN 0 THEN 'setNoteType' WHEN 1 THEN 'insertRest' WHEN 2 THEN 'applyBeam' WHEN 3 THEN 'insertNote' ELSE 'insertChordMember' END END AS kind FROM events)"""
 
 JOBS = """
 SELECT event_id, ts, user_id AS job_id, CASE event_type WHEN 'click' THEN 'processing' WHEN 'view' THEN 'waiting' WHEN 'error' THEN 'failed'

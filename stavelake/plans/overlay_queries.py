@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stavelake.operators import folds, overlay
+from stavelake.operators import folds, overlay, replay
 from stavelake.operators import timeline as L
 from stavelake.plans.registry import query
 from stavelake.plans.timeline_queries import DELTA, ONSET, M
@@ -51,9 +51,51 @@ def fix_delete(b):
     return overlay.apply_deletes(b.se, b.fx).select(*L.MEASURE, "seq", "kind")
 
 
-@query("insert_measure", "SELECT m.score_id, m.part_no, m.measure_no, m.measure_no + count(i.at) AS new_no FROM me m LEFT JOIN (SELECT DISTINCT score_id, measure_no AS at FROM fx WHERE kind = 'insertEmptyMeasureBefore') i ON i.score_id = m.score_id AND i.at <= m.measure_no GROUP BY m.score_id, m.part_no, m.measure_no")
+# An insert is applied if its measure lies at one place in all parts of the score; at is the first number that it moves.
+STRUCTURE = f"""l AS (SELECT fix_id, kind, {M}, seq, arg FROM {MERGED}),
+g AS (SELECT score_id, measure_no FROM (SELECT *, row_number() OVER (PARTITION BY score_id, part_no ORDER BY measure_no) AS place FROM me) JOIN (SELECT score_id, count(DISTINCT part_no) AS parts FROM me GROUP BY score_id) USING (score_id)
+      GROUP BY score_id, measure_no, parts HAVING count(*) = parts AND min(place) = max(place)),
+i AS (SELECT fix_id, score_id, measure_no AS anchor, kind = 'insertEmptyMeasureBefore' AS before, measure_no + CASE kind WHEN 'insertEmptyMeasureBefore' THEN 0 ELSE 1 END AS first_moved
+      FROM l JOIN g USING (score_id, measure_no) WHERE kind IN ('insertEmptyMeasureBefore', 'insertEmptyMeasureAfter'))"""
+
+
+@query("insert_measure", f"WITH {STRUCTURE} SELECT {M}, measure_no + (SELECT count(*) FROM i WHERE i.score_id = m.score_id AND first_moved <= measure_no) AS new_no FROM me m")
 def insert_measure(b):
-    return overlay.shifted_measures(b.me, b.fx.filter("kind = 'insertEmptyMeasureBefore'")).select(*L.MEASURE, "new_no")
+    log = overlay.merged_log(b.fx)
+    return replay.renumbered(b.me, replay.structure_plan(b.me, log)).select(*L.MEASURE, "new_no")
+
+
+@query(
+    "insert_measure_rests",
+    f"""WITH {STRUCTURE}, n AS (SELECT *, anchor + (SELECT count(*) FROM i o WHERE o.score_id = i.score_id AND o.first_moved <= i.anchor) AS anchor_now,
+  count(*) OVER (PARTITION BY score_id, anchor, before ORDER BY fix_id DESC) AS back FROM i),
+v AS (SELECT score_id, part_no, max(staff) AS staves FROM se GROUP BY score_id, part_no)
+SELECT n.score_id, m.part_no, CASE WHEN before THEN anchor_now - back ELSE anchor_now + back END AS measure_no, CAST(CASE WHEN s = 1 THEN 1 ELSE 2 * s - k END AS BIGINT) AS seq, CASE k WHEN 2 THEN 'backup' ELSE 'note' END AS kind,
+  CAST(CASE WHEN s = 1 THEN 1 ELSE 5 END AS BIGINT) AS voice, CAST(s AS BIGINT) AS staff, CAST(greatest(1, beats * 4) AS BIGINT) AS duration, CASE k WHEN 2 THEN 0 ELSE 1 END AS is_rest, CASE k WHEN 2 THEN NULL ELSE 'whole' END AS type
+FROM n JOIN me m ON m.score_id = n.score_id AND m.measure_no = n.anchor LEFT JOIN v ON v.score_id = m.score_id AND v.part_no = m.part_no, unnest(range(1, greatest(1, coalesce(staves, 1)) + 1)) AS t(s), unnest([1, 2]) AS q(k) WHERE s > 1 OR k = 1""",
+)
+def insert_measure_rests(b):
+    """The elements of inserted measures: default rests, a staff each."""
+    return replay.default_rests(b.me, b.se, replay.structure_plan(b.me, overlay.merged_log(b.fx)))
+
+
+def whole_log(b):
+    stem = F.when(F.col("x") % 3 == 0, "up").when(F.col("x") % 3 == 1, "down")
+    return replay.apply_all(b.me, b.se.withColumn("stem", stem), overlay.merged_log(b.fx))
+
+
+# A replay has no SQL form: a correction may move the places that the next one names. The tests hold both against a plain program.
+@query("fix_replay")
+def fix_replay(b):
+    """The elements after the whole log, taken in its own order."""
+    return whole_log(b)[0]
+
+
+@query("fix_report")
+def fix_report(b):
+    """Corrections that took effect or found no target, by score and kind."""
+    done = whole_log(b)[1].join(b.fx.select("fix_id", "score_id", "kind"), "fix_id")
+    return done.groupBy("score_id", "kind").agg(F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("skipped"))
 
 
 SPAN = "CASE WHEN count(place) OVER w < 2 THEN NULL WHEN place = min(place) OVER w THEN 1 WHEN place = max(place) OVER w THEN 3 WHEN place IS NOT NULL THEN 2 END"
