@@ -1,7 +1,8 @@
 r"""Operator 5: line dedup by a deletion-neighbourhood join.
 
-A line is the words between two \n, A-Z lower-cased. Lines with equal words are copies; lines of ``min_near_words`` or
-more are also copies when one word is changed, added or left out (edit bound 1 in words). Of each occurrence of a line, one
+A line is the words between two \n, A-Z lower-cased. Lines with equal words are copies; lines of ``min_near_words`` = 5 or
+more are also copies when one word is changed, added or left out (edit bound 1 in words): of fewer words, one is more than a fifth, so
+the lines are not similar by 0.8. Of each occurrence of a line, one
 stays only if no earlier line (by doc_id, then line number) is within the bound.
 
 Variants of a line are itself with one word deleted (hole at place i), hashed in constant time each from running sums of
@@ -31,7 +32,8 @@ from stavelake.llm import tokens
 from stavelake.llm.common import Scratch, id_of, packed, table, unpacked, with_text_key, written
 from stavelake.llm.tokens import U, mix
 
-MIN_NEAR_WORDS = 10
+#: One word of five is a similarity of 0.8.
+MIN_NEAR_WORDS = 5
 SECOND = U(0xA0761D6478BD642F)
 PREFIX, SUFFIX, HOLE, WHOLE = (U(x << 40) for x in (1, 2, 3, 4))
 
@@ -199,11 +201,11 @@ l AS (SELECT doc_id, i, parts[i] AS line, regexp_extract_all(translate(parts[i],
 u AS (SELECT array_to_string(ws, ' ') AS norm, any_value(ws) AS ws, min(doc_id * 1000000 + i) AS pos FROM l WHERE len(ws) > 0 GROUP BY 1),
 v AS (SELECT pos, j, len(ws) AS n, array_to_string(list_concat(ws[:j - 1], ['_' || chr(1)], ws[j + 1:]), ' ') AS hole,
              array_to_string(list_concat(ws[:j - 1], ws[j + 1:]), ' ') AS taken
-      FROM u, unnest(range(1, len(ws) + 1)) AS t(j) WHERE len(ws) >= 10),
+      FROM u, unnest(range(1, len(ws) + 1)) AS t(j) WHERE len(ws) >= 5),
 holes AS (SELECT hole, n, j, min(pos) AS pos FROM v GROUP BY ALL),
 near AS (SELECT v.pos FROM v JOIN holes h ON v.hole = h.hole AND v.n = h.n AND v.j = h.j WHERE h.pos < v.pos
-         UNION SELECT v.pos FROM v JOIN u ON v.taken = u.norm WHERE len(u.ws) >= 10 AND u.pos < v.pos
-         UNION SELECT u.pos FROM v JOIN u ON v.taken = u.norm WHERE len(u.ws) >= 10 AND v.pos < u.pos),
+         UNION SELECT v.pos FROM v JOIN u ON v.taken = u.norm WHERE len(u.ws) >= 5 AND u.pos < v.pos
+         UNION SELECT u.pos FROM v JOIN u ON v.taken = u.norm WHERE len(u.ws) >= 5 AND v.pos < u.pos),
 stay AS (SELECT pos FROM u WHERE pos NOT IN (SELECT pos FROM near)),
 m AS (SELECT l.doc_id, i, line, len(ws) > 0 AS word, stay.pos IS NOT NULL AS keep FROM l LEFT JOIN stay ON stay.pos = l.doc_id * 1000000 + i),
 g AS (SELECT doc_id, count(*) FILTER (word) AS n_lines, count(*) FILTER (keep) AS n_kept, string_agg(line, chr(10) ORDER BY i) FILTER (keep OR NOT word) AS left_text FROM m GROUP BY doc_id),
