@@ -5,9 +5,10 @@ the distinct texts that hold a line are counted. A line in more texts than the h
 removed; a document that this depletes is rejected. The base rules reject very short texts and texts that repeat
 themselves.
 
-The limit is ``max(min_texts, share * texts of the host)``; exact copies of a document count once, so copies do not
-turn their own lines into boilerplate. Texts are made distinct as narrow rows of line hashes, counting combines before the
-shuffle, and the few lines above a limit are joined back with a salted key, so a line in a third of all documents is spread over many tasks.
+The limit is a share of the host's texts, no less than ``least`` and no more than ``most`` of them, so that it acts on small hosts and on
+very large ones; exact copies of a document count once, so copies do not turn their own lines into boilerplate. Texts are made distinct as
+narrow rows of line hashes, counting combines before the shuffle, and the lines above a limit are joined back; one that very many
+documents hold has a salted key, by how many they are, so a line in a third of all documents is spread over many tasks at every size.
 
 Defined cases: a null text has no words and fails; a null host is a host; empty lines are never counted or
 removed; repeated rows get equal results; an empty table gives no rows; other columns are kept by the filter and
@@ -26,11 +27,14 @@ from pyspark.sql import functions as F
 from stavelake.llm import tokens
 from stavelake.llm.common import packed, table, unpacked, with_text_key, written
 
-MIN_TEXTS = 100
-SHARE = 0.01
+#: A line is boilerplate in more than SHARE of its host's texts, at least LEAST_TEXTS and at most MOST_TEXTS.
+LEAST_TEXTS = 10
+SHARE = 0.1
+MOST_TEXTS = 1000
 MIN_WORDS_LEFT = 10
 MIN_SHARE_LEFT = 0.3
-SALTS = 16
+#: Documents of one line that one task joins.
+DOCS_A_TASK = 1 << 14
 WINDOW = 5
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -82,29 +86,37 @@ def profiles(docs: DataFrame) -> DataFrame:
     return written(keyed.mapInArrow(_profiles, PROFILE), "profiles")
 
 
-def frequent_lines(profile: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
-    """(host, line): the lines above their host's limit."""
-    distinct = profile.groupBy("host", "_th").agg(F.first("line_hash").alias("line_hash"))  # equal texts have equal lines
+def frequent_lines(profile: DataFrame, least: int = LEAST_TEXTS, share: float = SHARE, most: int = MOST_TEXTS) -> DataFrame:
+    """(host, line, docs): the lines above their host's limit and the documents that hold them."""
+    distinct = profile.groupBy("host", "_th").agg(F.first("line_hash").alias("line_hash"), F.count("*").alias("docs"))  # equal texts have equal lines
     texts = profile.select("host", "_th").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    holds = distinct.select("host", F.explode(F.array_distinct("line_hash")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_texts)
+    holds = distinct.select("host", "docs", F.explode(F.array_distinct("line_hash")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"), F.sum("docs").alias("docs"))
+    holds = holds.filter(F.col("n") > min(least, most))
     same = holds["host"].eqNullSafe(texts["host"])
-    return holds.join(texts, same).filter(F.col("n") > F.greatest(F.lit(min_texts), share * F.col("texts"))).select(holds["host"], "line")
+    limit = F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), share * F.col("texts")))
+    return holds.join(texts, same).filter(F.col("n") > limit).select(holds["host"], "line", "docs")
 
 
 def _marked(profile: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(doc_id, host, _th, line_no, words) of every line to remove; the join's key is salted by the text."""
+    """(doc_id, host, _th, line_no, words) of every line to remove; the key of a line of very many documents is salted by the text."""
     lines = profile.select("doc_id", "host", "_th", F.explode(F.arrays_zip("line_no", "line_hash", "line_words")).alias("x"))
     lines = lines.select("doc_id", "host", "_th", F.col("x.line_no").alias("line_no"), F.col("x.line_hash").alias("line"), F.col("x.line_words").alias("words"))
-    lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "_th"), F.lit(SALTS)).cast("int"))
-    spread = frequent.withColumnRenamed("host", "_host").select("_host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # Of lines in one of 4,096 documents, there are 4,096 times the lines of a document at most.
+    step = max(DOCS_A_TASK, profile.count() >> 12)
+    found = frequent.select(F.col("host").alias("_host"), F.col("line").alias("_line"), (F.col("docs") / step).cast("int").alias("salts"))
+    same = (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host"))
+    lines = lines.join(F.broadcast(found.filter("salts > 0")), same, "left").drop("_host", "_line")
+    lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "_th"), F.coalesce("salts", F.lit(0)) + 1).cast("int")).drop("salts")
+    spread = found.select("_host", F.col("_line").alias("line"), F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
     return lines.join(spread, ["line", "salt"]).filter(F.col("host").eqNullSafe(F.col("_host"))).drop("_host", "salt", "line")
 
 
-def verdicts(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
+def verdicts(docs: DataFrame, least: int = LEAST_TEXTS, share: float = SHARE, most: int = MOST_TEXTS) -> DataFrame:
     """Per document: the base counts, base_failed, removed_words, removed_lines (their numbers) and kept."""
     profile = profiles(docs)
+    frequent = written(frequent_lines(profile, least, share, most), "frequent-lines")
     removed = (
-        _marked(profile, frequent_lines(profile, min_texts, share))
+        _marked(profile, frequent)
         .distinct()
         .groupBy("doc_id", "host", "_th")
         .agg(F.sum("words").alias("removed_words"), F.collect_list("line_no").alias("removed_lines"))
@@ -119,9 +131,9 @@ def verdicts(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE)
     )
 
 
-def clean(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
+def clean(docs: DataFrame, least: int = LEAST_TEXTS, share: float = SHARE, most: int = MOST_TEXTS) -> DataFrame:
     """The kept documents with their own columns, without the boilerplate lines; n_chars follows the text."""
-    found = verdicts(docs, min_texts, share).filter("kept").select(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("_th").alias("_t"), "removed_lines").dropDuplicates(["_d", "_h", "_t"])
+    found = verdicts(docs, least, share, most).filter("kept").select(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("_th").alias("_t"), "removed_lines").dropDuplicates(["_d", "_h", "_t"])
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_row.source").eqNullSafe(F.col("_h")) & F.col("_th").eqNullSafe(F.col("_t"))
     left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed_lines", i))
     changed = {"text": F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))}
@@ -148,7 +160,7 @@ rep AS (SELECT rid, win FROM w GROUP BY rid, win HAVING count(*) > 1),
 cov AS (SELECT rid, count(DISTINCT i) AS n_repeat_words FROM (SELECT w.rid, unnest(range(s, s + 5)) AS i FROM w JOIN rep ON w.rid = rep.rid AND w.win = rep.win) GROUP BY rid),
 texts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
 freq AS (SELECT k.host, norm FROM k GROUP BY k.host, norm
-         HAVING count(DISTINCT text) > greatest(100, 0.01 * (SELECT texts FROM texts WHERE texts.host IS NOT DISTINCT FROM k.host))),
+         HAVING count(DISTINCT text) > least(1000, greatest(10, 0.1 * (SELECT texts FROM texts WHERE texts.host IS NOT DISTINCT FROM k.host)))),
 gone AS (SELECT rid, sum(words) AS removed FROM k JOIN freq ON k.norm = freq.norm AND k.host IS NOT DISTINCT FROM freq.host GROUP BY rid),
 j AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,

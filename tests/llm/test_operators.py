@@ -52,14 +52,14 @@ def test_registered_queries_equal_their_sql(spark, small, con):
 
 
 def test_quality_rules(docs, empty):
-    rows = quality_rules.verdicts(docs, min_texts=1, share=0.0).collect()
+    rows = quality_rules.verdicts(docs, least=1, share=0.0).collect()
     assert len(rows) == docs.count()
     by = {r["doc_id"]: r for r in rows}
     assert by[0]["n_words"] == 0 and by[0]["base_failed"] and not by[1]["kept"]
     assert by[12]["n_repeat_words"] == 3000 and by[12]["base_failed"]
     # Line prose(3) stands in two texts of different hosts (9 and 10): no host has it twice.
     assert by[9]["removed_words"] == 0 and by[9]["kept"]
-    kept = quality_rules.clean(docs, min_texts=1, share=0.0)
+    kept = quality_rules.clean(docs, least=1, share=0.0)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rows if r["kept"]}
     assert quality_rules.verdicts(empty).count() == 0 and quality_rules.clean(empty).count() == 0
 
@@ -68,7 +68,7 @@ def test_quality_rules_remove_frequent_lines(spark):
     shared = prose(50, 12)
     rows = [(i, prose(100 + i, 40) + "\n" + shared, "h") for i in range(5)] + [(9, shared + "\nx", "h"), (10, shared, "other")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    by = {r["doc_id"]: r for r in quality_rules.verdicts(docs, min_texts=3, share=0.0).collect()}
+    by = {r["doc_id"]: r for r in quality_rules.verdicts(docs, least=3, share=0.0).collect()}
     assert all(by[i]["removed_words"] == 12 and by[i]["kept"] for i in range(5))
     assert not by[9]["kept"] and by[10]["kept"]
     assert all(shared not in r["text"] for r in quality_rules.clean(docs, 3, 0.0).filter("doc_id < 5").collect())
@@ -76,10 +76,19 @@ def test_quality_rules_remove_frequent_lines(spark):
 
 def test_quality_rules_remove_lines_with_the_production_limit(spark):
     shared = prose(50, 12)
-    rows = [(1000 * h + i, prose(5000 + 1000 * h + i, 40) + "\n" + shared, f"h{h}") for h, n in ((0, 101), (1, 100)) for i in range(n)]
+    # (texts of a host, how many of them hold the line): under and over 10 texts on a small host, under and over a tenth on a larger one.
+    hosts = [(12, 10, False), (12, 11, True), (10, 10, False), (200, 20, False), (200, 21, True)]
+    rows = [(1000 * h + i, prose(5000 + 1000 * h + i, 40) + ("\n" + shared if i < k else ""), f"h{h}") for h, (n, k, _) in enumerate(hosts) for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     gone = {r["doc_id"]: r["removed_words"] for r in quality_rules.verdicts(docs).collect()}
-    assert gone == {d: 12 if h == "h0" else 0 for d, _, h in rows}
+    assert gone == {d: 12 if hosts[int(h[1:])][2] and shared in t else 0 for d, t, h in rows}
+    # On a very large host the ceiling holds, whatever the share.
+    assert {r["doc_id"] for r in quality_rules.verdicts(docs, share=0.5, most=20).collect() if r["removed_words"]} == {d for d, t, h in rows if shared in t and h in ("h1", "h4")}
+
+
+def test_quality_rules_find_the_shared_line_of_the_tables(spark, small):
+    rows = quality_rules.op1_quality_rules(spark, small.replace("sf0.001", "sf0.01")).collect()
+    assert len(rows) == 1000 and sum(r["removed_words"] > 0 for r in rows) == 11 and all(r["kept"] != r["base_failed"] for r in rows)
 
 
 def test_classifier(spark, docs, empty):
@@ -174,7 +183,7 @@ def test_line_dedup_equals_all_pairs(spark):
     rng = np.random.default_rng(11)
     lines = []
     for i in range(12):
-        base = prose(300 + i, int(rng.integers(9, 14))).split()
+        base = prose(300 + i, int(rng.integers(3, 14))).split()
         for _ in range(6):
             line = list(base)
             for _ in range(rng.integers(0, 3)):
@@ -187,7 +196,7 @@ def test_line_dedup_equals_all_pairs(spark):
     seen, want = [], set()
     for i, j in enumerate(order):
         w = lines[j].split()
-        near = lambda v: v == w or (len(v) >= 10 and len(w) >= 10 and word_edit(v, w) <= 1)
+        near = lambda v: v == w or (len(v) >= 5 and len(w) >= 5 and word_edit(v, w) <= 1)
         if not w or not any(near(v) for v in seen):
             want.add(i)
         seen.append(w)
