@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stavelake.plans import layout_queries, marks_queries, overlay_queries, repair_queries, score_queries, text_queries, timeline_queries  # noqa: F401
+from stavelake.plans import layout_queries, marks_queries, overlay_queries, rebuild_queries, repair_queries, score_queries, text_queries, timeline_queries  # noqa: F401
 from stavelake.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
