@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stavelake.functions import notes as N
@@ -83,3 +83,37 @@ def coalesced_voices(layers: DataFrame, beats: DataFrame, divisions: int = DIVIS
     gap = f"if(t.out[0].at <= p.first_onset + {tol}, greatest(0L, cap - p.total - t.used), if({late} > {tol}, {late}, 0L))"
     out = taken.filter("size(t.out) > 0").selectExpr(*MEASURE, "staff", "p.voice AS target", f"{gap} AS gap", "explode(t.out) AS v")
     return out.select(*MEASURE, "staff", F.col("v.voice").alias("voice"), "target", "gap")
+
+
+#: x of a note without one; it never stands for a common onset.
+NO_X = 999_000.0
+SAME_X, OPPOSITE_STEMS_X = 2.0, 16.0
+
+
+def onset_clusters(notes: DataFrame) -> DataFrame:
+    """(measure, staff, seq, cluster, anchor, size, repair): chord groups of a staff that sound together by their x.
+
+    notes: with x (null: none), stem (null: none) and beam. A group joins the cluster of the one before it within 2 of the cluster's first x, or within 16 if their
+    stems differ; one that follows the end of a beam without a beam of its own, or goes on with a beam, only within 2. ``repair``: a
+    cluster of several groups on a staff of one voice, which can not hold them. Grace notes are left out.
+    """
+    sounding = notes.filter("kind = 'note' and is_grace = 0")
+    staff = Window.partitionBy(*MEASURE, "staff")
+    first = F.row_number().over(staff.orderBy("seq")) == 1
+    leaders = sounding.withColumns({"voices": F.size(F.collect_set("voice").over(staff)), "first": first}).filter("is_chord = 0 or first")
+    rows = leaders.withColumn("x", F.coalesce(F.col("x").cast("double"), F.lit(1_000_000.0)))
+    per = gathered(rows, (*MEASURE, "staff", "voices"), "seq", "x", "stem", "beam")
+    out = "array<struct<seq:bigint,cluster:int,anchor:double,stem:string,beam:bigint>>"
+
+    def step(acc: Column, n: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        gap = F.abs(n["x"] - last["anchor"])
+        apart = F.when(last["stem"].isNotNull() & n["stem"].isNotNull() & (last["stem"] != n["stem"]), OPPOSITE_STEMS_X).otherwise(SAME_X)
+        in_turn = ((last["beam"] == 3) & (n["beam"] == 0)) | ((last["beam"] != 0) & n["beam"].isin(2, 3))
+        joins = F.coalesce((last["anchor"] < NO_X) & (n["x"] < NO_X) & (gap <= F.when(in_turn, SAME_X).otherwise(apart)), F.lit(False))
+        row = F.struct(n["seq"].alias("seq"), F.when(joins, last["cluster"]).otherwise(F.coalesce(last["cluster"], F.lit(0)) + 1).alias("cluster"), F.when(joins, last["anchor"]).otherwise(n["x"]).alias("anchor"), n["stem"].alias("stem"), n["beam"].alias("beam"))
+        return F.concat(acc, F.array(row))
+
+    folded = per.select(*MEASURE, "staff", "voices", F.inline(F.aggregate("g", F.array().cast(out), step)))
+    size = F.count("*").over(Window.partitionBy(*MEASURE, "staff", "cluster"))
+    return folded.withColumn("size", size).select(*MEASURE, "staff", "seq", "cluster", "anchor", "size", ((F.col("size") > 1) & (F.col("voices") == 1)).alias("repair"))

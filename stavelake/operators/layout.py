@@ -89,3 +89,62 @@ def near_any(glyphs: DataFrame, bands: DataFrame, distance: float = 30.0) -> Dat
     cut = glyphs.withColumn("bin", F.floor(F.col("y0") / distance))
     on = (cut["doc_id"] == bins["doc_id"]) & (cut["page"] == bins["page"]) & (cut["bin"] == bins["bin"]) & (F.abs(cut["y0"] - bins["py"]) < distance)
     return cut.join(bins, on, "left_anti").drop("bin")
+
+
+def staff_bands(ink: DataFrame, systems: DataFrame, expected: int = 6, least: int = 8) -> DataFrame:
+    """(page, band, y0, y1): the staves of a system image from the ink of its rows. ink: page, y, ink; systems: page, height.
+
+    Rows with 8 % of the darkest row's ink (at least 2) form bands; those of fewer than ``least`` rows go. While there are more than ``expected`` + 2, the
+    narrowest gap is closed, which is to say the narrowest ones together; of what is left, ``expected`` are picked evenly. Too few bands
+    or none: the height is cut evenly. An image lower than two bands is one.
+    """
+    dark = ink.join(systems, "page").filter("y >= 0 and y < height and ink > 0").withColumn("_top", F.max("ink").over(Window.partitionBy("page")))
+    dark = dark.filter(F.col("ink") >= F.greatest(F.lit(2), F.floor(F.col("_top") * 0.08))).withColumn("_end", F.col("y") + 1)
+    runs = islands(dark, ("page",), "y", "_end", 0).groupBy("page", "island").agg(F.min("y").alias("y0"), F.max("_end").alias("y1")).filter(F.col("y1") - F.col("y0") >= least)
+    order = Window.partitionBy("page").orderBy("y0")
+    runs = runs.withColumns({"_gap": F.col("y0") - F.lag("y1").over(order), "_n": F.count("*").over(Window.partitionBy("page"))})
+    narrow = F.row_number().over(Window.partitionBy("page").orderBy(F.col("_gap").asc_nulls_last(), "y0"))
+    closed = F.col("_gap").isNotNull() & (narrow <= F.col("_n") - (expected + 2))
+    runs = runs.withColumn("_new", (~closed).cast("int")).withColumn("_band", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    bands = runs.groupBy("page", "_band").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1")).withColumn("_n", F.count("*").over(Window.partitionBy("page")))
+    picks = systems.select("page", F.posexplode(F.sequence(F.lit(0), F.lit(expected - 1))).alias("band", "_i")).drop("_i")
+    low = F.floor(F.greatest(F.lit(least), F.floor(F.col("height") / expected)))
+    even = picks.join(systems, "page").withColumn("_low", low)
+    found = bands.filter(F.col("_n") >= expected).withColumnRenamed("y0", "f0").withColumnRenamed("y1", "f1")
+    counts = found.groupBy("page").agg(F.max("_n").alias("_n"))
+    nth = even.join(counts, "page", "left").withColumn("_band", F.least(F.col("_n"), F.floor(F.col("band") * (F.col("_n") / expected)) + 1))
+    both = nth.join(found.select("page", "_band", "f0", "f1"), ["page", "_band"], "left")
+    y0 = F.coalesce("f0", F.col("band") * F.col("_low"))
+    y1 = F.coalesce("f1", F.least("height", (F.col("band") + 1) * F.col("_low")))
+    small = F.col("height") < 2 * least
+    out = both.filter(~small | (F.col("band") == 0)).select("page", F.col("band").cast("long").alias("band"), F.when(small, 0).otherwise(y0).alias("y0"), F.when(small, F.col("height")).otherwise(y1).alias("y1"))
+    return out.select("page", "band", F.col("y0").cast("long").alias("y0"), F.col("y1").cast("long").alias("y1"))
+
+
+BOX = ("x0", "y0", "x1", "y1")
+
+
+def titled(items: DataFrame, titles: DataFrame) -> DataFrame:
+    """The items with each document's title in its place. items: doc_id, line_no, page, item_type, text, user_set and a box that may be null; titles: one of doc_id, page, text and box.
+
+    A title replaces the first item of its page that it meets: with boxes on both sides by an overlap of 0.2, else as a title or by text that
+    holds the other's. A title with a box that meets none is put before the document's items (line 0). Where a user has set a title, nothing changes.
+    """
+    bare = lambda c: F.replace(T.strip_pua(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit(""))
+    own = titles.select("doc_id", "page", F.col("text").alias("_text"), *[F.col(c).alias(f"_{c}") for c in BOX]).filter(F.trim("_text") != "")
+    settled = items.filter("item_type = 'title' and user_set").select("doc_id").distinct()
+    own = own.join(settled, "doc_id", "left_anti").withColumn("_text", F.trim("_text"))
+    pairs = items.join(own, ["doc_id", "page"])
+    boxed = F.col("_x0").isNotNull() & F.col("x0").isNotNull()
+    near = T.iou(tuple(F.col(f"_{c}") for c in BOX), tuple(F.col(c) for c in BOX)) >= 0.2
+    a, t = bare(F.col("text")), F.replace(F.col("_text"), F.lit(" "), F.lit(""))
+    holds = (F.length(a) > 0) & (F.length(t) > 0) & (F.contains(t, a) | F.contains(a, t))
+    hit = F.when(boxed, near).otherwise(F.coalesce(F.col("item_type") == "title", F.lit(False)) | holds)
+    first = pairs.filter(hit).groupBy("doc_id").agg(F.min("line_no").alias("line_no")).join(own.drop("page"), "doc_id")
+    joined = items.join(first, ["doc_id", "line_no"], "left").withColumn("_hit", F.col("_text").isNotNull())
+    new = {"text": F.coalesce("_text", "text"), "item_type": F.when(F.col("_hit"), "title").otherwise(F.col("item_type"))} | {c: F.when(F.col("_hit") & F.col("_x0").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)) for c in BOX}
+    columns = ["doc_id", "line_no", "page", "item_type", "text", *BOX]
+    kept = joined.withColumns(new).select(*columns, F.when(F.col("_hit"), "scoreTitle").alias("provenance"))
+    missing = own.filter("_x0 is not null").join(first.select("doc_id"), "doc_id", "left_anti")
+    put = missing.select("doc_id", F.lit(0).cast("long").alias("line_no"), "page", F.lit("title").alias("item_type"), F.col("_text").alias("text"), *[F.col(f"_{c}").alias(c) for c in BOX], F.lit("scoreTitle").alias("provenance"))
+    return kept.unionByName(put)

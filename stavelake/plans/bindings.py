@@ -1,7 +1,7 @@
 """The score tables as views over the driver's tables, for Spark and as SQL for the oracle.
 
 se: score elements (orders are measures, line items their elements); me: measures; sl: slur marks; wd: wedges; ti: text items (document lines); gl: glyphs;
-fx: the correction log; je: job events; doc, conv: documents and conversations.
+it, tt: items with boxes that may lack, and titles; ink, sy: rows of system images; fx: the correction log; je: job events; ss: sessions; doc, conv: documents and conversations.
 """
 
 from __future__ import annotations
@@ -85,8 +85,34 @@ SELECT score_id, part_no, measure_no, staff, seq, CASE wedge WHEN 1 THEN 'stop'
   1 + x % 2 AS number, CASE x % 5 WHEN 0 THEN 'above' WHEN 1 THEN 'below' END AS placement, CAST(seq AS DOUBLE) - 0.5 AS place
 FROM se WHERE wedge IN (0, 1) AND (x + midi) % 3 = 0"""
 
-VIEWS = {"me": MEASURES, "se": ELEMENTS, "lines_v": LINES_DUCK, "ti": TEXT_ITEMS, "gl": GLYPHS, "fx": FIXES, "je": JOBS, "sl": SLURS, "wd": WEDGES}
-NEEDS = {"se": ["me"], "sl": ["se"], "wd": ["se"], "ti": ["lines_v"]}
+#: Ink of the rows of system images: every line item draws ten rows; some pages are blank, some hardly higher than a row.
+INK = """
+SELECT page, y + k AS y, CAST(sum(l_quantity) AS DOUBLE) AS ink
+FROM (SELECT CAST(floor(l_orderkey / 32) AS BIGINT) AS page, (l_partkey * 7 + l_suppkey * 13) % 780 AS y, l_quantity FROM lineitem) l CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS t(k)
+WHERE page % 19 > 0 GROUP BY page, y + k"""
+
+SYSTEMS = """
+SELECT page, CASE WHEN page % 17 = 0 THEN 12 ELSE 700 + page % 90 END AS height FROM (SELECT DISTINCT CAST(floor(o_orderkey / 32) AS BIGINT) AS page FROM orders) o"""
+
+#: Text items of which some have no box and some were set by a user, and the title found for each document.
+ITEMS = """
+SELECT doc_id, line_no, page, item_type, text, doc_id % 13 = 0 AND line_no % 7 = 0 AS user_set, CASE WHEN line_no % 4 > 0 THEN x0 END AS x0, CASE WHEN line_no % 4 > 0 THEN y0 END AS y0,
+  CASE WHEN line_no % 4 > 0 THEN x1 END AS x1, CASE WHEN line_no % 4 > 0 THEN y1 END AS y1 FROM ti"""
+
+TITLES = """
+SELECT doc_id, 2 AS page, text, CASE WHEN doc_id % 3 > 0 THEN x0 + doc_id % 5 * 30 END AS x0, CASE WHEN doc_id % 3 > 0 THEN y0 + doc_id % 4 END AS y0, CASE WHEN doc_id % 3 > 0 THEN x1 + doc_id % 5 * 30 END AS x1, CASE WHEN doc_id % 3 > 0 THEN y1 + doc_id % 4 END AS y1
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM ti WHERE page = 2) t WHERE n = 1"""
+
+#: Sessions: the last completed job of a score is its checkpoint; corrections before it are applied, later ones pending.
+SESSIONS = """
+SELECT s.score_id, s.score_id % 3 > 0 AS has_raw, c.at IS NOT NULL AS has_baseline, coalesce(f.pending, 0) AS pending, CASE WHEN s.score_id % 4 = 0 THEN 0 ELSE coalesce(f.before, 0) END AS total_applied,
+  s.score_id % 5 = 1 AND coalesce(f.before, 0) > 0 AS owns_edits
+FROM (SELECT DISTINCT score_id FROM me) s LEFT JOIN (SELECT CAST(floor(job_id / 10) AS BIGINT) AS score_id, max(ts) AS at FROM je WHERE status = 'completed' GROUP BY floor(job_id / 10)) c ON c.score_id = s.score_id
+LEFT JOIN (SELECT x.score_id, count(CASE WHEN y.at IS NULL OR x.ts > y.at THEN 1 END) AS pending, count(CASE WHEN x.ts <= y.at THEN 1 END) AS before
+  FROM fx x LEFT JOIN (SELECT CAST(floor(job_id / 10) AS BIGINT) AS score_id, max(ts) AS at FROM je WHERE status = 'completed' GROUP BY floor(job_id / 10)) y ON y.score_id = x.score_id GROUP BY x.score_id) f ON f.score_id = s.score_id"""
+
+VIEWS = {"me": MEASURES, "se": ELEMENTS, "lines_v": LINES_DUCK, "ti": TEXT_ITEMS, "gl": GLYPHS, "fx": FIXES, "je": JOBS, "sl": SLURS, "wd": WEDGES, "ink": INK, "sy": SYSTEMS, "it": ITEMS, "tt": TITLES, "ss": SESSIONS}
+NEEDS = {"se": ["me"], "sl": ["se"], "wd": ["se"], "it": ["ti"], "tt": ["ti"], "ss": ["me", "je", "fx"], "ti": ["lines_v"]}
 
 
 def with_bindings(sql: str) -> str:
@@ -143,6 +169,26 @@ class Bindings:
     def wd(self) -> DataFrame:
         return self.sql(WEDGES, se=self.se)
 
+    @functools.cached_property
+    def ink(self) -> DataFrame:
+        return self.sql(INK, lineitem=self.table("lineitem"))
+
+    @functools.cached_property
+    def sy(self) -> DataFrame:
+        return self.sql(SYSTEMS, orders=self.table("orders"))
+
+    @functools.cached_property
+    def it(self) -> DataFrame:
+        return self.sql(ITEMS, ti=self.ti)
+
+    @functools.cached_property
+    def tt(self) -> DataFrame:
+        return self.sql(TITLES, ti=self.ti)
+
+    @functools.cached_property
+    def ss(self) -> DataFrame:
+        return self.sql(SESSIONS, me=self.me, je=self.je, fx=self.fx)
+
     @functools.cached_property
     def ti(self) -> DataFrame:
         return self.sql(TEXT_ITEMS, lines_v=self.sql(LINES_SPARK, documents=self.table("documents")))

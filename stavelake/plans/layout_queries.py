@@ -205,3 +205,39 @@ def decode_tokens(b):
     x = F.row_number().over(Window.partitionBy("doc_id").orderBy("token_no")) - 1
     rows = words.withColumns({"kind": kind, "pitch": pitch, "type": F.regexp_extract("token", r"-([a-z0-9]+)$", 1)}).filter("kind is not null")
     return rows.select("doc_id", F.col("token_no").cast("long").alias("token_no"), x.cast("long").alias("x"), "kind", "pitch", "type")
+
+
+@query(
+    "staff_bands",
+    """WITH d AS (SELECT page, y, max(ink) OVER (PARTITION BY page) AS top, ink, height FROM ink JOIN sy USING (page) WHERE y < height AND ink > 0),
+r AS (SELECT page, y, y - row_number() OVER (PARTITION BY page ORDER BY y) AS run FROM d WHERE ink >= greatest(2, floor(top * 0.08))),
+b AS (SELECT page, min(y) AS y0, max(y) + 1 AS y1 FROM r GROUP BY page, run HAVING count(*) >= 8),
+g AS (SELECT *, y0 - lag(y1) OVER (PARTITION BY page ORDER BY y0) AS gap, count(*) OVER (PARTITION BY page) AS n FROM b),
+c AS (SELECT *, CASE WHEN gap IS NOT NULL AND row_number() OVER (PARTITION BY page ORDER BY gap NULLS LAST, y0) <= n - 8 THEN 0 ELSE 1 END AS opens FROM g),
+m AS (SELECT page, min(y0) AS y0, max(y1) AS y1 FROM (SELECT *, sum(opens) OVER (PARTITION BY page ORDER BY y0) AS band FROM c) GROUP BY page, band),
+l AS (SELECT page, array_agg({'y0': y0, 'y1': y1} ORDER BY y0) AS bands FROM m GROUP BY page HAVING count(*) >= 6)
+SELECT page, CAST(i AS BIGINT) AS band,
+  CAST(CASE WHEN height < 16 THEN 0 WHEN bands IS NOT NULL THEN bands[CAST(least(len(bands) - 1, floor(i * (len(bands) / 6.0))) AS INTEGER) + 1].y0 ELSE i * greatest(8, height // 6) END AS BIGINT) AS y0,
+  CAST(CASE WHEN height < 16 THEN height WHEN bands IS NOT NULL THEN bands[CAST(least(len(bands) - 1, floor(i * (len(bands) / 6.0))) AS INTEGER) + 1].y1 ELSE least(height, (i + 1) * greatest(8, height // 6)) END AS BIGINT) AS y1
+FROM sy LEFT JOIN l USING (page), unnest(range(6)) AS t(i) WHERE height >= 16 OR i = 0""",
+)
+def staff_bands(b):
+    return Y.staff_bands(b.ink, b.sy)
+
+
+BARE = "replace(regexp_replace(coalesce({}, ''), '[\\x{{E000}}-\\x{{F8FF}}\\x{{F0000}}-\\x{{FFFFD}}\\x{{100000}}-\\x{{10FFFD}}]', '', 'g'), ' ', '')"
+
+
+@query(
+    "title_apply",
+    f"""WITH o AS (SELECT doc_id, page, trim(text) AS title, x0 AS tx0, y0 AS ty0, x1 AS tx1, y1 AS ty1 FROM tt WHERE trim(text) <> '' AND doc_id NOT IN (SELECT doc_id FROM it WHERE item_type = 'title' AND user_set)),
+p AS (SELECT *, greatest(0, least(x1, tx1) - greatest(x0, tx0)) * greatest(0, least(y1, ty1) - greatest(y0, ty0)) AS inter, {BARE.format("text")} AS a, replace(title, ' ', '') AS t FROM it JOIN o USING (doc_id, page)),
+h AS (SELECT doc_id, min(line_no) AS line_no FROM p WHERE CASE WHEN tx0 IS NOT NULL AND x0 IS NOT NULL THEN inter > 0 AND inter / ((x1 - x0) * (y1 - y0) + (tx1 - tx0) * (ty1 - ty0) - inter) >= 0.2
+      ELSE item_type = 'title' OR (a <> '' AND t <> '' AND (contains(t, a) OR contains(a, t))) END GROUP BY doc_id),
+w AS (SELECT it.*, title, tx0, ty0, tx1, ty1 FROM it LEFT JOIN (SELECT h.doc_id, h.line_no, title, tx0, ty0, tx1, ty1 FROM h JOIN o USING (doc_id)) USING (doc_id, line_no))
+SELECT doc_id, line_no, page, CASE WHEN title IS NOT NULL THEN 'title' ELSE item_type END AS item_type, coalesce(title, text) AS text, CASE WHEN title IS NOT NULL THEN coalesce(tx0, x0) ELSE x0 END AS x0, CASE WHEN title IS NOT NULL THEN coalesce(ty0, y0) ELSE y0 END AS y0,
+  CASE WHEN title IS NOT NULL THEN coalesce(tx1, x1) ELSE x1 END AS x1, CASE WHEN title IS NOT NULL THEN coalesce(ty1, y1) ELSE y1 END AS y1, CASE WHEN title IS NOT NULL THEN 'scoreTitle' END AS provenance FROM w
+UNION ALL SELECT doc_id, 0, page, 'title', title, tx0, ty0, tx1, ty1, 'scoreTitle' FROM o WHERE tx0 IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM h)""",
+)
+def title_apply(b):
+    return Y.titled(b.it, b.tt)

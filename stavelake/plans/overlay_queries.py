@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stavelake.operators import folds, overlay, replay
+from stavelake.operators import folds, overlay, replay, restore
 from stavelake.operators import timeline as L
 from stavelake.plans.registry import query
 from stavelake.plans.timeline_queries import DELTA, ONSET, M
@@ -230,6 +230,33 @@ def x_clusters(b):
     return folds.x_clusters(b.se.filter("kind = 'note'"))
 
 
+STEM = "CASE x % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' END"
+
+
+@query(
+    "onset_clusters",
+    f"""WITH RECURSIVE n AS (SELECT *, min(seq) OVER (PARTITION BY {M}, staff) = seq AS first_note, {STEM} AS stem, CASE WHEN x % 50 = 0 THEN 1000000.0 ELSE CAST(round(x / 6) AS DOUBLE) END AS px FROM se WHERE kind = 'note' AND is_grace = 0),
+v AS (SELECT {M}, staff, count(DISTINCT voice) AS voices FROM n GROUP BY {M}, staff),
+s AS MATERIALIZED (SELECT {M}, staff, seq, px, stem, beam, row_number() OVER (PARTITION BY {M}, staff ORDER BY seq) AS i FROM n WHERE is_chord = 0 OR first_note),
+f AS (SELECT {M}, staff, seq, i, CAST(1 AS INTEGER) AS cluster, px AS anchor, stem, beam FROM s WHERE i = 1
+  UNION ALL SELECT {M}, staff, seq, i, CASE WHEN joins THEN cluster ELSE cluster + 1 END, CASE WHEN joins THEN anchor ELSE px END, stem, beam
+  FROM (SELECT s.*, f.cluster, f.anchor, f.anchor < 999000 AND s.px < 999000 AND abs(s.px - f.anchor) <= CASE WHEN (f.beam = 3 AND s.beam = 0) OR (f.beam <> 0 AND s.beam IN (2, 3)) THEN 2 WHEN f.stem <> s.stem THEN 16 ELSE 2 END AS joins
+        FROM f JOIN s ON s.score_id = f.score_id AND s.part_no = f.part_no AND s.measure_no = f.measure_no AND s.staff = f.staff AND s.i = f.i + 1))
+SELECT {M}, staff, seq, cluster, anchor, count(*) OVER (PARTITION BY {M}, staff, cluster) AS size, count(*) OVER (PARTITION BY {M}, staff, cluster) > 1 AND voices = 1 AS repair FROM f JOIN v USING ({M}, staff)""",
+)
+def onset_clusters(b):
+    x = F.when(F.col("x") % 50 > 0, F.round(F.col("x") / 6))
+    return folds.onset_clusters(b.se.withColumns({"stem": F.when(F.col("x") % 3 == 0, "up").when(F.col("x") % 3 == 1, "down"), "x": x}))
+
+
+MODE = "CASE WHEN pending > 0 AND NOT has_baseline THEN 'full' WHEN pending > 0 THEN 'incremental' WHEN has_baseline AND has_raw AND total_applied = 0 AND NOT owns_edits THEN 'restore-from-raw' WHEN has_baseline THEN 'restore' ELSE 'init' END"
+
+
+@query("sync_plan", f"SELECT score_id, mode, CASE WHEN mode IN ('incremental', 'restore') THEN 'baseline' WHEN has_raw THEN 'raw' END AS source, pending FROM (SELECT *, {MODE} AS mode FROM ss)")
+def sync_plan(b):
+    return restore.sync_plan(b.ss).select("score_id", "mode", "source", "pending")
+
+
 UNDOT_CAP = "CASE WHEN duration IN (cap, 16, 8, 4, 2, 1) THEN NULL WHEN 2 * duration = 3 * cap OR 4 * duration = 7 * cap THEN cap WHEN duration = 24 OR duration = 28 THEN 16 WHEN duration = 12 OR duration = 14 THEN 8 WHEN duration = 6 OR duration = 7 THEN 4 WHEN duration = 3 THEN 2 WHEN duration > cap THEN cap END"
 
 
