@@ -13,7 +13,7 @@ MUSIC_TERMS = (
 )
 NOISE_SEED = ("j", "k", "l", "bf", "af", "jz", "kz")
 NOISE_MORE = ("i", "m", "n", "fk", "t", "d", "s")
-CJK = r"[\x{AC00}-\x{D7A3}\x{3041}-\x{3094}\x{30A1}-\x{30F4}\x{30FC}\x{3005}\x{3006}\x{3024}\x{4E00}-\x{9FA5}]"
+CJK = r"[가-힣ぁ-ゔァ-ヴー々〆〤一-龥]"
 EXPRESSION = r"(?i)\b(poco|mosso|rit\.?|accel\.?|andante|moderato|allegro|cantabile|piu|più|tempo)\b"
 NUMBER = r"(\d+(?:\.\d+)?)"
 
@@ -44,7 +44,9 @@ def noise_flag(text: Column) -> Column:
 
     def rules(words: Column) -> Column:
         """words: those of A-Z, a-z and 0-9, apart by white space."""
-        repeated = like(words, rf"(?i)(?<!\S)(?!{_one_of(MUSIC_TERMS)}(?!\S))(\S)\1+(?!\S)")
+        # One character over and over is rare, and cheap to look for; only then the terms are told apart.
+        doubled = like(words, r"(?i)(?:^| )(\S)\1+(?= |$)")
+        repeated = doubled & like(words, rf"(?i)(?<!\S)(?!{_one_of(MUSIC_TERMS)}(?!\S))(\S)\1+(?!\S)")
         short = like(words, r"^\S{1,2}(?:\s+\S{1,2})+$") & like(words, rf"(?i)(?<!\S){seed}(?!\S)")
         pool = like(words, rf"(?i)^(?:(?:{_one_of(NOISE_SEED + NOISE_MORE + MUSIC_TERMS)}|\d+)(?:\s+|$))*$")
         letters = like(words, r"^\S(?:\s+\S)+$") & ~like(words, r"(?i)(?<!\S)[aio](?!\S)")
@@ -59,7 +61,10 @@ def noise_flag(text: Column) -> Column:
         )
 
     words = F.trim(F.regexp_replace(t, r"[^A-Za-z0-9]+", " "))
-    return F.when(t == "", True).when(t.rlike(PRIVATE_USE), True).when(t.rlike(CJK), False).otherwise(_named(words, rules))
+    # Private-use characters and those of CJK all lie from U+3000 on, so one pass over a text settles most of them.
+    rare = F.when(t.rlike(PRIVATE_USE), True).when(t.rlike(CJK), False)
+    first = F.when(t == "", True).when(like(t, r"[\x{3000}-\x{10FFFF}]"), rare)
+    return F.coalesce(first, _named(words, rules))
 
 
 def char_classes(text: Column) -> Column:

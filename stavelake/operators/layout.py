@@ -55,10 +55,9 @@ def line_clusters(glyphs: DataFrame, tolerance: float = 4.0) -> DataFrame:
 
 
 def pair_score() -> Column:
-    """IoU of two items, plus 0.35 if one text holds the other."""
+    """IoU of two items, plus 0.35 if one text holds the other. norm and bnorm: their texts, normalised once for each item."""
     box = lambda p: tuple(F.col(p + c) for c in ("x0", "y0", "x1", "y1"))
-    a, b = T.normalize_text(F.col("text")), T.normalize_text(F.col("btext"))
-    held = F.contains(a, b) | F.contains(b, a)
+    held = F.contains("norm", "bnorm") | F.contains("bnorm", "norm")
     return F.round(T.iou(box(""), box("b")) + F.when(held, 0.35).otherwise(0.0), 9)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stavelake.operators.marks import let
 from stavelake.operators.timeline import MEASURE, PART, chord_groups, in_measure, leader, measure_length, preceding, sounding, upto
 
 # Fixed values of the lint rules.
@@ -100,13 +101,106 @@ def spurious(text) -> Column:
     return compact.isin(*SPURIOUS_WORDS) | compact.rlike(r"^\d{1,3}$") | compact.rlike("^[Pp]{1,3}$")
 
 
+ISSUES = "array<struct<code:string,detail:string,note_seq:bigint>>"
+
+
+def _issue(code: Column | str, detail: Column, seq: Column | None = None) -> Column:
+    named = F.lit(code) if isinstance(code, str) else code
+    return F.struct(named.alias("code"), detail.cast("string").alias("detail"), (F.lit(None).cast("long") if seq is None else seq).alias("note_seq"))
+
+
+def _when(condition: Column, issue: Column) -> Column:
+    return F.when(condition, F.array(issue)).otherwise(F.array().cast(ISSUES))
+
+
+def _fullness(g: Column) -> Column:
+    """Of a measure's elements: an issue for each voice that is not full."""
+    moves = F.filter(g, lambda x: (x["kind"] == "note") & (x["is_chord"] == 0) & (x["is_grace"] == 0))
+    cap = measure_length(F.col("beats"))
+
+    def of_voice(rows: Column, v: Column) -> Column:
+        total = F.aggregate(rows, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["voice"] == v, x["duration"]).otherwise(0))
+        code = lambda t: F.when(t < cap, "measureUnderfull").when(t > cap, "measureOverfull")
+        return let(total, lambda t: _issue(code(t), F.concat_ws("/", v.cast("string"), t.cast("string"), cap.cast("string"))))
+
+    found = let(moves, lambda rows: F.transform(F.array_distinct(F.transform(rows, lambda x: x["voice"])), lambda v: of_voice(rows, v)))
+    return F.when(F.col("implicit") == 0, F.filter(found, lambda i: i["code"].isNotNull())).otherwise(F.array().cast(ISSUES))
+
+
+def _events(g: Column) -> Column:
+    """The measure's events: after a backup notes join the event before them, until a forward."""
+    pitch = lambda x: F.when(x["is_rest"] == 1, F.concat(F.lit("rest:"), F.coalesce(x["type"], F.lit("?")))).otherwise(x["midi"].cast("string"))
+    start = F.struct(F.lit(False).alias("glued"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def note(acc: Column, x: Column) -> Column:
+        n = acc["n"] + F.when(acc["glued"], 0).otherwise(1)
+        last = F.size(acc["out"])
+        joined = F.concat(F.slice(acc["out"], F.lit(1), last - 1), F.array(F.concat(F.get(acc["out"], last - 1), F.lit("+"), pitch(x))))
+        out = F.when(last < F.greatest(n, F.lit(1)), F.concat(acc["out"], F.array(pitch(x)))).otherwise(joined)
+        return F.struct(acc["glued"].alias("glued"), n.alias("n"), out.alias("out"))
+
+    step = lambda acc, x: F.when(x["kind"] == "note", note(acc, x)).otherwise(F.struct((x["kind"] == "backup").alias("glued"), acc["n"].alias("n"), acc["out"].alias("out")))
+    return F.aggregate(g, start, step, lambda acc: acc["out"])
+
+
+def _groups(g: Column) -> Column:
+    """Chord groups of the sounding notes, each with its first note's columns and all its pitches."""
+    fields = "staff:bigint,voice:bigint,type:string,beam:bigint,is_rest:int,seq:bigint,pitches:array<bigint>"
+    pitches = lambda x: F.when(x["is_rest"] == 0, F.array(x["midi"])).otherwise(F.array().cast("array<bigint>"))
+    start = F.struct(F.lit(None).cast("long").alias("staff"), F.lit(None).cast("long").alias("voice"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        joins = F.coalesce((x["is_chord"] == 1) & (acc["staff"] == x["staff"]) & (acc["voice"] == x["voice"]), F.lit(False))
+        n = F.size(acc["out"])
+        last = F.get(acc["out"], n - 1)
+        new = F.struct(*[x[c].alias(c) for c in ("staff", "voice", "type", "beam", "is_rest", "seq")], pitches(x).alias("pitches"))
+        grown = F.concat(F.slice(acc["out"], F.lit(1), n - 1), F.array(last.withField("pitches", F.concat(last["pitches"], pitches(x)))))
+        return F.struct(x["staff"].alias("staff"), x["voice"].alias("voice"), F.when(joins, grown).otherwise(F.concat(acc["out"], F.array(new))).alias("out"))
+
+    return F.aggregate(F.filter(g, lambda x: (x["kind"] == "note") & (x["is_grace"] == 0)), start, step, lambda acc: acc["out"])
+
+
+def _rhythm(groups: Column) -> Column:
+    """Plain quarters before beams, by windows of four groups."""
+
+    def at(g: Column, i: Column) -> Column:
+        after = [F.get(groups, i + k) for k in (1, 2, 3)]
+        same = [F.coalesce((o["staff"] == g["staff"]) & (o["voice"] == g["voice"]) & (o["is_rest"] == 0), F.lit(False)) for o in after]
+        plain = (g["is_rest"] == 0) & (g["type"] == "quarter") & (g["beam"] == 0)
+        one, two, three = after
+        first = plain & same[0] & (one["beam"] != 0) & F.arrays_overlap(g["pitches"], one["pitches"])
+        second = plain & same[0] & same[1] & same[2] & (one["type"] == "quarter") & (one["beam"] == 0) & (two["beam"] == 1) & (three["beam"] == 3) & (two["type"] == "eighth") & (three["type"] == "eighth")
+        of = lambda code, hit: _when(F.coalesce(hit, F.lit(False)), _issue(code, g["staff"], g["seq"]))
+        return F.concat(of("rhythmQuarterBeforeBeamedEighth", first), of("rhythmPlainQuarterPairBeforeBeams", second))
+
+    return F.flatten(F.transform(groups, at))
+
+
+def _trailing(g: Column, events: Column) -> Column:
+    rest_type = F.regexp_extract(F.try_element_at(events, F.lit(-1)), r"^rest:(.*)$", 1)
+    sounding = F.exists(events, lambda e: ~F.startswith(e, F.lit("rest:")))
+    seq = F.array_max(F.transform(g, lambda x: F.when((x["kind"] == "note") & (x["is_rest"] == 1) & (x["type"] == rest_type), x["seq"])))
+    return _when((F.size(events) >= 2) & F.coalesce(rest_type.isin(*TRAILING_REST_TYPES), F.lit(False)) & sounding, _issue("trailingPhantomRest", rest_type, seq))
+
+
+def _swapped(tail: Column, head: Column) -> Column:
+    at = lambda c, i: F.try_element_at(c, F.lit(i))
+    crossed = (at(tail, -1) == at(head, 1)) & (at(tail, 1) == at(head, -1))
+    reversed_pair = (at(tail, -2) == at(head, 2)) & (at(tail, -1) == at(head, 1))
+    hit = (F.size(tail) >= 2) & (F.size(head) >= 2) & (crossed | reversed_pair)
+    return _when(F.coalesce(hit, F.lit(False)), _issue("measureBoundaryOrderSuspect", F.concat(at(tail, -1), F.lit(">"), at(head, 1))))
+
+
 def lint_issues(elements: DataFrame) -> DataFrame:
-    """All rules on a corpus: one row per issue."""
-    rules = (fullness_issues, rhythm_suspects, trailing_rests, boundary_swaps)
-    out = None
-    for rule in rules:
-        out = rule(elements) if out is None else out.unionByName(rule(elements))
-    return out
+    """All rules on a corpus: one row per issue. A measure is gathered once and every rule reads its elements; measures then meet their successor in the part."""
+    columns = ("seq", "kind", "voice", "staff", "duration", "is_rest", "is_chord", "is_grace", "midi", "type", "beam")
+    per = elements.groupBy(*MEASURE).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("g"), F.first("beats").alias("beats"), F.first("implicit").alias("implicit"))
+    per = per.withColumn("events", _events(F.col("g")))
+    own = F.concat(_fullness(F.col("g")), let(_groups(F.col("g")), _rhythm), _trailing(F.col("g"), F.col("events")))
+    per = per.select(*MEASURE, own.alias("own"), F.filter("events", lambda e: ~F.startswith(e, F.lit("rest:"))).alias("e"))
+    per = per.select(*MEASURE, "own", F.slice("e", 1, 4).alias("head"), F.reverse(F.slice(F.reverse("e"), 1, 4)).alias("tail"))
+    head = F.lead("head").over(Window.partitionBy(*PART).orderBy("measure_no"))
+    return per.withColumn("issues", F.concat("own", _swapped(F.col("tail"), head))).select(*MEASURE, F.inline("issues"))
 
 
 def rollup(issues: DataFrame) -> DataFrame:

@@ -76,8 +76,9 @@ SELECT doc_id, a_line, b_line, round(CASE WHEN inter <= 0 THEN 0.0 ELSE inter /
 
 
 def page_pairs(ti):
-    """Pairs of items on one page, the earlier line first."""
-    right = ti.select("doc_id", "page", *[F.col(c).alias("b" + c) for c in ("line_no", "x0", "y0", "x1", "y1", "text", "item_type")])
+    """Pairs of items on one page, the earlier line first, with their normalised texts."""
+    ti = ti.withColumn("norm", T.normalize_text(F.col("text")))
+    right = ti.select("doc_id", "page", *[F.col(c).alias("b" + c) for c in ("line_no", "x0", "y0", "x1", "y1", "text", "item_type", "norm")])
     return ti.join(right, ["doc_id", "page"]).filter("line_no < bline_no")
 
 
