@@ -8,14 +8,15 @@ share one symbol, as in the base score.
 
 Occurrences of pairs are dealt by the pair, or by the second word where it is rare, in packs of arrays: a part holds every
 occurrence of its pairs and of its rare words, in training and outside, so one shuffle counts them and scores them. Words that make
-at least one in ``VOCABULARY_SHARE`` training tokens and pairs of two very frequent words of at least one in ``PAIR_SHARE`` (at most
-that many of each) are counted before and looked up in broadcast arrays, so no part is swamped by one key; that changes no
-score. Every part gives sums by document, sums by context (table contexts: total, successors by count, their unigram mass) and
-the pairs unseen in training, which are joined with the contexts' backoff weights. A token's score is split into what the pair, the
+at least one in ``VOCABULARY_SHARE`` tokens of all rows and pairs of two very frequent words of at least one in ``PAIR_SHARE`` (at most
+that many of each) are counted before and looked up in broadcast arrays, whether training has them or not; that changes no
+score. Every part gives sums by document, sums by context (a written table of contexts: total, successors by count, their unigram mass) and
+the pairs unseen in training by document and context, which are joined with the contexts' backoff weights. A token's score is split into what the pair, the
 context and the word say, so nothing is sent back and forth. The parts are worked in ``ROUNDS``: each reads the texts again and needs
 its share of the disk.
 
-Parts follow the bytes of the texts, so their size is bounded; packs stay large while there are fewer parts than tokens in a block.
+Parts follow the bytes of the texts. What one part holds of one key is below a share of all tokens (a 65,536th for a word, an 8,192nd for a pair with a
+word that is not very frequent), which passes the part's own size from some 10^10 tokens on; packs stay large while there are fewer parts than tokens in a block.
 
 Defined cases: a null text is empty and is scored as its end alone; without training documents every word is unseen and the
 score falls back to that; rows of one doc_id with different texts are documents of their own, repeated rows get equal scores, and a
@@ -55,7 +56,8 @@ class Frequent:
     """Sorted hashes and counts of the frequent words; the code of one is its place, that of any other word its hash."""
 
     hashes: np.ndarray
-    counts: np.ndarray
+    counts: np.ndarray  # in training
+    every: np.ndarray  # in all rows
 
     @property
     def start(self) -> int:
@@ -96,18 +98,21 @@ def pair_keys(h: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, columns: tuple[str, ...], columns_of) -> DataFrame:
-    """The columns and n: counted in blocks before the shuffle."""
+    """The columns, n (in training) and every (in all rows): counted in blocks before the shuffle. docs: training, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def block() -> pa.RecordBatch:
-            found = [np.concatenate(x) for x in zip(*held)]
-            _, at, n = np.unique(found[0] if len(found) == 1 else pair_keys(*found), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64), pa.int64()) for x in found], pa.array(n, pa.int64())], names=[*columns, "n"])
+            training, *found = (np.concatenate(x) for x in zip(*held))
+            _, at, key, every = np.unique(found[0] if len(found) == 1 else pair_keys(*found), return_index=True, return_inverse=True, return_counts=True)
+            n = np.bincount(key, weights=training, minlength=len(at)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64), pa.int64()) for x in found], pa.array(n, pa.int64()), pa.array(every, pa.int64())], names=[*columns, "n", "every"])
 
-        for _, column in tokens.slices(batches):
-            held.append(columns_of(*with_ends(tokens.text_of(column))))
+        for b, column in tokens.slices(batches):
+            row, words = with_ends(tokens.text_of(column))
+            mine, *found = columns_of(row, words)
+            held.append((b.column(b.schema.get_field_index("training")).to_numpy(zero_copy_only=False)[row][mine], *found))
             size += len(held[-1][0])
             if size >= TOKENS_A_BLOCK:
                 yield block()
@@ -115,12 +120,12 @@ def _blocks(docs: DataFrame, columns: tuple[str, ...], columns_of) -> DataFrame:
         if held:
             yield block()
 
-    return docs.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in (*columns, "n")))
+    return docs.select("training", "text").mapInArrow(run, ", ".join(f"{c} long" for c in (*columns, "n", "every")))
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
-    """key, n of every word."""
-    return _blocks(docs, ("key",), lambda row, words: (words,)).groupBy("key").agg(F.sum("n").alias("n"))
+    """key, n (in training) and every (in all rows) of every word."""
+    return _blocks(docs, ("key",), lambda row, words: (slice(None), words)).groupBy("key").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
 def discounts(counts_of_counts: dict[int, int]) -> np.ndarray:
@@ -160,7 +165,7 @@ def count_histogram(counts: DataFrame) -> dict[int, tuple[int, int]]:
 
 
 def unigrams(words: DataFrame) -> Unigrams:
-    seen = count_histogram(words)
+    seen = count_histogram(words.filter("n > 0"))
     total, distinct = sum(s for _, s in seen.values()), sum(k for k, _ in seen.values())
     if not total:
         return Unigrams(0, 0, np.ones(K + 1), 1.0, 0.0)
@@ -199,13 +204,13 @@ class Known:
     pair_counts: np.ndarray
 
     def counts_of_pairs(self, h: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """The counts of the frequent pairs among these; 0 for all others."""
-        out = np.zeros(len(h), np.int64)
+        """The training counts of the frequent pairs among these; -1 for all others."""
+        out = np.full(len(h), -1, np.int64)
         both = np.flatnonzero((h >= 0) & (x >= 0))
         if len(self.pair_codes):
             code = h[both] * (self.frequent.start + 1) + x[both]
             at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
-            out[both] = np.where(self.pair_codes[at] == code, self.pair_counts[at], 0)
+            out[both] = np.where(self.pair_codes[at] == code, self.pair_counts[at], -1)
         return out
 
 
@@ -214,18 +219,17 @@ def kept_log(n: np.ndarray) -> np.ndarray:
 
 
 def frequent_pairs(docs: DataFrame, frequent, least: float, very: float) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, counts) of the pairs with ``least`` occurrences whose words have ``very`` each; the start counts as such a word."""
+    """(codes, training counts) of the pairs with ``least`` occurrences in all rows whose words have ``very`` each; the start counts as such a word."""
 
-    def codes(row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray]:
+    def codes(row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         f = frequent.value
-        often = np.append(f.counts >= very, True)
+        often = np.append(f.every >= very, True)
         h, x = f.pairs(row, words, f.places(words))
-        both = (h >= 0) & (x >= 0)
-        h, x = h[both], x[both]
-        both = often[h] & often[x]
-        return ((h[both] * (f.start + 1) + x[both]).view(U),)
+        both = np.flatnonzero((h >= 0) & (x >= 0))
+        both = both[often[h[both]] & often[x[both]]]
+        return both, (h[both] * (f.start + 1) + x[both]).view(U)
 
-    found = _blocks(docs, ("code",), codes).groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(least)).toArrow()
+    found = _blocks(docs, ("code",), codes).groupBy("code").agg(F.sum("n").alias("n"), F.sum("every").alias("every")).filter(F.col("every") >= F.lit(least)).toArrow()
     code, n = (found.column(c).to_numpy() for c in ("code", "n"))
     order = np.argsort(code)
     return code[order], n[order]
@@ -244,6 +248,12 @@ def _whole(data: list[bytes], n: int) -> np.ndarray:
     return out
 
 
+def _unseen(doc: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """(doc, context, times) of pairs unseen in training, each document and context once."""
+    _, at, times = np.unique(pair_keys(doc, h), return_index=True, return_counts=True)
+    return [doc[at], h[at], times.astype(np.int64)]
+
+
 PACK = "part int, own boolean, n int, data array<binary>"
 
 
@@ -291,12 +301,16 @@ def packs(docs: DataFrame, known, parts: int, turn: int) -> DataFrame:
             n = k.counts_of_pairs(h, x)
             if turn == 0:
                 per_row = lambda w: np.bincount(row, weights=w, minlength=len(doc))
-                score = per_row(as_context[places] + np.where(n > 0, kept_log(np.maximum(n, 1)), 0.0)) + start
-                own = [doc, np.bincount(row, minlength=len(doc)), per_row(places < f.start).astype(np.int64), per_row(word_base[places]), score]
+                of_pair = np.where(n > K, kept_log(np.maximum(n, 1)), np.where(n == 0, np.log10(uni.probabilities(counts[places])), 0.0))
+                score = per_row(as_context[places] + of_pair) + start
+                own = [doc, np.bincount(row, minlength=len(doc)), per_row(counts[places] > 0).astype(np.int64), per_row(word_base[places]), score]
+                own += [per_row(n == i).astype(np.int64) for i in range(1, K + 1)]
+                none = np.flatnonzero(n == 0)
+                own += _unseen(doc[row[none]], h[none])
                 yield rows([(int(doc[0].view(np.uint64) % U(parts)) // ROUNDS * ROUNDS, True, len(doc), [c.tobytes() for c in own])])
             by = np.where(x < 0, x.view(U), pair_keys(h, x))
             part = (mix(by) % U(parts)).astype(np.int32)
-            mine = np.flatnonzero((n == 0) & (part % ROUNDS == turn))
+            mine = np.flatnonzero((n < 0) & (part % ROUNDS == turn))
             held.append((part[mine], doc[row[mine]], training[row[mine]], h[mine], x[mine]))
             size += len(mine)
             if size >= TOKENS_A_BLOCK:
@@ -316,8 +330,11 @@ def sums_of_part(known, with_pairs: bool = False):
         out, occurrences = [], []
         for own, n, data in zip(*(group.column(c).to_pylist() for c in ("own", "n", "data"))):
             if own:
-                longs, doubles = [np.frombuffer(d, np.int64) for d in data[:3]], [np.frombuffer(d, np.float64) for d in data[3:]]
-                out.append(_sums(1, longs[0], tokens=longs[1], known=longs[2], y=doubles[0], x=doubles[1]))
+                longs, doubles = [np.frombuffer(d, np.int64) for d in [*data[:3], *data[5:]]], [np.frombuffer(d, np.float64) for d in data[3:5]]
+                by_count = {r: c.astype(np.int32) for r, c in zip(R[:K], longs[3 : 3 + K])}
+                out.append(_sums(1, longs[0], tokens=longs[1], known=longs[2], y=doubles[0], x=doubles[1], **by_count))
+                docs, contexts, times = longs[3 + K :]
+                out.append(_sums(2, contexts, doc=docs, total=times))
             else:
                 runs = np.frombuffer(data[2], np.uint32)
                 doc, training = (np.repeat(np.frombuffer(d, t), runs) for d, t in ((data[0], np.int64), (data[1], bool)))
@@ -354,13 +371,15 @@ def _counted(k: Known, with_pairs: bool, doc: np.ndarray, training: np.ndarray,
     by_count = {r: per_doc(n == i).astype(np.int32) for i, r in enumerate(R[:K], 1)}
     of_docs = _sums(1, docs, known=per_doc(known).astype(np.int64), x=per_doc(score), y=per_doc(np.where(known, np.log10((n_x + 0.1) / 0.1), 0.0)), **by_count)
     unseen = np.flatnonzero(n == 0)
-    return [of_contexts, of_docs, _sums(2, h[unseen], doc=doc[unseen]), *of_pairs]
+    docs, contexts, times = _unseen(doc[unseen], h[unseen])
+    return [of_contexts, of_docs, _sums(2, contexts, doc=docs, total=times), *of_pairs]
 
 
 def sums_of_frequent(k: Known) -> pa.Table:
     """The sums of the contexts over their frequent pairs."""
-    h, x = np.divmod(k.pair_codes, k.frequent.start + 1)
-    n = k.pair_counts
+    seen = k.pair_counts > 0
+    h, x = np.divmod(k.pair_codes[seen], k.frequent.start + 1)
+    n = k.pair_counts[seen]
     contexts, c = np.unique(h, return_inverse=True)
     per_context = lambda w: np.bincount(c, weights=w, minlength=len(contexts))
     by_count = {r: per_context(n == i).astype(np.int32) for i, r in enumerate(R, 1)}
@@ -378,7 +397,7 @@ def backoff_weights(contexts: DataFrame, d: np.ndarray, uni: Unigrams) -> DataFr
 
 @dataclass(frozen=True)
 class Model:
-    contexts: DataFrame  # key, total, r1 ... (successors by count), more, mass: a table partitioned by context
+    contexts: DataFrame  # key, total, r1 ... (successors by count), more, mass: a row for each context
     parts: DataFrame  # see SUMS
     discount: np.ndarray
     known: Known
@@ -390,17 +409,18 @@ def learned(keyed: DataFrame, scratch: Scratch, with_pairs: bool = False) -> Mod
     ``with_pairs`` also keeps the counts of all but the frequent pairs as a table, for use beyond these rows.
     """
     spark = keyed.sparkSession
-    training = keyed.filter("training")
-    words = scratch.written(counted_words(training), "words")
+    words = scratch.written(counted_words(keyed), "words")
     uni = unigrams(words)
-    found = words.filter(F.col("n") >= F.lit(max(uni.total / VOCABULARY_SHARE, K + 1))).toArrow()
-    key, n = (found.column(c).to_numpy() for c in ("key", "n"))
+    # Shares of all rows, not of the training rows: a word of the others can be as hot.
+    total = words.agg(F.sum("every")).first()[0] or 0
+    found = words.filter(F.col("every") >= F.lit(max(total / VOCABULARY_SHARE, K + 1))).toArrow()
+    key, n, every = (found.column(c).to_numpy() for c in ("key", "n", "every"))
     order = np.argsort(key.view(U))
-    frequent = Frequent(key.view(U)[order], n[order])
+    frequent = Frequent(key.view(U)[order], n[order], every[order])
     ends = words.filter(F.col("key") == F.lit(int(END.astype(np.int64)))).first()
 
     shared = spark.sparkContext.broadcast(frequent)
-    codes, counts = frequent_pairs(training, shared, max(uni.total / PAIR_SHARE, K + 1), uni.total / PAIR_WORD_SHARE)
+    codes, counts = frequent_pairs(keyed, shared, max(total / PAIR_SHARE, K + 1), total / PAIR_WORD_SHARE)
     known = Known(frequent, uni, ends["n"] if ends else 0, codes, counts)
     shared.destroy()
     shared = spark.sparkContext.broadcast(known)
@@ -427,12 +447,12 @@ def scored(docs: DataFrame, train: Column) -> DataFrame:
         model = learned(keyed, scratch)
         uni = model.known.uni
         weights = backoff_weights(model.contexts, model.discount, uni).select("key", "freed")
-        unseen = model.parts.filter("kind = 2").select("key", "doc")
+        unseen = model.parts.filter("kind = 2").select("key", "doc", "total")
         # Frequent contexts are few: at most VOCABULARY_SHARE + 1.
         often = unseen.filter("key >= 0").join(F.broadcast(weights.filter("key >= 0")), "key")
         seldom = unseen.filter("key < 0").join(weights.filter("key < 0"), "key")
         own = model.parts.filter("kind = 1").select(F.col("key").alias("doc"), "tokens", "known", "x", "y", *R[:K])
-        said = own.unionByName(often.union(seldom).select("doc", F.col("freed").alias("x")), allowMissingColumns=True)
+        said = own.unionByName(often.union(seldom).select("doc", (F.col("freed") * F.col("total")).alias("x")), allowMissingColumns=True)
         seen = sum((F.coalesce(F.sum(r), F.lit(0)) * F.lit(float(np.log10(model.discount[i] * i))) for i, r in enumerate(R[:K], 1)), F.sum("x"))
         # Repeated rows of a document say the same: the sums are shared out.
         copies = F.count("tokens")

@@ -328,6 +328,20 @@ def test_language_model_equals_plain_katz_over_all_words(spark):
     assert got[90] - got[91] > 2
 
 
+def test_language_model_bounds_the_part_of_a_word_that_training_lacks(spark):
+    col = language_model.F.col
+    texts = [prose(1700 + i, 60) for i in range(120)] + ["strange " * 400 for _ in range(60)] + ["strange " + prose(1900 + i, 20) + " strange strange" for i in range(20)]
+    keyed = spark.createDataFrame([(i, i < 100, t) for i, t in enumerate(texts)], "doc long, training boolean, text string").repartition(4)
+    with language_model.Scratch(spark) as scratch:
+        m = language_model.learned(keyed, scratch)
+    shared = spark.sparkContext.broadcast(m.known)
+    parts = [r["n"] for turn in range(language_model.ROUNDS) for r in language_model.packs(keyed, shared, 16, turn).filter("not own").groupBy("part").agg(language_model.F.sum("n").alias("n")).collect()]
+    assert len(parts) == 16 and max(parts) < 3 * sorted(parts)[8]
+    got = {r["doc_id"]: r["score"] for r in language_model.scored(keyed.select(col("doc").alias("doc_id"), "text"), col("doc_id") < 100).collect()}
+    trained = [[*words(t), None] for t in texts[:100]]
+    assert all(math.isclose(got[i], katz(trained, [*words(t), None]), rel_tol=1e-9) for i, t in enumerate(texts))
+
+
 def test_language_model_contexts_add_up_to_one(spark, small):
     col = language_model.F.col
     docs = spark.read.parquet(f"{small}/documents.parquet").select(col("doc_id").alias("doc"), (col("doc_id") % 10 != 0).alias("training"), "text")
@@ -335,7 +349,7 @@ def test_language_model_contexts_add_up_to_one(spark, small):
         m = language_model.learned(docs, scratch, with_pairs=True)
         uni, f = m.known.uni, m.known.frequent
         pairs = {(r["key"], r["doc"]): r["total"] for r in m.parts.filter("kind = 3").collect()}
-        pairs |= {tuple(map(int, divmod(c, f.start + 1))): int(n) for c, n in zip(m.known.pair_codes, m.known.pair_counts)}
+        pairs |= {tuple(map(int, divmod(c, f.start + 1))): int(n) for c, n in zip(m.known.pair_codes, m.known.pair_counts) if n}
         weights = {r["key"]: 10 ** r["weight"] for r in language_model.backoff_weights(m.contexts, m.discount, uni).collect()}
     count, after = Counter(), defaultdict(dict)
     for (h, x), n in pairs.items():
