@@ -41,14 +41,13 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _write(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Writes ``df`` and reads it again. Its shuffle files go once it is written, so a job needs the disk of its largest step, not of all steps."""
+    """Writes ``df`` and reads it again. Shuffle files go once a query has ended, so a job needs the disk of its largest step, not of all steps.
+
+    The setting stays on for the session, so queries that run side by side do not take it from each other.
+    """
     spark = df.sparkSession
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavelake.llm import tokens
-from stavelake.llm.common import table, written
+from stavelake.llm.common import Scratch, table, written
 
 
 @dataclass(frozen=True)
@@ -202,27 +202,27 @@ def scored(docs: DataFrame, labels: DataFrame, config: ClassifierConfig = CONFIG
     given = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
     given = given.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")
-    training = written(x.join(given, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("x", "y", fold), "training")
     out = [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out")]
-
-    at = training.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
-    if not at:
-        return x.select(*out, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
-    rng = np.random.default_rng(config.seed)
-    d = len(at)
-    scaler = Scaler(
-        np.array([r["m"] for r in at]),
-        np.array([max(r["s"], 1e-6) for r in at]),
-        rng.normal(size=(d, config.features)) / (config.bandwidth * np.sqrt(d)),
-        rng.uniform(0, 2 * np.pi, config.features),
-    )
-    sums = normal_equations(training, scaler)
-    whole = solve(sum(sums.values()), config.ridge)
-    folds = {k: solve(sums[1 - k], config.ridge) if 1 - k in sums else whole for k in (0, 1)}
-    # The calibration reads no more than the bins.
-    bin_of = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(config.bins - 1.0), (F.col("raw") + 0.5) * config.bins / 2)))
-    bins = _raw_scores(training, scaler, folds).groupBy(bin_of.alias("bin")).agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
-    xs, ys = isotonic(*(np.array([r[c] for r in bins], float) for c in ("raw", "y", "n")))
+    with Scratch(docs.sparkSession) as scratch:
+        training = scratch.written(x.join(given, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).select("x", "y", fold), "training")
+        at = training.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("i").collect()
+        if not at:
+            return x.select(*out, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+        rng = np.random.default_rng(config.seed)
+        d = len(at)
+        scaler = Scaler(
+            np.array([r["m"] for r in at]),
+            np.array([max(r["s"], 1e-6) for r in at]),
+            rng.normal(size=(d, config.features)) / (config.bandwidth * np.sqrt(d)),
+            rng.uniform(0, 2 * np.pi, config.features),
+        )
+        sums = normal_equations(training, scaler)
+        whole = solve(sum(sums.values()), config.ridge)
+        folds = {k: solve(sums[1 - k], config.ridge) if 1 - k in sums else whole for k in (0, 1)}
+        # The calibration reads no more than the bins.
+        bin_of = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(config.bins - 1.0), (F.col("raw") + 0.5) * config.bins / 2)))
+        bins = _raw_scores(training, scaler, folds).groupBy(bin_of.alias("bin")).agg(F.avg("raw").alias("raw"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
+        xs, ys = isotonic(*(np.array([r[c] for r in bins], float) for c in ("raw", "y", "n")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
