@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stavelake.llm.common import table, values_table, written
+from stavelake.llm.common import Scratch, table, values_table, written
 
 BINS = 65_536
 #: A cut may miss its quantile by this part of a shard's target.
@@ -96,8 +96,8 @@ def _cuts(points: DataFrame, open_nodes: dict[int, dict], slack: float) -> None:
         todo = left
 
 
-def kd_leaves(points: DataFrame, shards: int, n_dims: int) -> DataFrame:
-    """``points`` (keys, size, ...) with ``node``: the number of its leaf, 0 to shards - 1."""
+def kd_leaves(points: DataFrame, shards: int, n_dims: int, scratch: Scratch) -> DataFrame:
+    """``points`` (keys, size, ...) with ``node``: the number of its leaf, 0 to shards - 1. A level's table goes when the next is written."""
     points = points.withColumn("node", F.lit(0).cast("int"))
     worth = {0: (0, shards)}  # node -> first leaf, leaves
     open_nodes = {0} if shards > 1 else set()
@@ -135,7 +135,8 @@ def kd_leaves(points: DataFrame, shards: int, n_dims: int) -> DataFrame:
                 if size > 1:
                     still.add(child)
             splits.append((n, x["dim"], x["cut"], *children))
-        points = written(_assign(points, splits), "shard-level")
+        before, points = points, scratch.written(_assign(points, splits), "level")
+        scratch.drop(before)
         open_nodes = still
     return points
 
@@ -146,12 +147,13 @@ def shard_by_bytes(docs: DataFrame, shards: int | None = None, target_bytes: int
     Give the number of shards, or the bytes a shard should hold.
     """
     dims = dims or text_dimensions()
-    points = measured(docs, dims)
-    points = written(points.select("doc_id", "size", "text_crc32", F.array(*dims).alias("keys")), "shard-points")
-    if shards is None:
-        total = points.agg(F.sum("size")).first()[0] or 0
-        shards = max(1, round(total / target_bytes))
-    return kd_leaves(points, shards, len(dims)).select("doc_id", "size", "text_crc32", F.col("keys").alias("_keys"), F.col("node").alias("shard"))
+    with Scratch(docs.sparkSession) as scratch:
+        points = scratch.written(measured(docs, dims).select("doc_id", "size", "text_crc32", F.array(*dims).alias("keys")), "points")
+        if shards is None:
+            total = points.agg(F.sum("size")).first()[0] or 0
+            shards = max(1, round(total / target_bytes))
+        leaves = kd_leaves(points, shards, len(dims), scratch)
+        return written(leaves.select("doc_id", "size", "text_crc32", F.col("keys").alias("_keys"), F.col("node").alias("shard")), "shards")
 
 
 def with_slots(sharded: DataFrame) -> DataFrame:
