@@ -89,7 +89,7 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, tolerance: float =
         out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
         shares = scratch.written(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "links")
         if shares.isEmpty():
-            return start.select("host", "rank")
+            return written(start.select("host", "rank"), "rank")
         linked = scratch.written(out.select(F.col("src").alias("host"), none.alias("rank"), none.alias("before"), F.lit(True).alias("linked")), "linked")
         sums = lambda rows: scratch.written(rows.union(linked).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"), F.max("linked").alias("linked")), "rank")
         rank = sums(start)
@@ -116,17 +116,18 @@ def host_scores(ruled: DataFrame, edges: DataFrame) -> DataFrame:
     hosts = ruled.groupBy("host").agg(
         F.count_if(F.col("rule_verdict") == "allow").cast("double").alias("allowed"), F.count_if(F.col("rule_verdict") == "block").cast("double").alias("blocked")
     )
-    hosts = written(hosts, "hosts")
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = personalised_pagerank(edges, _seeds(hosts, "allowed")).withColumnRenamed("rank", "trust")
-    distrust = personalised_pagerank(against, _seeds(hosts, "blocked")).withColumnRenamed("rank", "distrust")
+    with Scratch(ruled.sparkSession) as scratch:
+        hosts, edges = scratch.written(hosts, "hosts"), scratch.written(edges, "edges")
+        against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+        trust = personalised_pagerank(edges, _seeds(hosts, "allowed")).withColumnRenamed("rank", "trust")
+        distrust = personalised_pagerank(against, _seeds(hosts, "blocked")).withColumnRenamed("rank", "distrust")
     return trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
 def judged_pages(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page."""
     ruled = written(ruled_pages(pages, rules), "pages")
-    scores = host_scores(ruled, written(host_edges(pages), "edges"))
+    scores = host_scores(ruled, host_edges(pages))
     trust, distrust = (F.coalesce(x, F.lit(0.0)) for x in ("trust", "distrust"))
     # Sums differ in their last digits with the order of their rows.
     blocked = distrust - trust > threshold + 1e-9 * F.greatest(trust, distrust)
