@@ -147,3 +147,15 @@ def titled(items: DataFrame, titles: DataFrame) -> DataFrame:
     missing = own.filter("_x0 is not null").join(first.select("doc_id"), "doc_id", "left_anti")
     put = missing.select("doc_id", F.lit(0).cast("long").alias("line_no"), "page", F.lit("title").alias("item_type"), F.col("_text").alias("text"), *[F.col(f"_{c}").alias(c) for c in BOX], F.lit("scoreTitle").alias("provenance"))
     return kept.unionByName(put)
+
+
+def line_summaries(glyphs: DataFrame) -> DataFrame:
+    """doc_id, page, line_no, box, mean_size and font of each line of glyphs: fonts are counted first, so no line's glyphs are gathered."""
+    line = (*PAGE, "line_no")
+    fonts = glyphs.groupBy(*line, "fontname").agg(
+        F.count("*").alias("n"), F.sum("size_pt").alias("size"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max(F.col("x0") + 6).alias("x1"), F.max(F.col("y0") + F.col("size_pt")).alias("y1")
+    )
+    out = fonts.groupBy(*line).agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.round(F.sum("size") / F.sum("n"), 6).alias("mean_size"), F.min_by("fontname", F.struct(-F.col("n"), F.col("fontname"))).alias("font")
+    )
+    return out.withColumn("line_no", F.col("line_no").cast("long"))

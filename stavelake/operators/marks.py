@@ -136,3 +136,22 @@ def paired_wedges(wedges: DataFrame, notes: DataFrame) -> DataFrame:
         F.when(F.col("before.placement") == "above", ABOVE_Y).alias("y"), end.alias("place"),
     )
     return kept.unionByName(closers)
+
+
+def valid_beams(beams: DataFrame, notes: DataFrame) -> DataFrame:
+    """The beams that stay: those of runs from a begin to an end over the notes of one layer, for each beam number by itself.
+
+    beams: a row per beam with its note, number (null: 1) and value (begin, continue, end, forward hook, backward hook); notes: the pitched leaders with staff and voice. A
+    note without a beam of the number ends a run, a begin starts another, and an end closes it; a hook needs a run as a continue does.
+    """
+    layer = (*MEASURE, "staff", "voice")
+    own = beams.withColumn("number", F.coalesce("number", F.lit(1)).cast("long")).groupBy(*NOTE, "number").agg(F.min_by("value", "beam_no").alias("value"))
+    placed = notes.select(*NOTE, "staff", "voice")
+    numbers = own.join(placed, list(NOTE)).select(*layer, "number").distinct()
+    rows = placed.join(numbers, list(layer)).join(own, [*NOTE, "number"], "left")
+    w = Window.partitionBy(*layer, "number").orderBy("seq")
+    new = F.col("value").isNull() | (F.col("value") == "begin") | F.coalesce(F.lag("value").over(w) == "end", F.lit(False))
+    rows = rows.withColumn("_run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*layer, "number", "_run").orderBy("seq")
+    whole = (F.first("value").over(run) == "begin") & (F.last("value").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == "end")
+    return rows.withColumn("_whole", whole).filter("value is not null and _whole").select(*NOTE, "number", "value")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stavelake.operators.marks import let
 from stavelake.operators.timeline import MEASURE, following, leader, preceding, upto, whole
 
 #: Order of groups without a play order in a layer that has some.
@@ -82,3 +83,56 @@ def rebuilt(elements: DataFrame, directions: DataFrame) -> DataFrame:
     out = out.unionByName(as_row(opening, "direction", 0, zero, F.col("place"), mark=F.col("mark")))
     w = Window.partitionBy(*MEASURE).orderBy("staff", "voice", "_part", *keys, "_side", "_place", "mark")
     return out.withColumn("seq", F.row_number().over(w).cast("long")).select(*MEASURE, "seq", "kind", "staff", "voice", "duration", "was", "mark")
+
+
+def repaired_backups(elements: DataFrame) -> DataFrame:
+    """(measure, seq, duration) of every backup after two repairs.
+
+    One that is followed by a forward goes back by what the notes right before it last, those of one layer. Then, where all notes of staff 1 come before those of
+    staff 2, the first backup between them goes back to the start of the measure: by how far a cursor for each voice gets on staff 1, where a
+    backup moves all of them and a forward the one that it names.
+    """
+    w = Window.partitionBy(*MEASURE).orderBy("seq")
+    note = F.col("kind") == "note"
+    same = note & (F.lag("kind").over(w) == "note") & (F.lag("staff").over(w) == F.col("staff")) & (F.lag("voice").over(w) == F.col("voice"))
+    rows = elements.withColumn("_run", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(upto(w)))
+    run = Window.partitionBy(*MEASURE, "_run").orderBy("seq")
+    starts = note & (F.col("is_grace") == 0) & ((F.col("is_chord") == 0) | (F.row_number().over(run) == 1))
+    rows = rows.withColumn("_d", F.when(starts, F.col("duration")).otherwise(0)).withColumn("_sum", F.sum("_d").over(upto(run)))
+    before = F.when(F.lag("kind").over(w) == "note", F.lag("_sum").over(w))
+    after = F.first(F.when(F.col("kind").isin("note", "forward"), F.col("kind")), ignorenulls=True).over(following(w))
+    stale = (F.col("kind") == "backup") & (after == "forward") & (before > 0)
+    rows = rows.withColumn("_fixed", F.when(stale, before).otherwise(F.col("duration")))
+    per = rows.groupBy(*MEASURE).agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "staff", "voice", F.col("_fixed").alias("duration"), "is_chord", "is_grace"))).alias("g"))
+    start = F.struct(F.array().cast("array<struct<voice:bigint,staff:bigint,at:bigint>>").alias("cursors"), F.lit(0).cast("long").alias("reach"))
+
+    def step(acc: Column, x: Column) -> Column:
+        own = F.filter(acc["cursors"], lambda c: (c["voice"] == x["voice"]) & (c["staff"] == x["staff"]))
+        others = F.filter(acc["cursors"], lambda c: ~((c["voice"] == x["voice"]) & (c["staff"] == x["staff"])))
+        at = F.coalesce(F.get(own, F.lit(0))["at"], F.lit(0)) + x["duration"]
+        moved = let(at, lambda t: F.struct(F.concat(others, F.array(F.struct(x["voice"].alias("voice"), x["staff"].alias("staff"), t.alias("at")))).alias("cursors"), F.when(x["staff"] == 1, F.greatest(acc["reach"], t)).otherwise(acc["reach"]).alias("reach")))
+        back = F.struct(F.transform(acc["cursors"], lambda c: F.struct(c["voice"].alias("voice"), c["staff"].alias("staff"), F.greatest(F.lit(0), c["at"] - x["duration"]).cast("long").alias("at"))).alias("cursors"), acc["reach"].alias("reach"))
+        moves = (x["kind"] == "forward") | ((x["kind"] == "note") & (x["is_chord"] == 0) & (x["is_grace"] == 0))
+        return F.when(x["kind"] == "backup", back).when(moves, moved).otherwise(acc)
+
+    timed = lambda staff: F.transform(F.filter("g", lambda x: (x["kind"] == "note") & (x["is_grace"] == 0) & (x["staff"] == staff)), lambda x: x["seq"])
+    per = per.select(*MEASURE, "g", F.aggregate("g", start, step, lambda acc: acc["reach"]).alias("reach"), F.array_max(timed(1)).alias("lo"), F.array_min(timed(2)).alias("hi"))
+    first = F.array_min(F.transform(F.filter("g", lambda x: (x["kind"] == "backup") & (x["seq"] > F.col("lo"))), lambda x: x["seq"]))
+    out = per.select(*MEASURE, "reach", "hi", first.alias("first"), F.inline(F.filter("g", lambda x: x["kind"] == "backup")))
+    aligned = F.coalesce((F.col("reach") > 0) & (F.col("seq") == F.col("first")) & (F.col("seq") < F.col("hi")), F.lit(False))
+    return out.select(*MEASURE, "seq", F.when(aligned, F.col("reach")).otherwise(F.col("duration")).alias("duration"))
+
+
+def synced_syllables(target: DataFrame, reference: DataFrame) -> DataFrame:
+    """score_id, place, measure_no, source, from_measure and from_seq of the syllables that the target part gets.
+
+    Both: a syllable per row with measure_no and seq. The target's take the places of the reference's, one for one; places beyond them keep the reference's own,
+    and what has no place goes to the last measure.
+    """
+    w = Window.partitionBy("score_id").orderBy("measure_no", "seq")
+    numbered = lambda df, p: df.select("score_id", F.row_number().over(w).cast("long").alias("place"), F.col("measure_no").alias(f"{p}_measure"), F.col("seq").alias(f"{p}_seq"))
+    own, ref = numbered(target, "t"), numbered(reference, "r")
+    last = ref.groupBy("score_id").agg(F.max("r_measure").alias("last"))
+    both = ref.join(own, ["score_id", "place"], "full").join(last, "score_id")
+    source = F.when(F.col("t_seq").isNull(), "reference").otherwise("target")
+    return both.select("score_id", "place", F.coalesce("r_measure", "last").alias("measure_no"), source.alias("source"), F.coalesce("t_measure", "r_measure").alias("from_measure"), F.coalesce("t_seq", "r_seq").alias("from_seq"))

@@ -1,6 +1,6 @@
 """The score tables as views over the driver's tables, for Spark and as SQL for the oracle.
 
-se: score elements (orders are measures, line items their elements); me: measures; sl: slur marks; wd: wedges; ti: text items (document lines); gl: glyphs;
+se: score elements (orders are measures, line items their elements); me: measures; sl: slur marks; wd: wedges; bm: beams; ti: text items (document lines); gl: glyphs;
 it, tt: items with boxes that may lack, and titles; ink, sy: rows of system images; fx: the correction log; je: job events; ss: sessions; doc, conv: documents and conversations.
 """
 
@@ -79,6 +79,12 @@ SELECT score_id, part_no, measure_no, seq, k AS mark_no, staff, CASE (x * 7 + mi
 FROM (SELECT *, CAST(1 AS BIGINT) AS k FROM se UNION ALL SELECT *, 2 FROM se WHERE midi % 2 = 0 UNION ALL SELECT *, 3 FROM se WHERE midi % 6 = 0) e
 WHERE kind = 'note' AND (x * 7 + midi * 3 + seq * 5 + k * 11) % 4 < 2"""
 
+#: Beams of the pitched leaders: the first number follows the note's beam, a second one is there for short notes.
+BEAMS = """
+SELECT score_id, part_no, measure_no, seq, 1 AS beam_no, CASE WHEN x % 5 > 0 THEN 1 END AS number,
+  CASE beam WHEN 1 THEN 'begin' WHEN 3 THEN 'end' ELSE CASE x % 7 WHEN 0 THEN 'forward hook' WHEN 1 THEN 'backward hook' ELSE 'continue' END END AS value FROM se WHERE kind = 'note' AND is_chord = 0 AND is_rest = 0 AND beam > 0
+UNION ALL SELECT score_id, part_no, measure_no, seq, 2, 2, CASE midi % 4 WHEN 0 THEN 'begin' WHEN 1 THEN 'end' WHEN 2 THEN 'continue' ELSE 'backward hook' END FROM se WHERE kind = 'note' AND is_chord = 0 AND is_rest = 0 AND duration < 6"""
+
 #: Wedges as directions before an element; place orders them among the measure's elements.
 WEDGES = """
 SELECT score_id, part_no, measure_no, staff, seq, CASE wedge WHEN 1 THEN 'stop' ELSE CASE midi % 2 WHEN 0 THEN 'crescendo' ELSE 'diminuendo' END END AS type,
@@ -111,8 +117,8 @@ FROM (SELECT DISTINCT score_id FROM me) s LEFT JOIN (SELECT CAST(floor(job_id /
 LEFT JOIN (SELECT x.score_id, count(CASE WHEN y.at IS NULL OR x.ts > y.at THEN 1 END) AS pending, count(CASE WHEN x.ts <= y.at THEN 1 END) AS before
   FROM fx x LEFT JOIN (SELECT CAST(floor(job_id / 10) AS BIGINT) AS score_id, max(ts) AS at FROM je WHERE status = 'completed' GROUP BY floor(job_id / 10)) y ON y.score_id = x.score_id GROUP BY x.score_id) f ON f.score_id = s.score_id"""
 
-VIEWS = {"me": MEASURES, "se": ELEMENTS, "lines_v": LINES_DUCK, "ti": TEXT_ITEMS, "gl": GLYPHS, "fx": FIXES, "je": JOBS, "sl": SLURS, "wd": WEDGES, "ink": INK, "sy": SYSTEMS, "it": ITEMS, "tt": TITLES, "ss": SESSIONS}
-NEEDS = {"se": ["me"], "sl": ["se"], "wd": ["se"], "it": ["ti"], "tt": ["ti"], "ss": ["me", "je", "fx"], "ti": ["lines_v"]}
+VIEWS = {"me": MEASURES, "se": ELEMENTS, "lines_v": LINES_DUCK, "ti": TEXT_ITEMS, "gl": GLYPHS, "fx": FIXES, "je": JOBS, "sl": SLURS, "wd": WEDGES, "bm": BEAMS, "ink": INK, "sy": SYSTEMS, "it": ITEMS, "tt": TITLES, "ss": SESSIONS}
+NEEDS = {"se": ["me"], "sl": ["se"], "wd": ["se"], "bm": ["se"], "it": ["ti"], "tt": ["ti"], "ss": ["me", "je", "fx"], "ti": ["lines_v"]}
 
 
 def with_bindings(sql: str) -> str:
@@ -169,6 +175,10 @@ class Bindings:
     def wd(self) -> DataFrame:
         return self.sql(WEDGES, se=self.se)
 
+    @functools.cached_property
+    def bm(self) -> DataFrame:
+        return self.sql(BEAMS, se=self.se)
+
     @functools.cached_property
     def ink(self) -> DataFrame:
         return self.sql(INK, lineitem=self.table("lineitem"))

@@ -241,3 +241,15 @@ UNION ALL SELECT doc_id, 0, page, 'title', title, tx0, ty0, tx1, ty1, 'scoreTitl
 )
 def title_apply(b):
     return Y.titled(b.it, b.tt)
+
+
+@query(
+    "line_fonts",
+    """WITH l AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, glyph_no) AS line_no FROM (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, glyph_no) <= 4 THEN 0 ELSE 1 END AS new FROM gl)),
+c AS (SELECT doc_id, page, line_no, fontname, count(*) AS n FROM l GROUP BY ALL)
+SELECT l.doc_id, l.page, CAST(l.line_no AS BIGINT) AS line_no, min(x0) AS x0, min(y0) AS y0, max(x0 + 6) AS x1, max(y0 + size_pt) AS y1, round(avg(size_pt), 6) AS mean_size, any_value(f.fontname) AS font
+FROM l JOIN (SELECT doc_id, page, line_no, fontname FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, page, line_no ORDER BY n DESC, fontname) = 1) f USING (doc_id, page, line_no) GROUP BY l.doc_id, l.page, l.line_no""",
+)
+def line_fonts(b):
+    """Box, mean size and most frequent font of each line; of equally frequent ones the first by name."""
+    return Y.line_summaries(Y.line_clusters_by_gap(b.gl))

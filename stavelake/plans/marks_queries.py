@@ -63,3 +63,22 @@ UNION ALL SELECT {P}, open_measure, staff, NULL, 'stop', open_number, open_place
 )
 def wedge_pairs(b):
     return marks.paired_wedges(b.wd, b.se.filter("kind = 'note'"))
+
+
+# Each layer and number is followed note by note; a run's beams stay if it ends.
+@query(
+    "beam_numbers",
+    f"""WITH RECURSIVE n AS (SELECT {M}, seq, staff, voice FROM se WHERE kind = 'note' AND is_chord = 0 AND is_rest = 0),
+o AS (SELECT {M}, seq, coalesce(number, 1) AS number, arg_min(value, beam_no) AS value FROM bm GROUP BY {M}, seq, coalesce(number, 1)),
+k AS (SELECT DISTINCT {M}, staff, voice, number FROM o JOIN n USING ({M}, seq)),
+s AS MATERIALIZED (SELECT {M}, n.seq, staff, voice, number, value, row_number() OVER (PARTITION BY {M}, staff, voice, number ORDER BY seq) AS i FROM n JOIN k USING ({M}, staff, voice) LEFT JOIN o USING ({M}, seq, number)),
+f AS (SELECT {M}, staff, voice, number, i, CASE WHEN value = 'begin' THEN [seq] ELSE CAST([] AS BIGINT[]) END AS open, CAST([] AS BIGINT[]) AS done FROM s WHERE i = 1
+  UNION ALL SELECT s.score_id, s.part_no, s.measure_no, s.staff, s.voice, s.number, s.i,
+    CASE WHEN s.value = 'begin' THEN [s.seq] WHEN s.value IS NULL OR s.value = 'end' OR len(f.open) = 0 THEN CAST([] AS BIGINT[]) ELSE list_append(f.open, s.seq) END,
+    CASE WHEN s.value = 'end' AND len(f.open) > 0 THEN list_concat(f.done, list_append(f.open, s.seq)) ELSE f.done END
+  FROM f JOIN s ON s.score_id = f.score_id AND s.part_no = f.part_no AND s.measure_no = f.measure_no AND s.staff = f.staff AND s.voice = f.voice AND s.number = f.number AND s.i = f.i + 1),
+l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY {M}, staff, voice, number ORDER BY i DESC) = 1)
+SELECT {M}, seq, number, value FROM s JOIN l USING ({M}, staff, voice, number) WHERE list_contains(done, seq)""",
+)
+def beam_numbers(b):
+    return marks.valid_beams(b.bm, b.se.filter("kind = 'note' and is_chord = 0 and is_rest = 0"))

@@ -123,3 +123,43 @@ def test_wedges_equal_a_fold_over_the_part(spark, seed):
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(((r["measure_no"], r["staff"], r["seq"], r["type"], r["number"], r["placement"], r["place"]) for r in got), key=key) == sorted(plain_wedges(rows, notes), key=key)
     assert all(r["y"] == (25 if r["placement"] == "above" else None) for r in got)
+
+
+def plain_beams(notes, beams):
+    """{(measure, seq, number)} of the beams that stay: runs are followed and taken off when they break."""
+    own = {}
+    for _, _, m, seq, no, number, value in sorted(beams, key=lambda b: b[4]):
+        own.setdefault((m, seq, number or 1), value)
+    kept = set(own)
+    for layer in {(n[2], n[4], n[5]) for n in notes}:
+        line = sorted(n[3] for n in notes if (n[2], n[4], n[5]) == layer)
+        for number in {k[2] for k in own if k[0] == layer[0] and k[1] in line}:
+            run = []
+            drop = lambda seqs: kept.difference_update({(layer[0], s, number) for s in seqs})
+            for seq in line:
+                value = own.get((layer[0], seq, number))
+                if value is None or value == "begin":
+                    drop(run)
+                    run = [seq] if value else []
+                elif not run:
+                    drop([seq])
+                else:
+                    run = run + [seq] if value != "end" else []
+            drop(run)
+    return kept
+
+
+def test_beams_by_number_equal_runs_that_are_followed(spark):
+    rng = random.Random(6)
+    notes, beams = [], []
+    for m in range(1, 30):
+        for seq in range(1, rng.randint(2, 10)):
+            notes.append((1, 1, m, seq, rng.choice([1, 1, 1, 2]), 1))
+            for no, number in enumerate(rng.sample([None, 2, 3], rng.randint(1, 3))):
+                beams.append((1, 1, m, seq, no, number, rng.choice(["begin", "begin", "continue", "end", "end", "backward hook"])))
+    got = marks.valid_beams(
+        spark.createDataFrame(beams, "score_id long, part_no long, measure_no long, seq long, beam_no int, number long, value string").repartition(3),
+        spark.createDataFrame(notes, "score_id long, part_no long, measure_no long, seq long, staff long, voice long"),
+    ).collect()
+    assert len(got) == len({(r["measure_no"], r["seq"], r["number"]) for r in got}) > 20
+    assert {(r["measure_no"], r["seq"], r["number"]) for r in got} == plain_beams(notes, beams)
