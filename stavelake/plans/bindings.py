@@ -1,7 +1,7 @@
 """The score tables as views over the driver's tables, for Spark and as SQL for the oracle.
 
-se: score elements (orders are measures, line items their elements); me: measures; sl: slur marks; wd: wedges; bm: beams; ti: text items (document lines); gl: glyphs;
-it, tt: items with boxes that may lack, and titles; ink, sy: rows of system images; fx: the correction log; je: job events; ss: sessions; doc, conv: documents and conversations.
+se: score elements (orders are measures, line items their elements); me: measures; sl: slur marks; wd: wedges; be: beams; ti: text items (document lines); gl: glyphs;
+it, tt: items with boxes that may lack, and titles; rv: review rows; ink, sy: rows of system images; fx: the correction log; je: job events; ss: sessions; doc, conv: documents and conversations.
 """
 
 from __future__ import annotations
@@ -105,6 +105,13 @@ ITEMS = """
 SELECT doc_id, line_no, page, item_type, text, doc_id % 13 = 0 AND line_no % 7 = 0 AS user_set, CASE WHEN line_no % 4 > 0 THEN x0 END AS x0, CASE WHEN line_no % 4 > 0 THEN y0 END AS y0,
   CASE WHEN line_no % 4 > 0 THEN x1 END AS x1, CASE WHEN line_no % 4 > 0 THEN y1 END AS y1 FROM ti"""
 
+#: Review rows: of most documents only lyrics and numbers as they were found, of some with roles, places and masks of a user.
+REVIEW = """
+SELECT doc_id, line_no, CASE WHEN line_no % 9 = 1 THEN 'page_number' WHEN doc_id % 7 = 0 AND line_no % 31 = 5 THEN '_manual_lyric_mask' WHEN doc_id % 5 = 0 AND line_no % 17 = 3 THEN 'unknown' WHEN doc_id % 11 = 0 AND line_no % 13 = 2 THEN item_type
+    WHEN line_no % 23 = 0 THEN NULL ELSE 'lyrics' END AS item_type,
+  doc_id % 2 = 0 AND line_no % 17 = 3 AS user_set, CASE WHEN doc_id % 13 = 0 THEN 1 + line_no % 3 END AS part_index, CASE WHEN doc_id % 17 = 0 THEN 1 + line_no % 2 ELSE 1 END AS verse_index, CASE WHEN doc_id % 19 = 0 AND line_no % 7 = 6 THEN 2 END AS skip_notes,
+  CASE WHEN doc_id % 23 = 0 AND line_no % 5 = 4 THEN ' 2 ' WHEN line_no % 3 = 0 THEN '1' END AS voice, CASE WHEN doc_id % 29 = 0 AND line_no % 8 = 7 THEN array(line_no) ELSE array() END AS rects FROM ti"""
+
 TITLES = """
 SELECT doc_id, 2 AS page, text, CASE WHEN doc_id % 3 > 0 THEN x0 + doc_id % 5 * 30 END AS x0, CASE WHEN doc_id % 3 > 0 THEN y0 + doc_id % 4 END AS y0, CASE WHEN doc_id % 3 > 0 THEN x1 + doc_id % 5 * 30 END AS x1, CASE WHEN doc_id % 3 > 0 THEN y1 + doc_id % 4 END AS y1
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM ti WHERE page = 2) t WHERE n = 1"""
@@ -117,8 +124,8 @@ FROM (SELECT DISTINCT score_id FROM me) s LEFT JOIN (SELECT CAST(floor(job_id /
 LEFT JOIN (SELECT x.score_id, count(CASE WHEN y.at IS NULL OR x.ts > y.at THEN 1 END) AS pending, count(CASE WHEN x.ts <= y.at THEN 1 END) AS before
   FROM fx x LEFT JOIN (SELECT CAST(floor(job_id / 10) AS BIGINT) AS score_id, max(ts) AS at FROM je WHERE status = 'completed' GROUP BY floor(job_id / 10)) y ON y.score_id = x.score_id GROUP BY x.score_id) f ON f.score_id = s.score_id"""
 
-VIEWS = {"me": MEASURES, "se": ELEMENTS, "lines_v": LINES_DUCK, "ti": TEXT_ITEMS, "gl": GLYPHS, "fx": FIXES, "je": JOBS, "sl": SLURS, "wd": WEDGES, "bm": BEAMS, "ink": INK, "sy": SYSTEMS, "it": ITEMS, "tt": TITLES, "ss": SESSIONS}
-NEEDS = {"se": ["me"], "sl": ["se"], "wd": ["se"], "bm": ["se"], "it": ["ti"], "tt": ["ti"], "ss": ["me", "je", "fx"], "ti": ["lines_v"]}
+VIEWS = {"me": MEASURES, "se": ELEMENTS, "lines_v": LINES_DUCK, "ti": TEXT_ITEMS, "gl": GLYPHS, "fx": FIXES, "je": JOBS, "sl": SLURS, "wd": WEDGES, "be": BEAMS, "ink": INK, "sy": SYSTEMS, "it": ITEMS, "rv": REVIEW.replace("array(line_no)", "[line_no]").replace("array()", "[]"), "tt": TITLES, "ss": SESSIONS}
+NEEDS = {"se": ["me"], "sl": ["se"], "wd": ["se"], "be": ["se"], "it": ["ti"], "rv": ["ti"], "tt": ["ti"], "ss": ["me", "je", "fx"], "ti": ["lines_v"]}
 
 
 def with_bindings(sql: str) -> str:
@@ -176,7 +183,7 @@ class Bindings:
         return self.sql(WEDGES, se=self.se)
 
     @functools.cached_property
-    def bm(self) -> DataFrame:
+    def be(self) -> DataFrame:
         return self.sql(BEAMS, se=self.se)
 
     @functools.cached_property
@@ -191,6 +198,10 @@ class Bindings:
     def it(self) -> DataFrame:
         return self.sql(ITEMS, ti=self.ti)
 
+    @functools.cached_property
+    def rv(self) -> DataFrame:
+        return self.sql(REVIEW, ti=self.ti)
+
     @functools.cached_property
     def tt(self) -> DataFrame:
         return self.sql(TITLES, ti=self.ti)

@@ -139,6 +139,20 @@ def match_greedy(b):
     return Y.greedy_matches(page_pairs(b.ti))
 
 
+@query(
+    "match_stats",
+    f"""WITH {SCORE} SELECT t.doc_id, count(m.line_no) AS matched, count(*) FILTER (m.line_no IS NULL AND u.bline_no IS NULL) AS left_only, count(*) FILTER (m.line_no IS NULL AND u.bline_no IS NOT NULL) AS taken
+    FROM ti t LEFT JOIN best m ON m.doc_id = t.doc_id AND m.line_no = t.line_no LEFT JOIN best u ON u.doc_id = t.doc_id AND u.bline_no = t.line_no GROUP BY t.doc_id""",
+)
+def match_stats(b):
+    """Lines with a match, lines that are only another's match, and lines that stand alone, by the matching itself."""
+    best = Y.best_matches(page_pairs(b.ti)).select("doc_id", "line_no", "bline_no")
+    lines = b.ti.select("doc_id", "line_no").join(best.select("doc_id", "line_no", F.lit(True).alias("own")), ["doc_id", "line_no"], "left")
+    lines = lines.join(best.select("doc_id", F.col("bline_no").alias("line_no"), F.lit(True).alias("used")), ["doc_id", "line_no"], "left")
+    alone = F.col("own").isNull() & F.col("used").isNull()
+    return lines.groupBy("doc_id").agg(F.count("own").alias("matched"), F.count_if(alone).alias("left_only"), F.count_if(F.col("own").isNull() & F.col("used").isNotNull()).alias("taken"))
+
+
 @query("match_unmatched", f"WITH {SCORE} SELECT t.doc_id, t.line_no, 'right_only' AS provenance FROM ti t WHERE item_type <> 'page_number' AND NOT EXISTS (SELECT 1 FROM best m WHERE m.doc_id = t.doc_id AND m.bline_no = t.line_no)")
 def match_unmatched(b):
     used = Y.best_matches(page_pairs(b.ti)).select("doc_id", F.col("bline_no").alias("line_no"))

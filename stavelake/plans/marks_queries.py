@@ -69,7 +69,7 @@ def wedge_pairs(b):
 @query(
     "beam_numbers",
     f"""WITH RECURSIVE n AS (SELECT {M}, seq, staff, voice FROM se WHERE kind = 'note' AND is_chord = 0 AND is_rest = 0),
-o AS (SELECT {M}, seq, coalesce(number, 1) AS number, arg_min(value, beam_no) AS value FROM bm GROUP BY {M}, seq, coalesce(number, 1)),
+o AS (SELECT {M}, seq, coalesce(number, 1) AS number, arg_min(value, beam_no) AS value FROM be GROUP BY {M}, seq, coalesce(number, 1)),
 k AS (SELECT DISTINCT {M}, staff, voice, number FROM o JOIN n USING ({M}, seq)),
 s AS MATERIALIZED (SELECT {M}, n.seq, staff, voice, number, value, row_number() OVER (PARTITION BY {M}, staff, voice, number ORDER BY seq) AS i FROM n JOIN k USING ({M}, staff, voice) LEFT JOIN o USING ({M}, seq, number)),
 f AS (SELECT {M}, staff, voice, number, i, CASE WHEN value = 'begin' THEN [seq] ELSE CAST([] AS BIGINT[]) END AS open, CAST([] AS BIGINT[]) AS done FROM s WHERE i = 1
@@ -81,4 +81,4 @@ l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY {M}, staff, voice,
 SELECT {M}, seq, number, value FROM s JOIN l USING ({M}, staff, voice, number) WHERE list_contains(done, seq)""",
 )
 def beam_numbers(b):
-    return marks.valid_beams(b.bm, b.se.filter("kind = 'note' and is_chord = 0 and is_rest = 0"))
+    return marks.valid_beams(b.be, b.se.filter("kind = 'note' and is_chord = 0 and is_rest = 0"))

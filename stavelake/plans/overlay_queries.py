@@ -46,6 +46,21 @@ def fix_type(b):
     return overlay.apply_types(b.se, b.fx).select(*L.MEASURE, "seq", "duration", "type")
 
 
+FULL = f"SELECT score_id, count(*) FILTER (total <> cap) AS bad FROM (SELECT {M}, voice, greatest(1, any_value(beats) * 4) AS cap, sum(duration) AS total FROM {{}} WHERE kind = 'note' AND is_chord = 0 AND is_grace = 0 AND implicit = 0 GROUP BY {M}, voice) GROUP BY score_id"
+
+
+@query(
+    "regression_flag",
+    f"""WITH e AS (SELECT *, {LEAD} AS lead_seq FROM se), a AS (SELECT e.* REPLACE (coalesce(n, duration) AS duration) FROM e LEFT JOIN (SELECT {M}, seq AS lead_seq, arg_max(arg, fix_id) AS n FROM fx WHERE kind = 'setNoteType' GROUP BY {M}, seq) t USING ({M}, lead_seq))
+    SELECT score_id, b.bad AS bad_before, c.bad AS bad_after, c.bad > b.bad AS worse FROM ({FULL.format("se")}) b JOIN ({FULL.format("a")}) c USING (score_id)""",
+)
+def regression_flag(b):
+    """Voices that do not fill their measure before and after the corrections of note types; a score that has more of them afterwards is flagged."""
+    bad = lambda rows, name: L.measure_fullness(rows).groupBy("score_id").agg(F.count_if(F.col("state") != "full").alias(name))
+    both = bad(b.se, "bad_before").join(bad(overlay.apply_types(b.se, b.fx), "bad_after"), "score_id")
+    return both.select("score_id", "bad_before", "bad_after", (F.col("bad_after") > F.col("bad_before")).alias("worse"))
+
+
 @query("fix_delete", f"SELECT {M}, seq, kind FROM se e WHERE NOT (kind = 'note' AND EXISTS (SELECT 1 FROM fx f WHERE f.kind = 'removeNote' AND f.score_id = e.score_id AND f.part_no = e.part_no AND f.measure_no = e.measure_no AND f.seq = e.seq))")
 def fix_delete(b):
     return overlay.apply_deletes(b.se, b.fx).select(*L.MEASURE, "seq", "kind")

@@ -399,14 +399,6 @@ def score_diff(b):
     return both.select("score_id", "measure_no", "midi", (F.coalesce("n1", F.lit(0)) - F.coalesce("n2", F.lit(0))).alias("difference")).filter("difference <> 0")
 
 
-@query("regression_flag", f"WITH a AS (SELECT score_id, count(*) AS bad_before FROM se WHERE kind = 'note' AND duration > 6 GROUP BY score_id), c AS (SELECT score_id, count(*) AS bad_after FROM se WHERE kind = 'note' AND duration > 5 AND is_chord = 0 GROUP BY score_id) SELECT score_id, coalesce(bad_before, 0) AS bad_before, coalesce(bad_after, 0) AS bad_after, coalesce(bad_after, 0) > coalesce(bad_before, 0) AS worse FROM a FULL JOIN c USING (score_id)")
-def regression_flag(b):
-    before = notes(b).filter("duration > 6").groupBy("score_id").agg(F.count("*").alias("bad_before"))
-    after = notes(b).filter("duration > 5 and is_chord = 0").groupBy("score_id").agg(F.count("*").alias("bad_after"))
-    both = before.join(after, "score_id", "full").fillna(0)
-    return both.select("score_id", "bad_before", "bad_after", (F.col("bad_after") > F.col("bad_before")).alias("worse"))
-
-
 @query("spot_check", "SELECT e.measure_no, e.part_no, s.score_id, concat_ws(',', CASE WHEN s.tuplets = 0 THEN 'noTuplet' END, CASE WHEN s.quarters > 2 THEN 'manyQuarters' END) AS codes FROM (VALUES (1, 1), (2, 3), (4, 2)) AS e(measure_no, part_no) LEFT JOIN (SELECT score_id, part_no, measure_no, count(*) FILTER (tuplet IS NOT NULL) AS tuplets, count(*) FILTER (type = 'quarter') AS quarters FROM se GROUP BY ALL) s ON s.measure_no = e.measure_no AND s.part_no = e.part_no")
 def spot_check(b):
     spots = b.spark.sql("SELECT * FROM VALUES (1, 1), (2, 3), (4, 2) AS t(measure_no, part_no)")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stavelake.functions import text as T
+from stavelake.operators import review
 from stavelake.plans.registry import query
 
 PUA = "\U000f0000"
@@ -135,11 +136,9 @@ def resolve_type(b):
     return b.ti.select("doc_id", "line_no", kind.alias("kind"))
 
 
-@query("default_role", "SELECT doc_id, line_no, CASE WHEN item_type = 'unknown' AND doc_id % 3 <> 0 THEN 'lyrics' ELSE item_type END AS role, concat('item-', CAST(doc_id AS VARCHAR), '-', CAST(line_no AS VARCHAR)) AS item_id FROM ti")
+@query("default_role", "SELECT doc_id, line_no, CASE WHEN coalesce(item_type, '') IN ('', 'unknown') AND NOT (coalesce(item_type, '') = 'unknown' AND user_set) THEN 'lyrics' ELSE item_type END AS role, concat('item-', CAST(doc_id AS VARCHAR), '-', CAST(line_no AS VARCHAR)) AS item_id FROM rv")
 def default_role(b):
-    by_user = F.col("doc_id") % 3 == 0
-    role = F.when(F.col("item_type").isin("", "unknown") & ~by_user, "lyrics").otherwise(F.col("item_type"))
-    return b.ti.select("doc_id", "line_no", role.alias("role"), F.concat_ws("-", F.lit("item"), F.col("doc_id").cast("string"), F.col("line_no").cast("string")).alias("item_id"))
+    return b.rv.select("doc_id", "line_no", review.default_role().alias("role"), F.concat_ws("-", F.lit("item"), F.col("doc_id").cast("string"), F.col("line_no").cast("string")).alias("item_id"))
 
 
 CLASS_SQL = r"CASE WHEN regexp_full_match(ch, '[♩-♯]') THEN 'music' WHEN regexp_full_match(ch, '[가-힣]') THEN 'hangul' WHEN ch = '=' THEN 'keep' WHEN regexp_full_match(ch, '[\p{L}\p{Nd}\p{No}\p{Nl}\p{Zs}\p{P}]') THEN 'strippable' ELSE 'other' END"
@@ -254,9 +253,13 @@ def source_priority(b):
     return b.ti.withColumns({"review": is_review, "any": any_review}).filter(~F.col("item_type").isin("page_number", "unknown")).filter(~F.col("any") | F.col("review") | (F.col("item_type") == "title")).select("doc_id", "line_no", "item_type")
 
 
-@query("has_user_edits", "SELECT doc_id, bool_or(item_type = 'tempo' AND line_no % 5 = 0) AS edited FROM ti GROUP BY doc_id")
+@query(
+    "has_user_edits",
+    """SELECT doc_id, coalesce(bool_or(item_type = '_manual_lyric_mask' OR (item_type = 'unknown' AND user_set) OR (coalesce(item_type, '') NOT IN ('', 'lyrics', 'measure_number', 'page_number'))
+      OR (coalesce(item_type, '') IN ('', 'lyrics') AND (part_index > 1 OR verse_index > 1 OR skip_notes > 0 OR coalesce(trim(voice), '') NOT IN ('', '1') OR len(rects) > 0))), false) AS edited FROM rv GROUP BY doc_id""",
+)
 def has_user_edits(b):
-    return b.ti.groupBy("doc_id").agg(F.bool_or((F.col("item_type") == "tempo") & (F.col("line_no") % 5 == 0)).alias("edited"))
+    return review.edited(b.rv)
 
 
 @query("manifest_partition", "SELECT doc_id, count(*) FILTER (line_no % 10 = 3) AS masks, count(*) FILTER (line_no % 10 <> 3) AS items, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 + doc_id % 2 END AS version FROM ti GROUP BY doc_id")
@@ -277,12 +280,6 @@ def manifest_partition(b):
     return parsed.select("doc_id", "version", count(lambda x: x["type"] == "_manual_lyric_mask").alias("masks"), count(lambda x: x["type"] != "_manual_lyric_mask").alias("items"))
 
 
-@query("match_stats", "SELECT doc_id, count(*) FILTER (line_no % 3 = 0) AS matched, count(*) FILTER (line_no % 3 = 1) AS left_only, count(*) FILTER (line_no % 3 = 2) AS right_only FROM ti GROUP BY doc_id")
-def match_stats(b):
-    source = F.element_at(F.array(F.lit("matched"), F.lit("left_only"), F.lit("right_only")), (F.col("line_no") % 3 + 1).cast("int"))
-    return b.ti.withColumn("provenance", source).groupBy("doc_id").agg(*[F.count_if(F.col("provenance") == p).alias(p) for p in ("matched", "left_only", "right_only")])
-
-
 @query("lyric_streams", f"SELECT doc_id, 1 + line_no % 3 AS part_no, least(greatest(line_no % 40, 1), 32) AS verse, count(*) AS n, md5(string_agg(text, ' ' ORDER BY w, y0, x0, line_no)) AS digest FROM (SELECT *, {WAVE_SQL} AS w FROM ti WHERE item_type = 'lyrics') GROUP BY ALL")
 def lyric_streams(b):
     stream = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wave", "y0", "x0", "line_no", "text"))), lambda s: s["text"]), " ")
