@@ -46,8 +46,9 @@ def test_url_filter_long_pages_and_rules_of_equal_length(spark):
     link = '<a href="http://bad.example.com/x">b</a> '
     rows = [(0, "http://long.example.net/a", "word " * 200_000 + link, "h", 1), (1, "http://bad.example.com/de/1", None, "h", 2), (1, "http://bad.example.com/de/1", None, "h", 2), (2, "http://a.b.org/xx", link * 3, "h", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, verdict int").repartition(2)
-    got = [(r["page_id"], r["host"], r["rule"], r["verdict"]) for r in url_filter.judged_pages(pages).collect()]
-    assert sorted(got) == [(0, "long.example.net", None, "block"), (1, "bad.example.com", "com/de/", "block"), (1, "bad.example.com", "com/de/", "block"), (2, "a.b.org", "org/", "allow")]
+    got = [(r["page_id"], r["host"], r["rule"], r["rule_verdict"]) for r in url_filter.ruled_pages(pages).collect()]
+    assert sorted(got) == [(0, "long.example.net", None, None), (1, "bad.example.com", "com/de/", "block"), (1, "bad.example.com", "com/de/", "block"), (2, "a.b.org", "org/", "allow")]
+    assert {tuple(r) for r in url_filter.host_edges(pages).collect()} == {("long.example.net", "bad.example.com", 1.0), ("a.b.org", "bad.example.com", 3.0)}
     # Of rules of one length that fit alike, the one last by name holds, whatever their order.
     rules = [url_filter.Rule("block", "b.org", "/x"), url_filter.Rule("allow", "org", "/xx/"), url_filter.Rule("allow", "a.b.org", "/"), url_filter.Rule("block", "org", "/xx")]
     for own in (tuple(rules), tuple(rules[::-1])):
