@@ -81,32 +81,28 @@ def test_sync_mode(spark, state, mode, source):
     assert (row["mode"], row["source"]) == (mode, source)
 
 
-def test_syncs_of_one_score(spark):
+def test_syncs_of_scores(spark):
     measures, elements, log = random_score(random.Random(4), (*replay.SETS, "removeNote"), 24, 0)
     fields, names = ([c.strip().split()[0] for c in x.split(",")] for x in (ELEMENTS, LOG))
-    raw = spark.createDataFrame([tuple(e[f] for f in fields) for e in elements], ELEMENTS).drop("was").selectExpr("*", "'raw' as version")
+    raw = spark.createDataFrame([tuple(e[f] for f in fields) for e in elements], ELEMENTS).drop("was")
     table = spark.createDataFrame(measures, "score_id long, part_no long, measure_no long, beats int")
     fixes = lambda rows: spark.createDataFrame([tuple(f[n] for n in names) for f in rows], LOG)
-    shape = lambda rows: sorted((r["part_no"], r["measure_no"], r["seq"], r["voice"], r["staff"], r["midi"] or 0, r["duration"], r["is_chord"]) for r in rows)
-
-    def sync(versions, state, pending):
-        session = spark.createDataFrame([(1, True, state["has_baseline"], len(pending), state["total_applied"], state["owns_edits"])], SESSION)
-        rows, checkpoint = restore.synced(session, versions, table, fixes(pending))
-        rows = rows.drop("was")
-        return spark.createDataFrame(rows.collect(), rows.schema), checkpoint.first().asDict()
-
-    start = {"has_baseline": False, "total_applied": 0, "owns_edits": False}
-    rows, state = sync(raw, start, [])
-    assert state["mode"] == "init" and state["has_baseline"] and shape(rows.collect()) == shape(raw.collect())
-    # Corrections onto the baseline; what they did is in the new one, and the next sync restores it.
-    base = lambda rows: raw.unionByName(rows.selectExpr("*", "'baseline' as version"))
-    once, state = sync(base(rows), state, log)
+    of = lambda rows, score=1: sorted((r["part_no"], r["measure_no"], r["seq"], r["voice"], r["staff"], r["midi"] or 0, r["duration"], r["is_chord"]) for r in rows if r["score_id"] == score)
+    named = lambda rows, version, score=1: rows.selectExpr("*", f"'{version}' as version").withColumn("score_id", restore.F.lit(score).cast("long"))
+
+    # Corrections onto the baseline; what they did is in the new one.
+    rows, checkpoint = restore.synced(spark.createDataFrame([(1, True, True, len(log), 0, False)], SESSION), named(raw, "raw").unionByName(named(raw, "baseline")), table, fixes(log))
+    once = spark.createDataFrame(rows.drop("was").collect(), rows.drop("was").schema)
     want, done = plain_log(measures, elements, log)
-    plain = [{**e, "part_no": p, "measure_no": m, "seq": i + 1} for (p, m), els in want.items() for i, e in enumerate(els)]
-    assert state["mode"] == "incremental" and (state["applied"], state["cleared"], state["total_applied"], state["owns_edits"]) == (len(done), len(log), len(done), True)
-    assert shape(once.collect()) == shape(plain)
-    again, state = sync(base(once), state, [])
-    assert state["mode"] == "restore" and shape(again.collect()) == shape(plain)
-    # Without a correction ever applied, the raw score comes back.
-    clean, after = sync(base(once), {"has_baseline": True, "total_applied": 0, "owns_edits": False}, [])
-    assert after["mode"] == "restore-from-raw" and after["total_applied"] == 0 and shape(clean.collect()) == shape(raw.collect())
+    plain = of([{**e, "score_id": 1, "part_no": p, "measure_no": m, "seq": i + 1} for (p, m), els in want.items() for i, e in enumerate(els)])
+    after = checkpoint.first()
+    assert (after["mode"], after["applied"], after["cleared"], after["total_applied"], after["owns_edits"]) == ("incremental", len(done), len(log), len(done), True)
+    assert of(once.collect()) == plain != of(raw.collect())
+
+    # The next sync restores it; a score without a correction ever applied comes back from its raw version, a new one starts from it.
+    states = [(1, True, True, 0, after["total_applied"], after["owns_edits"]), (2, True, True, 0, 0, False), (3, True, False, 0, 0, False)]
+    versions = named(raw, "raw").unionByName(named(raw, "raw", 2)).unionByName(named(raw, "raw", 3)).unionByName(named(once, "baseline")).unionByName(named(once, "baseline", 2))
+    rows, checkpoint = restore.synced(spark.createDataFrame(states, SESSION), versions, table, fixes(log).limit(0))
+    found = rows.collect()
+    assert of(found) == plain and of(found, 2) == of(found, 3) == of(raw.collect())
+    assert {(r["score_id"], r["mode"], r["total_applied"], r["has_baseline"]) for r in checkpoint.collect()} == {(1, "restore", len(done), True), (2, "restore-from-raw", 0, True), (3, "init", 0, True)}
