@@ -67,8 +67,13 @@ def _marks(node) -> dict:
     }
 
 
+#: A document type with its internal subset, in which quoted values and declarations may hold brackets.
+DOCTYPE = re.compile(rb"""<!DOCTYPE(?:[^>\["']|"[^"]*"|'[^']*')*(?:\[(?:[^\]"']|"[^"]*"|'[^']*')*\]\s*)?>""")
+
+
 def _root(xml: bytes):
-    root = ElementTree.fromstring(re.sub(rb"<!DOCTYPE[^>]*>", b"", xml))
+    """The document without its type: entities that a file declares are never expanded, so a reference to one is an error."""
+    root = ElementTree.fromstring(DOCTYPE.sub(b"", xml, count=1))
     for node in root.iter():
         node.tag = node.tag.rpartition("}")[2]
     return root

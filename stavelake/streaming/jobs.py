@@ -33,11 +33,6 @@ def retained(events: DataFrame, hours: int = 24) -> DataFrame:
     return per.filter(~(F.col("finished") & (F.col("last") < now - F.expr(f"INTERVAL {hours} HOURS")))).select("job_id")
 
 
-def latest_progress_stream(events: DataFrame):
-    """A streaming DataFrame for update mode: the same aggregate, kept as state per job."""
-    return latest_progress(events)
-
-
 def latest_progress_expiring(events: DataFrame, hours: int = 24) -> DataFrame:
     """The last state of each job that a batch touched, for update mode; the state of a job goes when the watermark is ``hours`` past its last event.
 

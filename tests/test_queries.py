@@ -139,7 +139,7 @@ def test_streams(spark, small, tmp_path):
     events = Bindings(spark, small).je
     events.write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
-    query = jobs.latest_progress_stream(stream).writeStream.outputMode("complete").format("memory").queryName("latest").start()
+    query = jobs.latest_progress(stream).writeStream.outputMode("complete").format("memory").queryName("latest").start()
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("latest").collect())) == sorted(map(tuple, jobs.latest_progress(events).collect()))

@@ -4,6 +4,8 @@ import io
 import json
 import zipfile
 
+import pytest
+
 from stavelake.sources import scores
 
 SCORE = """<?xml version="1.0"?><!DOCTYPE score-partwise PUBLIC "x" "y"><score-partwise><part id="P1">
@@ -138,3 +140,13 @@ def test_report(spark, tmp_path):
     issues = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "x")], "score_id long, measure_no long, code string")
     scores.write_report(issues, str(tmp_path / "r"))
     assert {(r["score_id"], r["total"]) for r in spark.read.json(str(tmp_path / "r")).collect()} == {(1, 2), (2, 1)}
+
+
+def test_document_types_go_with_their_entities():
+    from xml.etree.ElementTree import ParseError
+
+    subset = b'<!DOCTYPE a [<!ENTITY x "]>"> <!ENTITY y \'&x;&x;\'> <!ELEMENT a (#PCDATA)>]>'
+    assert scores._root(b'<?xml version="1.0"?>' + subset + b"<a>ok</a>").text == "ok"
+    assert scores._root(b'<!DOCTYPE a PUBLIC "-//x>//" "y"><a>ok</a>').text == "ok"
+    with pytest.raises(ParseError):
+        scores._root(subset + b"<a>&y;</a>")
