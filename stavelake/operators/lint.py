@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stavelake.operators.marks import let
-from stavelake.operators.timeline import MEASURE, PART, chord_groups, in_measure, leader, measure_length, preceding, sounding, upto
+from stavelake.operators.timeline import MEASURE, PART, chord_groups, in_measure, leader, measure_length, sounding, upto
 
 # Fixed values of the lint rules.
 SPURIOUS_WORDS = ("P", "p", "2P", "2p", "PR", "PL", "R", "L", "9")
