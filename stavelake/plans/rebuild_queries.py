@@ -34,7 +34,7 @@ SELECT {M}, row_number() OVER ({OWN} ORDER BY staff, voice, piece, ko, kx, gseq,
 )
 def timeline_rows(b):
     """The rebuilt measures as rows, wedges as their directions."""
-    return rebuild.rebuilt(b.se, b.wd.select("score_id", "part_no", "measure_no", "staff", "place", F.col("type").alias("mark")))
+    return rebuild.rebuilt(b.by_measure, b.wd.select("score_id", "part_no", "measure_no", "staff", "place", F.col("type").alias("mark")))
 
 
 # One staff and one voice at a time is followed for the reach of staff 1; a recursion carries a list of cursors.
@@ -59,7 +59,7 @@ b AS (SELECT {M}, min(seq) AS seq, true AS first_one FROM s JOIN m USING ({M}) W
 SELECT {M}, seq, CASE WHEN reach > 0 AND first_one AND seq < hi THEN reach ELSE duration END AS duration FROM s JOIN m USING ({M}) JOIN e USING ({M}) LEFT JOIN b USING ({M}, seq) WHERE kind = 'backup'""",
 )
 def backup_align(b):
-    return rebuild.repaired_backups(b.se)
+    return rebuild.repaired_backups(b.by_measure)
 
 
 PLACED = "SELECT score_id, measure_no, seq, row_number() OVER (PARTITION BY score_id ORDER BY measure_no, seq) AS k FROM se WHERE kind = 'note' AND is_rest = 0 AND is_grace = 0 AND is_chord = 0 AND part_no = {}"
