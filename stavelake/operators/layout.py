@@ -105,16 +105,15 @@ def staff_bands(ink: DataFrame, systems: DataFrame, expected: int = 6, least: in
     narrow = F.row_number().over(Window.partitionBy("page").orderBy(F.col("_gap").asc_nulls_last(), "y0"))
     closed = F.col("_gap").isNotNull() & (narrow <= F.col("_n") - (expected + 2))
     runs = runs.withColumn("_new", (~closed).cast("int")).withColumn("_band", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    bands = runs.groupBy("page", "_band").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1")).withColumn("_n", F.count("*").over(Window.partitionBy("page")))
-    picks = systems.select("page", F.posexplode(F.sequence(F.lit(0), F.lit(expected - 1))).alias("band", "_i")).drop("_i")
+    bands = runs.groupBy("page", "_band").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    found = bands.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y0", "y1"))).alias("_bands")).filter(F.size("_bands") >= expected)
     low = F.floor(F.greatest(F.lit(least), F.floor(F.col("height") / expected)))
-    even = picks.join(systems, "page").withColumn("_low", low)
-    found = bands.filter(F.col("_n") >= expected).withColumnRenamed("y0", "f0").withColumnRenamed("y1", "f1")
-    counts = found.groupBy("page").agg(F.max("_n").alias("_n"))
-    nth = even.join(counts, "page", "left").withColumn("_band", F.least(F.col("_n"), F.floor(F.col("band") * (F.col("_n") / expected)) + 1))
-    both = nth.join(found.select("page", "_band", "f0", "f1"), ["page", "_band"], "left")
-    y0 = F.coalesce("f0", F.col("band") * F.col("_low"))
-    y1 = F.coalesce("f1", F.least("height", (F.col("band") + 1) * F.col("_low")))
+    picks = F.posexplode(F.sequence(F.lit(0), F.lit(expected - 1))).alias("band", "_i")
+    both = systems.join(found, "page", "left").select("page", "height", "_bands", picks).withColumn("_low", low)
+    n = F.size("_bands")
+    both = both.withColumn("_found", F.get("_bands", F.least(n - 1, F.floor(F.col("band") * (n / expected))).cast("int")))
+    y0 = F.coalesce("_found.y0", F.col("band") * F.col("_low"))
+    y1 = F.coalesce("_found.y1", F.least("height", (F.col("band") + 1) * F.col("_low")))
     small = F.col("height") < 2 * least
     out = both.filter(~small | (F.col("band") == 0)).select("page", F.col("band").cast("long").alias("band"), F.when(small, 0).otherwise(y0).alias("y0"), F.when(small, F.col("height")).otherwise(y1).alias("y1"))
     return out.select("page", "band", F.col("y0").cast("long").alias("y0"), F.col("y1").cast("long").alias("y1"))
