@@ -9,7 +9,7 @@ from stavelake.plans import bindings
 from tests.harness import compare
 
 #: Queries, with the most shuffles that their plan may have when everything is dealt.
-NAMED = {"line_fonts": 2, "line_text": 2, "staff_bands": 6, "tie_add": 5, "lyric_zip": 9, "lyric_zip_voice": 9, "onset_clusters": 4, "onset_groups": 4, "rhythm_suspects": 8, "backup_align": 4, "timeline_rows": 60}
+NAMED = {"line_fonts": 2, "line_text": 2, "staff_bands": 6, "tie_add": 5, "lyric_zip": 9, "lyric_zip_voice": 9, "onset_clusters": 4, "onset_groups": 4, "rhythm_suspects": 8, "backup_align": 4, "timeline_rows": 60, "fix_apply": 14}
 
 
 @pytest.fixture
