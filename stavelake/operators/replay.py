@@ -2,8 +2,8 @@
 
 Inserted measures need no sequence: a later insert moves numbers as it moves the measures that bear them, so every insert keeps pointing at
 the measure that it was made for, and new numbers follow from counts. Within a measure a correction names a note by its place at that moment, which earlier ones
-may have moved. Measures whose corrections only set columns are worked as sets; the others are replayed by a fold over the measure's
-corrections in the JVM, spans last, with the elements as its state. Both say which corrections took effect.
+may have moved. A measure's elements and corrections are gathered by one group and replayed by a fold over the corrections in the JVM, spans last, with the
+elements as its state; it says which corrections took effect. ``set_at_once`` does the same as sets, for logs that only set columns.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stavelake.operators.marks import let
-from stavelake.operators.overlay import BEGIN, CONTINUE, END, TYPES
+from stavelake.operators.overlay import BEGIN, CONTINUE, END, TYPES, gathered
 from stavelake.operators.timeline import MEASURE, PART, measure_length
 
 STRUCTURE = ("insertEmptyMeasureBefore", "insertEmptyMeasureAfter")
@@ -247,8 +247,17 @@ def _fix() -> Column:
 
 def replayed(elements: DataFrame, fixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(elements, fix_id and applied): the measures that have corrections, these taken one after another."""
-    own = fixes.groupBy(*MEASURE).agg(F.array_sort(F.collect_list(_fix())).alias("fixes"))
-    per = elements.groupBy(*MEASURE).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.struct(*NAMES).alias("e")))), lambda x: x["e"]).alias("els")).join(own, list(MEASURE))
+    return _folded(_gathered(elements, fixes).filter(F.size("fixes") > 0))
+
+
+def _gathered(elements: DataFrame, fixes: DataFrame) -> DataFrame:
+    # Notes that the fold inserts have no ``was``, so its type has to allow null.
+    rows = elements.withColumn("was", F.nullif("was", F.lit(-1)))
+    per = gathered(rows, fixes, F.struct("seq", F.struct(*NAMES).alias("e")), _fix())
+    return per.select(*MEASURE, F.transform("els", lambda x: x["e"]).alias("els"), "fixes")
+
+
+def _folded(per: DataFrame) -> tuple[DataFrame, DataFrame]:
     start = F.struct(F.col("els").alias("els"), F.array().cast("array<long>").alias("done"))
 
     def step(acc: Column, f: Column) -> Column:
@@ -287,12 +296,7 @@ def apply_all(measures: DataFrame, elements: DataFrame, log: DataFrame) -> tuple
     moved, pending = (renumbered(x, plan).withColumn("measure_no", F.col("new_no")).drop("new_no") for x in (elements, log.filter(~F.col("kind").isin(*STRUCTURE))))
     filled = {"is_chord": F.lit(0), "is_grace": F.lit(0), "midi": F.lit(None).cast("long"), "beam": F.lit(0).cast("long"), "play_order": F.lit(None).cast("long"), "stem": F.lit(None).cast("string"), "x": F.lit(None).cast("double"), "was": F.lit(None).cast("long")}
     typed = [F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in ELEMENT.split(", ")]
-    rows = moved.withColumn("was", F.col("seq")).select(*MEASURE, "seq", *typed).unionByName(rests.withColumns(filled).select(*MEASURE, "seq", *typed))
-    kinds = pending.groupBy(*MEASURE).agg(F.bool_and(F.col("kind").isin(*SETS)).alias("_sets"))
-    both = rows.join(kinds, list(MEASURE), "left"), pending.join(kinds, list(MEASURE))
-    plain, folded = (tuple(x.filter(flag).drop("_sets") for x in both) for flag in ("_sets", "not _sets"))
-    untouched = both[0].filter("_sets is null").drop("_sets")
-    (set_rows, set_done), (fold_rows, fold_done) = set_at_once(*plain), replayed(*folded)
-    done = set_done.unionByName(fold_done).unionByName(plan.filter("applied").select("fix_id", "applied"))
+    rows, fold_done = _folded(_gathered(moved.withColumn("was", F.col("seq")).select(*MEASURE, "seq", *typed), pending))
+    done = fold_done.unionByName(plan.filter("applied").select("fix_id", "applied"))
     report = log.select("fix_id").join(done, "fix_id", "left").withColumn("applied", F.coalesce("applied", F.lit(False)))
-    return untouched.unionByName(set_rows).unionByName(fold_rows), report
+    return rows.unionByName(rests.withColumns(filled).select(*MEASURE, "seq", *typed)), report
