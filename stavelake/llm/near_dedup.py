@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stavelake.llm import tokens
-from stavelake.llm.common import Scratch, id_of, packed, table, unpacked, with_text_key, written
+from stavelake.llm.common import Scratch, id_of, packed, shuffled, table, unpacked, with_text_key, written
 from stavelake.llm.tokens import U, mix
 
 
@@ -173,7 +173,7 @@ def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``rows`` (node, ...) with the label of each node's component; a node without links is its own."""
     if labels is None:
         return rows.withColumn("label", F.col("node"))
-    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows.join(shuffled(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def centre_pairs(buckets: DataFrame, least: float) -> DataFrame:
@@ -247,9 +247,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        found = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        found = both.join(shuffled(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = found.groupBy("u").agg(F.min("v").alias("m"))
-        linked = found.join(low, "u")
+        linked = found.join(shuffled(low), "u")
         found = scratch.written(linked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         scratch.drop(edges)
         edges = found
@@ -265,12 +265,12 @@ def merged(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
     if links.isEmpty():
         return labels
     at = lambda x: labelled(links.select(F.col(x).alias("node"), "a", "b"), labels)
-    edges = at("a").select("a", "b", F.col("label").alias("x")).join(at("b").select("a", "b", F.col("label").alias("y")), ["a", "b"])
+    edges = at("a").select("a", "b", F.col("label").alias("x")).join(shuffled(at("b").select("a", "b", F.col("label").alias("y"))), ["a", "b"])
     new = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a != b"), scratch)
     if labels is None:
         return scratch.written(new, "labels")
-    moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return scratch.written(moved.union(new.join(labels, "node", "left_anti")), "labels")
+    moved = labels.join(shuffled(new.select(F.col("node").alias("label"), F.col("label").alias("to"))), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return scratch.written(moved.union(new.join(shuffled(labels), "node", "left_anti")), "labels")
 
 
 def classes(docs: DataFrame, config: NearConfig = CONFIG) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stavelake.llm import tokens
-from stavelake.llm.common import Scratch, table, written
+from stavelake.llm.common import Scratch, shuffled, table, written
 from stavelake.llm.near_dedup import labelled, merged
 from stavelake.llm.tokens import U
 
@@ -163,7 +163,7 @@ def ball_links(rows: DataFrame) -> DataFrame:
     """(a, b): links that join all linked (node, label) of different labels, without pairs. A value's first inner member is linked to all others."""
     spread = rows.repartition(F.col("node")).mapInArrow(_ball, "value long, node long, label long, inner boolean")
     centres = spread.filter("inner").groupBy("value").agg(F.min(F.struct("node", "label")).alias("c")).select("value", F.col("c.node").alias("a"), F.col("c.label").alias("alabel"))
-    return spread.join(centres, "value").filter("label != alabel").select("a", F.col("node").alias("b")).distinct()
+    return spread.join(shuffled(centres), "value").filter("label != alabel").select("a", F.col("node").alias("b")).distinct()
 
 
 def linked(nodes: DataFrame, scratch: Scratch, max_bucket: int = MAX_BUCKET) -> DataFrame | None:
@@ -178,12 +178,12 @@ def linked(nodes: DataFrame, scratch: Scratch, max_bucket: int = MAX_BUCKET) ->
         placed = labelled(members, labels)
         split = placed.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("key")
         placed = placed.filter(F.col("members") > max_bucket if exact else F.col("members") <= max_bucket)
-        placed = placed.join(split, "key", "left_semi")
+        placed = placed.join(shuffled(split), "key", "left_semi")
         if exact:
             links = ball_links(scratch.written(placed.select("node", "label").distinct(), "apart"))
         else:
             other = placed.filter("own").select("key", F.col("node").alias("other"), F.col("label").alias("olabel"))
-            links = placed.join(other, "key").filter("label != olabel").filter(_within("node", "other")).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+            links = placed.join(shuffled(other), "key").filter("label != olabel").filter(_within("node", "other")).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
         labels = merged(labels, scratch.written(links, "links"), scratch)
     return labels
 
@@ -198,10 +198,10 @@ def near_copies(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
         least = of_node.groupBy("label").agg(F.min("least").alias("component_id"))
         # A fingerprint of very many rows is dealt to several tasks; there are 65,536 such fingerprints at most.
         salts = (F.col("n") / max(ROWS_A_TASK, rows.count() >> 16)).cast("int")
-        ids = scratch.written(of_node.join(least, "label").select(F.col("node").alias("fp"), "component_id", salts.alias("most")), "components")
+        ids = scratch.written(of_node.join(shuffled(least), "label").select(F.col("node").alias("fp"), "component_id", salts.alias("most")), "components")
         hot = rows.join(F.broadcast(ids.filter("most > 0").select("fp", "most")), "fp", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("most", F.lit(0)) + 1).cast("int"))
         spread = ids.select("fp", "component_id", F.explode(F.sequence(F.lit(0), "most")).alias("salt"))
-        return written(hot.join(spread, ["fp", "salt"]).select("doc_id", "fp", "component_id"), "near-copies")
+        return written(hot.join(shuffled(spread), ["fp", "salt"]).select("doc_id", "fp", "component_id"), "near-copies")
 
 
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
